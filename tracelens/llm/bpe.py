@@ -32,7 +32,7 @@ BLOCK = 256
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LATIN = "a-zß-öø-ÿ"
 _PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ÿ]*")
-_WORD = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^\\s{_LATIN}0-9]+")
+_WORD = re.compile(f"[{_LATIN}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\s{_LATIN}0-9]+")
 
 
 def byte_alphabet() -> list[str]:
@@ -106,40 +106,54 @@ class WordTrieBpe:
         byte, out = self._bytes, {}
         spelled = sorted(("".join([byte[c] for c in w.encode()]), w) for w in set(words))
         inner, final, longest, fits = self.inner, self.final, self.longest, self.fits
+        known = self._fits
         path = ""  # symbols from the root to the current node
         last: list[int] = [-1]  # last token of each prefix on the path
         size: list[int] = [0]  # and its length in symbols
         for symbols, word in spelled:
-            if not symbols:
+            n = len(symbols)
+            if not n:
                 out[word] = []
                 continue
-            depth, top = 0, min(len(path), len(symbols) - 1)
-            while depth < top and path[depth] == symbols[depth]:
-                depth += 1
-            del last[depth + 1 :], size[depth + 1 :]  # back up to the node where the words part
-            n = len(symbols)
-            for k in range(depth + 1, n):
-                for i in range(max(0, k - longest), k):
-                    t = inner.get(symbols[i:k])
-                    if t is not None and (i == 0 or last[i] >= 0 and fits(last[i], t)) and (i or self._whole(t)):
-                        last.append(t)
-                        size.append(k - i)
-                        break
-                else:
-                    raise ValueError(f"no token for {symbols[k - 1]!r} in {self.path}")
-            path = symbols[: n - 1]
-            for i in range(max(0, n - longest), n):
-                t = final.get(symbols[i:n])
-                if t is not None and (i == 0 or fits(last[i], t)) and (i or self._whole(t)):
-                    break
+            depth, top = 0, min(len(path), n - 1)
+            if path[:top] == symbols[:top]:
+                depth = top
             else:
-                raise ValueError(f"no token for {symbols[-1]!r} in {self.path}")
-            ids = [t]
+                while path[depth] == symbols[depth]:
+                    depth += 1
+            del last[depth + 1 :], size[depth + 1 :]  # back up to the node where the words part
+            for k in range(depth + 1, n + 1):
+                tokens = inner if k < n else final
+                # exactly one token can end a prefix, so the two likeliest are tried first:
+                # the last token with the new symbol, then the new symbol alone
+                t = None
+                i = k - 1 - size[k - 1]
+                for i in (i, k - 1) if k > 1 else (0,):
+                    t = tokens.get(symbols[i:k])
+                    if t is not None:
+                        if i == 0:
+                            if self._whole(t):
+                                break
+                        elif (ok := known.get((last[i], t))) or ok is None and fits(last[i], t):
+                            break
+                        t = None
+                if t is None:
+                    for i in range(max(0, k - longest), k):
+                        t = tokens.get(symbols[i:k])
+                        if t is not None and (self._whole(t) if i == 0 else fits(last[i], t)):
+                            break
+                    else:
+                        raise ValueError(f"no token for {symbols[k - 1]!r} in {self.path}")
+                last.append(t)
+                size.append(k - i)
+            ids, i = [], n
             while i:
                 ids.append(last[i])
                 i -= size[i]
             ids.reverse()
             out[word] = ids
+            path = symbols[: n - 1]
+            del last[n:], size[n:]
         return out
 
     def _whole(self, t: int) -> bool:
@@ -150,37 +164,51 @@ class WordTrieBpe:
             known = self._fits[t, -1] = pair is None or self._whole(pair[0]) and self._whole(pair[1]) and self._border_holds(*pair, joined=True)
         return known
 
-    def words(self, text: str) -> list[str]:
-        """A text's words after normalisation; an added token in it is the str of its id behind a zero byte."""
+    def units(self, text: str | None) -> list[str]:
+        """What a text's encoding is put together from: runs without white space, lower-cased. Behind a zero byte
+        stands the id of an added token, behind a one byte a single word that the library has split off."""
+        if not text:
+            return []
         if self._added and "<" in text and len(pieces := self._added.split(text)) > 1:
-            return [w for x in pieces if x for w in ([f"\0{self.added[x]}"] if x in self.added else self._words(x))]
-        return self._words(text)
+            return [u for x in pieces if x for u in ([f"\0{self.added[x]}"] if x in self.added else self._units(x))]
+        return self._units(text)
 
-    def _words(self, text: str) -> list[str]:
+    def _units(self, text: str) -> list[str]:
         if _PLAIN.fullmatch(text):
-            return _WORD.findall(text.lower())
+            return text.lower().split()
         if self._lib is None:
             from tokenizers import Tokenizer
 
             self._lib = Tokenizer.from_file(self.path)
         parts = self._lib.pre_tokenizer.pre_tokenize_str(self._lib.normalizer.normalize_str(text))
-        return [bytes([self._from[c] for c in w]).decode() for w, _ in parts]
+        return ["\1" + bytes([self._from[c] for c in w]).decode() for w, _ in parts]
+
+    def encode_units(self, units: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
+        """(unit, token ids) of distinct units."""
+        words = {u: [u[1:]] if u[0] == "\1" else _WORD.findall(u) for u in units if u[0] != "\0"}
+        ids = self.encode_words(w for ws in words.values() for w in ws)
+        for u in units:
+            if u[0] == "\0":
+                yield u, [int(u[1:])]
+            else:
+                ws = words[u]
+                yield u, ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
 
-    def encode_blocks(self, texts: list[str | None], cache: dict, render) -> Iterator[list]:
-        """For each text the list of what render made of its words' ids; cache: word -> rendered."""
+    def blocks(self, texts: list[str | None], caches: list[dict], renders: list) -> Iterator[list[str]]:
+        """The units of each text; caches[k] then holds renders[k](ids) of each unit."""
         for lo in range(0, len(texts), BLOCK):
-            found = [self.words(x) if x else [] for x in texts[lo : lo + BLOCK]]
-            if len(cache) > CACHE_WORDS:
-                cache.clear()
-            new = set().union(*found).difference(cache) if found else set()
-            special = {w for w in new if w[0] == "\0"}
-            cache.update((w, render([int(w[1:])])) for w in special if w[1:].isdigit() and int(w[1:]) in self.tokens)
-            cache.update((w, render(ids)) for w, ids in self.encode_words(new.difference(cache)).items())
-            for ws in found:
-                yield [cache[w] for w in ws]
+            found = [self.units(x) for x in texts[lo : lo + BLOCK]]
+            if len(caches[0]) > CACHE_WORDS:
+                for c in caches:
+                    c.clear()
+            for unit, ids in self.encode_units(set().union(*found).difference(caches[0])):
+                for c, render in zip(caches, renders, strict=True):
+                    c[unit] = render(ids)
+            yield from found
 
     def encode(self, text: str | None) -> list[int]:
-        return [i for ids in next(self.encode_blocks([text], {}, list)) for i in ids]
+        known = dict(self.encode_units(set(units := self.units(text))))
+        return [i for u in units for i in known[u]]
 
     def decode(self, ids: Iterable[int]) -> str:
         """The library's decode for a file without decoder: tokens joined by one space, special ones included."""
@@ -197,20 +225,24 @@ def tokenizer(path: str) -> WordTrieBpe:
     return _open[path]
 
 
-_rendered: dict[str, dict] = {}
+_caches: dict[tuple, list[dict]] = {}
+
+
+def caches(*key) -> list[dict]:
+    """Two dictionaries for a use of a tokenizer, kept by the Python worker from task to task."""
+    return _caches.setdefault(key, [{}, {}])
 
 
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, cache = tokenizer(path), _rendered.setdefault(path, {})
-        render = lambda ids: (" ".join(map(str, ids)), t.decode(ids))
+        t, (ids_of, text_of) = tokenizer(path), caches("digests", path)
         for batch in batches:
             n, ids_hex, text_hex = [], [], []
-            for found in t.encode_blocks(batch.column("text").to_pylist(), cache, render):
-                ids = " ".join([x[0] for x in found])
-                n.append(ids.count(" ") + 1 if found else 0)
+            for units in t.blocks(batch.column("text").to_pylist(), [ids_of, text_of], [lambda ids: " ".join(map(str, ids)), t.decode]):
+                ids = " ".join(map(ids_of.__getitem__, units))
+                n.append(ids.count(" ") + 1 if ids else 0)
                 ids_hex.append(sha256(ids.encode()).hexdigest())
-                text_hex.append(sha256(" ".join([x[1] for x in found]).encode()).hexdigest())
+                text_hex.append(sha256(" ".join(map(text_of.__getitem__, units)).encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
@@ -228,9 +260,9 @@ def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "i
     plain = docs.drop(out_col)
 
     def run(batches):
-        t, cache = tokenizer(path), {}
+        t, (known, _) = tokenizer(path), caches("ids", path)
         for batch in batches:
-            ids = [[i for w in found for i in w] for found in t.encode_blocks(batch.column(text_col).to_pylist(), cache, list)]
+            ids = [[i for u in units for i in known[u]] for units in t.blocks(batch.column(text_col).to_pylist(), [known], [list])]
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(ids, pa.list_(pa.int32()))], [*batch.schema.names, out_col])
 
     return plain.mapInArrow(run, schema)

@@ -17,6 +17,8 @@ _shipped: set[str] = set()
 def ship(spark: SparkSession) -> None:
     """Give the executors this package, once per application, so Python tasks can import it anywhere."""
     sc = spark.sparkContext
+    if spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch") == "10000":
+        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "1024")  # rows may be long texts
     if sc.applicationId in _shipped:
         return
     top = Path(__file__).resolve().parents[2]

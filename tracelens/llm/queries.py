@@ -33,13 +33,19 @@ def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "lines_before", "lines_removed")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelens.llm.near_dup import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelens.llm.bpe import encode_digests
 
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op5_chat_formatting, op8_line_dedup, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op5_chat_formatting, op8_line_dedup, op9_minhash, op10_bpe)}
 
 ORACLE_SQL = {
     "op5_chat_formatting": r"""
