@@ -26,6 +26,12 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(rows.union(more))
 
 
+def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelens.llm.packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
+
+
 def op8_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelens.llm.line_dedup import dedup_lines
 
@@ -45,7 +51,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op5_chat_formatting, op8_line_dedup, op9_minhash, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op5_chat_formatting, op7_packing, op8_line_dedup, op9_minhash, op10_bpe)}
 
 ORACLE_SQL = {
     "op5_chat_formatting": r"""
