@@ -23,6 +23,13 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelens.llm.passages import dedup_passages
+
+    d = dedup_passages(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "words_before", "words_removed")
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelens.llm.chat import chat_digests
 
@@ -57,7 +64,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op5_chat_formatting, op7_packing, op8_line_dedup, op9_minhash, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_suffix_dedup, op5_chat_formatting, op7_packing, op8_line_dedup, op9_minhash, op10_bpe)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
