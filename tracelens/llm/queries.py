@@ -39,6 +39,12 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat_digests(rows.union(more))
 
 
+def op6_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelens.llm.top_k import top_k
+
+    return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5, scale=256)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelens.llm.packing import pack_documents
 
@@ -64,7 +70,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_suffix_dedup, op5_chat_formatting, op7_packing, op8_line_dedup, op9_minhash, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_suffix_dedup, op5_chat_formatting, op6_top_k, op7_packing, op8_line_dedup, op9_minhash, op10_bpe)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
@@ -90,6 +96,16 @@ SELECT conv_id, count(*) AS n_turns,
     sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
     CAST(sum(n) AS BIGINT) AS formatted_chars
 FROM e GROUP BY conv_id""",
+    "op6_top_k": r"""
+WITH v AS (
+    SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS e FROM embeddings
+    WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+      AND len(list_filter(embedding, lambda x: x IS NULL OR isnan(x) OR isinf(x))) = 0
+), s AS (
+    SELECT q.vec_id AS query_id, v.vec_id, CAST(list_dot_product(q.e, v.e) AS BIGINT) AS score
+    FROM v q JOIN v ON q.vec_id <> v.vec_id AND len(q.e) = len(v.e) WHERE q.vec_id % 50 = 0
+), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM r WHERE rank <= 5""",
     "op8_line_dedup": r"""
 WITH d AS (
     SELECT doc_id, coalesce(text, '') AS text, string_split(coalesce(text, ''), chr(10)) AS ls FROM documents
