@@ -17,6 +17,12 @@ def tokenizer_path() -> str:
     return public_tokenizers.path(TOKENIZER)
 
 
+def op1_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelens.llm.html_text import extract_text
+
+    return extract_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+
+
 def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelens.llm.exact_dup import exact_duplicates
 
@@ -70,7 +76,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op2_exact_dedup, op3_suffix_dedup, op5_chat_formatting, op6_top_k, op7_packing, op8_line_dedup, op9_minhash, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_exact_dedup, op3_suffix_dedup, op5_chat_formatting, op6_top_k, op7_packing, op8_line_dedup, op9_minhash, op10_bpe)}
 
 ORACLE_SQL = {
     "op2_exact_dedup": r"""
