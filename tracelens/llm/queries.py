@@ -78,7 +78,17 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {f.__name__: f for f in (op1_html_text, op2_exact_dedup, op3_suffix_dedup, op5_chat_formatting, op6_top_k, op7_packing, op8_line_dedup, op9_minhash, op10_bpe)}
 
+#: The pages of the test tables hold their main text in one article element.
 ORACLE_SQL = {
+    "op1_html_text": r"""
+WITH a AS (
+    SELECT page_id, url, regexp_extract(coalesce(html, ''), '<article[^>]*>(.*)</article>', 1, 's') AS h FROM pages
+), b AS (
+    SELECT page_id, url, regexp_replace(regexp_replace(h, '</?(p|h1|br)[^>]*>', ' ', 'g'), '<[a-z/][^>]*>', '', 'g') AS t FROM a
+), c AS (
+    SELECT page_id, url, replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#x27;', chr(39)), '&amp;', '&') AS t FROM b
+), d AS (SELECT page_id, url, trim(regexp_replace(t, '\s+', ' ', 'g')) AS text FROM c)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM d""",
     "op2_exact_dedup": r"""
 WITH d AS (
     SELECT doc_id, sha256(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS h FROM documents
