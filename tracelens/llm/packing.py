@@ -25,6 +25,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tracelens.llm.bpe import caches, tokenizer
 from tracelens.llm.common import saved
@@ -165,7 +166,7 @@ def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")
     ranked = dealt.withColumn("own", F.row_number().over(order) - 1).join(F.broadcast(shifts), ["length", "salt"])
     ranked = ranked.select(*pieces.columns, (F.col("own") + F.col("shift")).alias("rank"))
-    schema = pieces.schema.add("sequence_id", "long").add("offset", "long")
+    schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
     return ranked.mapInArrow(_placed(ship), schema)
 
 

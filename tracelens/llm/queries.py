@@ -36,6 +36,12 @@ def op3_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), "words_before", "words_removed")
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tracelens.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tracelens.llm.chat import chat_digests
 
@@ -76,7 +82,7 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return encode_digests(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
-QUERIES = {f.__name__: f for f in (op1_html_text, op2_exact_dedup, op3_suffix_dedup, op5_chat_formatting, op6_top_k, op7_packing, op8_line_dedup, op9_minhash, op10_bpe)}
+QUERIES = {f.__name__: f for f in (op1_html_text, op2_exact_dedup, op3_suffix_dedup, op4_toxicity, op5_chat_formatting, op6_top_k, op7_packing, op8_line_dedup, op9_minhash, op10_bpe)}
 
 #: The pages of the test tables hold their main text in one article element.
 ORACLE_SQL = {
