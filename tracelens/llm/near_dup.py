@@ -10,11 +10,12 @@ confirmed on the full sets.
 Scale. Texts with equal sets are one class from the start, so large groups of copies are counted by a partial
 aggregate, not paired. In a bucket, candidates are not paired with each other: in each round the bucket's smallest
 class is compared with the others (a star), classes already connected are passed over, and the bucket is done
-when what is left of it is connected. Buckets that stay open after STAR_ROUNDS are compared in blocks of BLOCK
-classes by their whole signatures; pairs that agree in over half of it and aren't connected yet are verified
-(a true link fails that filter with probability under 1e-7). The centre of a large star is dealt to several tasks by a salt. No links,
-components or signatures reach the driver; components come from large-star/small-star rounds over tables in the
-shared folder.
+when what is left of it is connected. What stays open after STAR_ROUNDS is compared in blocks of BLOCK texts, and only
+the texts outside a cluster's largest component with the others: signatures first, then, nearest first, the full sets,
+until a text has a link to the other's component. A task returns links, never candidates. (A true link fails the
+filter by signature with a probability of about 1e-5.) The centre of a large star is dealt to several tasks by a
+salt. No links, components or signatures reach the driver; components come from large-star/small-star rounds over
+tables in the shared folder.
 
 Nulls and texts without words have an empty set and no links. Rows with one doc_id are one node. Rows with a null
 doc_id take part in nothing and are kept. Empty tables give empty results.
@@ -35,8 +36,11 @@ from tracelens.llm.words import U, chunks, mix, shingle_set
 WORDS, BANDS, ROWS = 5, 32, 4
 COORDINATES = BANDS * ROWS
 RING_BITS = 22
-STAR_ROUNDS = 3
-BLOCK = 512
+STAR_ROUNDS = 2
+BLOCK = 256
+#: Share of the signature that two texts of different components must agree in to be verified after the stars: 0.75 less
+#: 4.5 standard deviations.
+LEAST_AGREEMENT = 0.58
 #: Links of a star that one task verifies, about.
 STAR_TASK = 2000
 
@@ -93,6 +97,18 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(sets, pa.int64())], ["doc_id", "shingles"])
 
 
+def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
+    """Whether two sets (sorted, not empty) have a Jaccard similarity of at least num / den."""
+    if len(x) > len(y):
+        x, y = y, x
+    if den * len(x) < num * len(y):
+        return False
+    at = np.searchsorted(y, x)
+    at[at == len(y)] = 0
+    same = int(np.count_nonzero(y[at] == x))
+    return den * same >= num * (len(x) + len(y) - same)
+
+
 def _verify(num: int, den: int):
     """Rows of one star stand together, its centre's set first."""
 
@@ -110,17 +126,9 @@ def _verify(num: int, den: int):
                 if role[i] == 0:
                     centre.append(s)
                     continue
-                for c in centre:
-                    x, y = (c, s) if len(c) < len(s) else (s, c)
-                    if den * len(x) < num * len(y):
-                        continue
-                    at = np.searchsorted(y, x)
-                    at[at == len(y)] = 0
-                    same = int(np.count_nonzero(y[at] == x))
-                    if den * same >= num * (len(x) + len(y) - same):
-                        left.append(a[i])
-                        right.append(b[i])
-                        break
+                if any(similar(c, s, num, den) for c in centre):
+                    left.append(a[i])
+                    right.append(b[i])
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())], ["a", "b"])
 
     return run
@@ -156,50 +164,64 @@ def components(edges: DataFrame) -> DataFrame:
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
-def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of one pair of blocks stand together: the pairs across components that agree in over half the signature."""
-
-    def close(task, rows):
-        if not rows:
-            return
-        _, i, j = task
-        block = np.array([r[0] for r in rows])
-        doc, comp = np.array([r[1] for r in rows]), np.array([r[2] for r in rows])
-        sig = np.stack([r[3] for r in rows])
-        x, y = np.flatnonzero(block == i), np.flatnonzero(block == j)
-        for lo in range(0, len(x), 32):
-            part = x[lo : lo + 32]
-            same = (sig[part][:, None, :] == sig[y][None, :, :]).sum(axis=2)
-            hit = (same > COORDINATES * 0.55) & (comp[part][:, None] != comp[y][None, :]) & (doc[part][:, None] != doc[y][None, :])
-            p, q = np.nonzero(hit)
-            if len(p):
-                a, b = doc[part[p]], doc[y[q]]
-                yield pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
-
-    task, rows = None, []
-    for batch in batches:
-        keys = [batch.column(c).to_numpy(zero_copy_only=False) for c in ("band", "i", "j", "block", "doc_id", "component")]
-        sig = batch.column("sig")
-        flat, offsets = sig.values.to_numpy(), sig.offsets.to_numpy()
-        for r in range(len(batch)):
-            k = (keys[0][r], keys[1][r], keys[2][r])
-            if k != task:
-                yield from close(task, rows)
-                task, rows = k, []
-            rows.append((keys[3][r], keys[4][r], keys[5][r], flat[offsets[r] : offsets[r + 1]]))
-    yield from close(task, rows)
-
-
-def _in_blocks(open_rows: DataFrame, sigs: DataFrame) -> DataFrame:
-    """Candidate pairs (a, b) of the buckets' rows (band, doc_id, component), compared block by block."""
-    size = open_rows.groupBy("band").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    rows = open_rows.join(size, "band").withColumn("block", F.pmod(F.xxhash64("doc_id"), F.col("blocks")).cast("int"))
-    other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.select("band", "doc_id", "component", "block", other)
-    rows = rows.select("band", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "doc_id", "component")
-    rows = rows.join(sigs, "doc_id").select("band", "i", "j", "block", "doc_id", "component", "sig")
-    n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    return rows.repartition(n, "band", "i", "j").sortWithinPartitions("band", "i", "j").mapInArrow(_blocks, "a long, b long").distinct()
+def _block_links(num: int, den: int):
+    """Rows of one pair of blocks stand together, the left block (side 0) first: links between different components.
+    Within a task a text that has been linked to a component isn't compared with more of it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        task, left, sigs = None, [], None
+        for batch in batches:
+            keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("cluster", "i", "j", "side", "doc_id", "component")], axis=1)
+            sig, sets = batch.column("sig"), batch.column("shingles")
+            sig_at, sig_flat = sig.offsets.to_numpy(), sig.values.to_numpy()
+            set_at, set_flat = sets.offsets.to_numpy(), sets.values.to_numpy().view(U)
+            found: tuple[list, list] = ([], [])
+            for r in range(len(batch)):
+                here, doc, comp = tuple(keys[r][:3]), keys[r][4], keys[r][5]
+                if here != task:
+                    task, left, sigs, joined = here, [], None, set()
+                own, shingles = sig_flat[sig_at[r] : sig_at[r + 1]], set_flat[set_at[r] : set_at[r + 1]]
+                if keys[r][3] == 0:
+                    # batches go when they are read, so a block's rows are copied
+                    left.append((doc, comp, shingles.copy(), own.copy()))
+                    continue
+                if sigs is None:
+                    sigs = np.stack([x[3] for x in left]) if left else np.zeros((0, COORDINATES), np.int32)
+                same = (sigs == own).sum(axis=1)
+                for x in np.argsort(-same, kind="stable"):
+                    if same[x] <= COORDINATES * LEAST_AGREEMENT:
+                        break
+                    other, its = left[x][0], left[x][1]
+                    if its == comp or other == doc or (other, comp) in joined or (doc, its) in joined:
+                        continue
+                    if similar(left[x][2], shingles, num, den):
+                        joined |= {(other, comp), (doc, its)}
+                        found[0].append(min(doc, other))
+                        found[1].append(max(doc, other))
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
+
+    return run
+
+
+def _in_blocks(open_rows: DataFrame, sigs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+    """Links between components among the rows (band, doc_id, component) of open buckets. Buckets that share texts are
+    one cluster; of a cluster, the texts outside its largest component are compared with all, block by block."""
+    centre = open_rows.groupBy("band").agg(F.min("doc_id").alias("a"))
+    clusters = components(open_rows.join(centre, "band").select("a", F.col("doc_id").alias("b")))
+    docs = open_rows.select("doc_id", "component").distinct()
+    docs = saved(docs.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id"), "clusters")
+    sizes = docs.groupBy("cluster", "component").agg(F.count("*").alias("n"))
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
+    main = main.select("cluster", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("columns"))
+    docs = docs.join(main.where("rows > 0"), "cluster").join(sigs, "doc_id").join(sets, "doc_id")
+    span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
+    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
+    data = ("doc_id", "component", "sig", "shingles")
+    left = docs.where("component <> main").select("cluster", block("rows").alias("i"), span("columns").alias("j"), F.lit(0).alias("side"), *data)
+    right = docs.select("cluster", span("rows").alias("i"), block("columns").alias("j"), F.lit(1).alias("side"), *data)
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = left.union(right).repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
+    return rows.mapInArrow(_block_links(num, den), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100) -> DataFrame:
@@ -229,9 +251,10 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
                 own = rows.select("doc_id", F.col("component").alias("of_a")).distinct().withColumnRenamed("doc_id", "a")
                 pairs = pairs.join(own, "a").where("component <> of_a")
             pairs = pairs.select("a", F.col("doc_id").alias("b")).distinct()
+            found = verify(pairs, sets, num, den)
         else:
-            pairs = _in_blocks(rows, sigs)
-        found = saved(verify(pairs, sets, num, den), "links")
+            found = _in_blocks(rows, sigs, sets, num, den)
+        found = saved(found, "links")
         links = found if links is None else links.union(found)
         labels = components(links)
         if step == STAR_ROUNDS:
