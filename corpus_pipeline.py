@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.llm import line_dedup, near_dup, packing, passages, toxicity
-from tracelens.llm.common import saved, table
+from tracelens.llm.common import saved, ship, table
 from tracelens.llm.queries import tokenizer_path
 
 
@@ -31,11 +31,13 @@ def toxic_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without later occurrences of runs of three lines."""
+    ship(spark)
     return _same_columns(line_dedup.dedup_lines(docs), docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document, the one of least doc_id, of each group of near-duplicates."""
+    ship(spark)
     found = near_dup.near_duplicates(docs)
     gone = saved(found.where("not kept").select("doc_id").distinct(), "near-duplicates")
     return docs.join(gone, "doc_id", "left_anti").select(*[f"`{c}`" for c in docs.columns])
@@ -43,11 +45,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def repeated_passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Without later occurrences of passages of 50 words or more."""
+    ship(spark)
     return _same_columns(passages.dedup_passages(docs), docs)
 
 
 def packed_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of all documents with their sequence and offset."""
+    ship(spark)
     return packing.pack_documents(docs, tokenizer_path())
 
 
