@@ -23,10 +23,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Words a Python worker remembers before it starts anew: about 150 MB.
-CACHE_WORDS = 400_000
+#: Words a Python worker remembers before it starts anew: about 300 MB.
+CACHE_WORDS = 1_000_000
 #: Texts worked on at once.
-BLOCK = 256
+BLOCK = 1024
 
 # The byte alphabet of byte-level BPE, and the word pattern for texts of plain characters.
 _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -56,7 +56,7 @@ class WordTrieBpe:
         self._added = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
         self._bytes = byte_alphabet()
         self._from = {c: b for b, c in enumerate(self._bytes)}
-        self._plain = {chr(b): chr(b) for b in range(33, 127)}
+        self._spelling = dict(enumerate(self._bytes))
         #: what a merge makes and when; what a token was made of; a token's age (-1: a single symbol)
         self.merge: dict[tuple[int, int], int] = {}
         self.parts: dict[int, tuple[int, int]] = {}
@@ -69,10 +69,19 @@ class WordTrieBpe:
         n = len(self.end)
         self.final = {t[: len(t) - n]: i for t, i in self.vocab.items() if n and t.endswith(self.end)} or self.vocab
         self.inner = {t: i for t, i in self.vocab.items() if not (n and t.endswith(self.end))} if n else self.vocab
-        self.longest = max(map(len, self.vocab))
+        #: lengths of the tokens that end with two symbols, longest first
+        self.lengths, self.final_lengths = self._lengths(self.inner), self._lengths(self.final)
         self._fits: dict[tuple[int, int], bool] = {}
         self._lib: Any = None
 
+    @staticmethod
+    def _lengths(tokens: dict[str, int]) -> dict[str, tuple[int, ...]]:
+        found: dict[str, set[int]] = {}
+        for t in tokens:
+            if len(t) > 1:
+                found.setdefault(t[-2:], {1}).add(len(t))
+        return {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}
+
     def fits(self, a: int, b: int) -> bool:
         """Whether a followed by b is how their joint text is encoded."""
         known = self._fits.get((a, b))
@@ -103,17 +112,45 @@ class WordTrieBpe:
 
     def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
         """Token ids of each distinct word (no white space, normalised, as text)."""
-        byte, out = self._bytes, {}
-        spelled = sorted(("".join([byte[c] for c in w.encode()]), w) for w in set(words))
-        inner, final, longest, fits = self.inner, self.final, self.longest, self.fits
-        known = self._fits
+        out: dict[str, list[int]] = {}
+        table = self._spelling
+        # printable ASCII stands for itself in the byte alphabet
+        spelled = {w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(table): w for w in words}
+        inner, final, lengths, final_lengths = self.inner, self.final, self.lengths, self.final_lengths
+        fits, known = self.fits, self._fits
+        one = (1,)
         path = ""  # symbols from the root to the current node
-        last: list[int] = [-1]  # last token of each prefix on the path
+        last: list[int | None] = [-1]  # last token of each prefix on the path; None: not needed so far
         size: list[int] = [0]  # and its length in symbols
-        for symbols, word in spelled:
+
+        def state(k: int) -> int:
+            """Last token of the path's first k symbols. Exactly one token can end a prefix."""
+            for n in lengths.get(symbols[k - 2 : k], one) if k > 1 else one:
+                i = k - n
+                if i < 0:
+                    continue
+                t = inner.get(symbols[i:k])
+                if t is None:
+                    continue
+                if i == 0:
+                    if self._whole(t):
+                        break
+                    continue
+                p = last[i]
+                if p is None:
+                    p = state(i)
+                ok = known.get((p, t))
+                if ok or ok is None and fits(p, t):
+                    break
+            else:
+                raise ValueError(f"no token for {symbols[k - 1]!r} in {self.path}")
+            last[k], size[k] = t, n
+            return t
+
+        for symbols in sorted(spelled):
             n = len(symbols)
             if not n:
-                out[word] = []
+                out[spelled[symbols]] = []
                 continue
             depth, top = 0, min(len(path), n - 1)
             if path[:top] == symbols[:top]:
@@ -122,38 +159,39 @@ class WordTrieBpe:
                 while path[depth] == symbols[depth]:
                     depth += 1
             del last[depth + 1 :], size[depth + 1 :]  # back up to the node where the words part
-            for k in range(depth + 1, n + 1):
-                tokens = inner if k < n else final
-                # exactly one token can end a prefix, so the two likeliest are tried first:
-                # the last token with the new symbol, then the new symbol alone
-                t = None
-                i = k - 1 - size[k - 1]
-                for i in (i, k - 1) if k > 1 else (0,):
-                    t = tokens.get(symbols[i:k])
-                    if t is not None:
-                        if i == 0:
-                            if self._whole(t):
-                                break
-                        elif (ok := known.get((last[i], t))) or ok is None and fits(last[i], t):
-                            break
-                        t = None
+            last += [None] * (n - 1 - depth)
+            size += [0] * (n - 1 - depth)
+            path = symbols[: n - 1]
+            if n > 200:  # long words front to back, so that state() isn't nested
+                for k in range(depth + 1, n):
+                    state(k)
+            for m in final_lengths.get(symbols[n - 2 :], one) if n > 1 else one:
+                i = n - m
+                if i < 0:
+                    continue
+                t = final.get(symbols[i:])
                 if t is None:
-                    for i in range(max(0, k - longest), k):
-                        t = tokens.get(symbols[i:k])
-                        if t is not None and (self._whole(t) if i == 0 else fits(last[i], t)):
-                            break
-                    else:
-                        raise ValueError(f"no token for {symbols[k - 1]!r} in {self.path}")
-                last.append(t)
-                size.append(k - i)
-            ids, i = [], n
+                    continue
+                if i == 0:
+                    if self._whole(t):
+                        break
+                    continue
+                p = last[i]
+                if p is None:
+                    p = state(i)
+                ok = known.get((p, t))
+                if ok or ok is None and fits(p, t):
+                    break
+            else:
+                raise ValueError(f"no token for {symbols[-1]!r} in {self.path}")
+            ids = [t]
             while i:
+                if last[i] is None:
+                    state(i)
                 ids.append(last[i])
                 i -= size[i]
             ids.reverse()
-            out[word] = ids
-            path = symbols[: n - 1]
-            del last[n:], size[n:]
+            out[spelled[symbols]] = ids
         return out
 
     def _whole(self, t: int) -> bool:
@@ -185,14 +223,14 @@ class WordTrieBpe:
 
     def encode_units(self, units: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
         """(unit, token ids) of distinct units."""
-        words = {u: [u[1:]] if u[0] == "\1" else _WORD.findall(u) for u in units if u[0] != "\0"}
-        ids = self.encode_words(w for ws in words.values() for w in ws)
+        split = _WORD.findall
+        words = {u: (u,) if u.isalpha() and u.isascii() else [u[1:]] if u[0] == "\1" else split(u) for u in units if u[0] != "\0"}
+        ids = self.encode_words({w for ws in words.values() for w in ws})
+        for u, ws in words.items():
+            yield u, ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
         for u in units:
             if u[0] == "\0":
                 yield u, [int(u[1:])]
-            else:
-                ws = words[u]
-                yield u, ids[ws[0]] if len(ws) == 1 else [i for w in ws for i in ids[w]]
 
     def blocks(self, texts: list[str | None], caches: list[dict], renders: list) -> Iterator[list[str]]:
         """The units of each text; caches[k] then holds renders[k](ids) of each unit."""

@@ -18,8 +18,8 @@ equal pieces follow doc_id and piece. A null doc_id is packed like any other. An
 from __future__ import annotations
 
 import zlib
-from array import array
 from collections.abc import Iterator
+from struct import pack as pack_ids
 
 import numpy as np
 import pyarrow as pa
@@ -37,14 +37,14 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
 def _pieces(path: str, capacity: int, end_id: int):
-    end = array("I", [end_id]).tobytes()
+    end = pack_ids("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, (known, _) = tokenizer(path), caches("bytes", path)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             out: tuple[list, ...] = ([], [], [], [], [])
-            for doc, units in zip(ids, t.blocks(batch.column("text").to_pylist(), [known], [lambda x: np.array(x, "<u4").tobytes()]), strict=True):
+            for doc, units in zip(ids, t.blocks(batch.column("text").to_pylist(), [known], [lambda x: pack_ids(f"<{len(x)}I", *x)]), strict=True):
                 packed = b"".join(map(known.__getitem__, units)) + end
                 step = 4 * capacity
                 for k, at in enumerate(range(0, len(packed), step)):
