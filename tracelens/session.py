@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import os
+import tempfile
+import uuid
+import zipfile
+from pathlib import Path
+
 from pyspark.sql import SparkSession
 
 
@@ -14,3 +20,20 @@ def session(master: str = "local[*]", shuffle_partitions: int = 8, **conf: str)
     for k, v in {**base, **conf}.items():
         b = b.config(k, v)
     return b.getOrCreate()
+
+
+_shipped: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Give the executors this package, once per application, so that Python tasks can import it anywhere."""
+    sc = spark.sparkContext
+    if sc.applicationId in _shipped:
+        return
+    top = Path(__file__).resolve().parents[1]
+    target = os.path.join(tempfile.mkdtemp(), f"tracelens_{uuid.uuid4().hex}.zip")
+    with zipfile.ZipFile(target, "w") as z:
+        for p in sorted((top / "tracelens").rglob("*.py")):
+            z.write(p, p.relative_to(top))
+    sc.addPyFile(target)
+    _shipped.add(sc.applicationId)
