@@ -43,7 +43,7 @@ class LogisticSgd:
 class HoeffdingTree:
     """Binary splits on Gaussian class summaries, made when the best gain beats the next by the Hoeffding bound."""
 
-    def __init__(self, n: int, grace: int = 100, confidence: float = 1e-5, tie: float = 0.05, leaves: int = 64):
+    def __init__(self, n: int, grace: int = 100, confidence: float = 1e-4, tie: float = 0.1, leaves: int = 64):
         self.n, self.grace, self.confidence, self.tie, self.leaves = n, grace, confidence, tie, leaves
         self.reset()
 

@@ -13,7 +13,9 @@ from pyspark.sql import functions as F
 from tracelens.streaming.detectors import make_detector
 from tracelens.streaming.online import make_learner
 
-EVENTS = "key string, idx long, n long, statistic double, warning int"
+
+def _drifts(key: str, found: list[int]) -> pd.DataFrame:
+    return pd.DataFrame({"key": pd.Series([key] * len(found), dtype="object"), "idx": pd.Series(found, dtype="int64")})
 
 
 def replay_detector(df: DataFrame, key: str, order: str, value: str, detector: str, **kw) -> DataFrame:
@@ -23,7 +25,7 @@ def replay_detector(df: DataFrame, key: str, order: str, value: str, detector: s
         d, pdf = make_detector(detector, **kw), pdf.sort_values("o")
         for x in pdf["v"]:
             d.update(x)
-        return pd.DataFrame({"key": [str(pdf["k"].iloc[0])] * len(d.drift_indices), "idx": d.drift_indices})
+        return _drifts(str(pdf["k"].iloc[0]), d.drift_indices)
 
     rows = df.select(F.col(key).cast("string").alias("k"), F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
     return rows.groupBy("k").applyInPandas(run, "key string, idx long")
@@ -41,7 +43,7 @@ def stream_detector(df: DataFrame, key: str, order: str, value: str, detector: s
             if d.update(x):
                 found.append(d.drift_indices[-1])
         state.update((pickle.dumps(d),))
-        yield pd.DataFrame({"key": [k[0]] * len(found), "idx": pd.Series(found, dtype="int64")})
+        yield _drifts(k[0], found)
 
     rows = df.select(F.col(key).cast("string").alias("k"), F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
     return rows.groupBy("k").applyInPandasWithState(run, "key string, idx long", "state binary", "append", "NoTimeout")
