@@ -38,9 +38,9 @@ LENGTH, GRAM = 50, 16
 REACH = LENGTH - GRAM
 
 COVERED, EXTEND = 0, 1
-SUFFIX = "gram long, around long, doc_id long, text_hash long, pos int, words int, kind int"
-SPAN = "doc_id long, text_hash long, lo int, hi int"
-WINDOW = "h1 long, h2 long, doc_id long, text_hash long, lo int"
+SUFFIX = "gram long, around long, doc_id long, text_hash int, pos int, kind int"
+FOUND = "doc_id long, text_hash int, pos int, kind int"
+WINDOW = "h1 long, h2 long, doc_id long, text_hash int, lo int"
 
 
 class Text:
@@ -89,41 +89,49 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if b - a >= LENGTH:
                     t = Text(w.hash[a:b])
                     m = len(t.suffixes)
-                    parts.append((t.grams[t.suffixes], t.around(), np.full(m, docs[row + k]), np.full(m, marks[row + k]), t.suffixes, np.full(m, t.n)))
+                    parts.append((t.grams[t.suffixes], t.around(), np.full(m, docs[row + k]), np.full(m, marks[row + k]), t.suffixes))
         if not parts:
             continue
-        gram, around, doc, mark, pos, n = (np.concatenate(c) for c in zip(*parts, strict=True))
+        gram, around, doc, mark, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
         order = np.lexsort((pos, doc, around, gram))
-        gram, around, doc, mark, pos, n = (c[order] for c in (gram, around, doc, mark, pos, n))
+        gram, around, doc, mark, pos = (c[order] for c in (gram, around, doc, mark, pos))
         head = np.append(True, (gram[1:] != gram[:-1]) | (around[1:] != around[:-1]))
         first = np.maximum.accumulate(np.where(head, np.arange(len(gram)), 0))
         later = (doc > doc[first]) | (pos > pos[first])
         kind = np.where(later, COVERED, EXTEND)
         ints = lambda x: pa.array(x.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([_longs(gram), _longs(around), pa.array(doc), pa.array(mark), ints(pos), ints(n), ints(kind)], [x.split()[0] for x in SUFFIX.split(", ")])
+        yield pa.RecordBatch.from_arrays([_longs(gram), _longs(around), pa.array(doc), ints(mark), ints(pos), ints(kind)], [x.split()[0] for x in SUFFIX.split(", ")])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In the order of (gram, around, doc_id, pos): COVERED for what comes after an equal suffix, EXTEND for what
-    shares its k-gram with a neighbour only; the rest is unique."""
+    """In the order of (kind, gram, around, doc_id, pos): COVERED for what is settled already or comes after an equal
+    suffix, EXTEND for what shares its k-gram with a neighbour only; the rest is unique."""
     first = None  # (gram, around, doc, pos) of the current class
-    held = None  # the last row, until its next neighbour is known: (doc, mark, pos, n, kind, gram, shared)
-    out_kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int32())
+    held = None  # the last row, until its next neighbour is known: (doc, mark, pos, kind, gram, shared)
+    names = ("kind", "gram", "around", "doc_id", "text_hash", "pos")
+
+    def made(out: tuple[list, ...]) -> pa.RecordBatch:
+        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
+
     for batch in batches:
-        names = ("gram", "around", "doc_id", "text_hash", "pos", "words")
-        out: tuple[list, ...] = ([], [], [], [], [])
-        for g, s, doc, mark, pos, n in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+        out: tuple[list, ...] = ([], [], [], [])
+        for settled, g, s, doc, mark, pos in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if settled == COVERED:
+                for c, v in zip(out, (doc, mark, pos, COVERED), strict=True):
+                    c.append(v)
+                continue
             if first is None or first[0] != g or first[1] != s:
                 first = (g, s, doc, pos)
             kind = COVERED if (doc, pos) > first[2:] else EXTEND
-            shared = held is not None and held[5] == g
-            if held is not None and (held[4] == COVERED or held[6] or shared):
+            shared = held is not None and held[4] == g
+            if held is not None and (held[3] == COVERED or held[5] or shared):
                 for c, v in zip(out, held, strict=False):
                     c.append(v)
-            held = (doc, mark, pos, n, kind, g, shared)
-        yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, out_kinds, strict=True)], ["doc_id", "text_hash", "pos", "words", "kind"])
-    if held is not None and (held[4] == COVERED or held[6]):
-        yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(held, out_kinds, strict=False)], ["doc_id", "text_hash", "pos", "words", "kind"])
+            held = (doc, mark, pos, kind, g, shared)
+        yield made(out)
+    if held is not None and (held[3] == COVERED or held[5]):
+        yield made(tuple([v] for v in held[:4]))
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,18 +150,19 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append((h1, h2, np.full(len(lo), docs[row + k].as_py()), np.full(len(lo), marks[row + k].as_py()), np.where(own, -1 - lo, lo)))
         if parts:
             h1, h2, doc, mark, lo = (np.concatenate(c) for c in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([_longs(h1), _longs(h2), pa.array(doc), pa.array(mark), pa.array(lo.astype(np.int32))], [x.split()[0] for x in WINDOW.split(", ")])
+            yield pa.RecordBatch.from_arrays([_longs(h1), _longs(h2), pa.array(doc), pa.array(mark.astype(np.int32)), pa.array(lo.astype(np.int32))], [x.split()[0] for x in WINDOW.split(", ")])
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(doc_id, text_hash, spans): the covered word ranges of texts (doc_id, text_hash, text), not merged yet."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    suffixes = saved(texts.mapInArrow(_suffixes, SUFFIX), "suffixes")
-    dealt = suffixes.where(f"kind = {EXTEND}").repartition(n, "gram").sortWithinPartitions("gram", "around", "doc_id", "pos")
-    found = saved(dealt.mapInArrow(_neighbours, "doc_id long, text_hash long, pos int, words int, kind int"), "neighbours")
-    settled = found.where(f"kind = {COVERED}").drop("kind").union(suffixes.where(f"kind = {COVERED}").select("doc_id", "text_hash", "pos", "words"))
-    lo, hi = F.greatest(F.col("pos") - REACH, F.lit(0)), F.least(F.col("pos") + LENGTH, F.col("words"))
-    settled = settled.select("doc_id", "text_hash", lo.alias("lo"), hi.alias("hi")).where(f"hi - lo >= {LENGTH}")
+    suffixes = texts.mapInArrow(_suffixes, SUFFIX)
+    # what a batch has settled goes anywhere, so that copies don't meet in the task of their k-gram
+    deal = F.when(F.col("kind") == COVERED, F.xxhash64("doc_id", "pos")).otherwise(F.col("gram"))
+    dealt = suffixes.withColumn("deal", deal).repartition(n, "deal").drop("deal").sortWithinPartitions("kind", "gram", "around", "doc_id", "pos")
+    found = saved(dealt.mapInArrow(_neighbours, FOUND), "neighbours")
+    # the surroundings of a suffix are a window at least, since its k-gram lies within the text
+    settled = found.where(f"kind = {COVERED}").select("doc_id", "text_hash", F.greatest(F.col("pos") - REACH, F.lit(0)).alias("lo"), (F.col("pos") + LENGTH).alias("hi"))
 
     extend = found.where(f"kind = {EXTEND}").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("at"))
     windows = saved(texts.join(extend, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "at").mapInArrow(_windows, WINDOW), "windows")
@@ -205,7 +214,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """docs with text_col cleaned, and words_before and words_removed (long) added. All other columns stay."""
     text = F.col(f"`{text_col}`")
     others = [c for c in docs.columns if c != text_col]
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.hash(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"))
     spans = repeated_spans(rows.where("doc_id is not null").select("doc_id", "text_hash", "text"))
     joined = rows.join(spans, ["doc_id", "text_hash"], "left").select("rest", "text", "spans")
     schema = joined.drop("spans").schema.add("words_before", "long").add("words_removed", "long")
