@@ -22,6 +22,7 @@ from typing import Any
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 #: Words a Python worker remembers before it starts anew: about 300 MB.
 CACHE_WORDS = 1_000_000
@@ -294,7 +295,7 @@ def encode_digests(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
 def encode(docs: DataFrame, path: str, text_col: str = "text", out_col: str = "ids") -> DataFrame:
     """docs with the token ids of text_col as array<int>; all its columns stay."""
-    schema = docs.drop(out_col).schema.add(out_col, "array<int>")
+    schema = docs.drop(out_col).schema.add(out_col, T.ArrayType(T.IntegerType()))
     plain = docs.drop(out_col)
 
     def run(batches):

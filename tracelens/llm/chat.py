@@ -91,11 +91,15 @@ def canonical_turns(df: DataFrame, out_col: str = "turns") -> DataFrame:
     if layout is None or layout.kind == "rows":
         raise ValueError(f"no layout for {sorted(field_paths(df.schema))}")
     if layout.kind == "list":
-        (role, text), = layout.turns
-        return df.withColumn(out_col, F.coalesce(F.transform(F.col(layout.at), lambda x: F.struct(_role(x[role], layout).alias("role"), _text(x[text]).alias("text"))), F.array().cast(TURN)))
+        return df.withColumn(out_col, F.coalesce(_listed(F.col(layout.at), layout), F.array().cast(TURN)))
     return df.withColumn(out_col, _fields([(r, F.col(p)) for r, p in layout.turns]))
 
 
+def _listed(c: Column, layout: Layout) -> Column:
+    (role, text), = layout.turns
+    return F.transform(c, lambda x: F.struct(_role(x[role], layout).alias("role"), _text(x[text]).alias("text")))
+
+
 def _fields(pairs: list[tuple[str, Column]]) -> Column:
     """One turn a field; neighbours of one role are joined by an empty line, empty optional ones go."""
     turns: list[tuple[str, list[Column]]] = []
@@ -123,7 +127,7 @@ def json_turns(df: DataFrame, json_col: str, out_col: str = "turns") -> DataFram
             names = sorted((role, text))
             shape = f"OBJECT<{layout.at}: ARRAY<OBJECT<{names[0]}: -, {names[1]}: ->>>"
             found = F.try_variant_get(record, f"$.{layout.at}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            value = F.transform(found, lambda x, role=role, text=text, layout=layout: F.struct(_role(x[role], layout).alias("role"), _text(x[text]).alias("text")))
+            value = _listed(found, layout)
         elif layout.kind == "fields":
             shape = "OBJECT<" + ", ".join(f"{p}: -" for p in layout.paths) + ">"
             value = _fields([(r, F.try_variant_get(record, f"$.{p}", "string")) for r, p in layout.turns])
