@@ -104,7 +104,9 @@ def cardinality(df: DataFrame) -> DataFrame:
     """column, distinct (exact; arrays by element): one pass over an unpivoted frame."""
     flat = [c for c, k in df.dtypes if not k.startswith("array")]
     arrays = [c for c, k in df.dtypes if k.startswith("array")]
-    parts = F.concat(F.array(*[F.struct(F.lit(c).alias("column"), F.to_json(F.struct(F.col(f"`{c}`").alias("v"))).alias("v")) for c in flat]), *[F.transform(F.coalesce(F.col(f"`{c}`"), F.array()), lambda x, c=c: F.struct(F.lit(c).alias("column"), F.to_json(F.struct(x.alias("v"))).alias("v"))) for c in arrays])
+    as_row = lambda c, v: F.struct(F.lit(c).alias("column"), F.to_json(F.struct(v.alias("v"))).alias("v"))
+    elements = lambda c: F.transform(F.coalesce(F.col(f"`{c}`"), F.array()), lambda x: as_row(c, x))
+    parts = F.concat(F.array(*[as_row(c, F.col(f"`{c}`")) for c in flat]), *[elements(c) for c in arrays])
     rows = df.select(F.explode(parts).alias("x")).select("x.*").where("v <> '{}'")
     return rows.distinct().groupBy("column").agg(F.count("*").alias("distinct"))
 
