@@ -4,7 +4,7 @@ Two texts are equal when identical after lower-casing A-Z. Each distinct text of
 hash, text bytes, largest doc_id, count), so copies are counted before the shuffle. The key's first bits name an owner;
 an owner task reads its key range in key order, chains the texts of one key, compares their bytes, and puts a record
 for each distinct text into its part of the index: a directory over the next bits of the key that doubles when a full
-bucket can't be split otherwise. A bucket that holds one key only grows by its chain instead. The index is written to
+bucket can't be split otherwise. A bucket that holds one key only, or is as deep as may be, grows by its chain instead. The index is written to
 the shared folder as records (owner, bucket, depth, key, chain, ...); documents then look their group up there.
 
 Null counts as empty. Of equal texts the row with the largest doc_id stays; rows with the same text and doc_id are one
@@ -26,6 +26,8 @@ from tracelens.llm.common import saved
 #: Records of a bucket before it is split, and first bits of a key that name its owner.
 BUCKET, OWNER_BITS = 512, 12
 
+#: Doublings of an owner's directory; a bucket of this depth overflows into its chain instead.
+MOST_DEPTH = 16
 KEY_BITS = 64
 MASK = (1 << KEY_BITS) - 1
 
@@ -55,7 +57,7 @@ class Directory:
         while True:
             bucket = self.slots[self._slot(record[0])]
             records = bucket["records"]
-            if len(records) < self.capacity or bucket["depth"] + self.skip >= KEY_BITS or all(r[0] == record[0] for r in records):
+            if len(records) < self.capacity or bucket["depth"] >= MOST_DEPTH or all(r[0] == record[0] for r in records):
                 records.append(record)
                 return
             self._split(bucket)
