@@ -292,7 +292,7 @@ _P = "SELECT s_suppkey AS id, (s_suppkey * 37 % 101 + 1) / 2000 AS p FROM suppli
 
 
 def _family(spark, sf_dir):
-    s = spark.read.parquet(f"{sf_dir}/supplier.parquet").where("s_suppkey < 30")
+    s = spark.read.parquet(f"{sf_dir}/supplier.parquet")
     return s.select(F.col("s_suppkey").alias("id"), ((F.col("s_suppkey") * 37 % 101 + 1) / 2000).alias("p"))
 
 
