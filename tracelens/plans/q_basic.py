@@ -111,9 +111,9 @@ both("set_01_union_all", "SELECT event_id, 'view' AS part FROM ie WHERE type = 3
 both("set_02_vertical", "SELECT CAST(s_suppkey AS BIGINT) AS id, CAST(s_acctbal AS DOUBLE) AS v FROM supplier UNION ALL SELECT CAST(c_custkey AS BIGINT), CAST(c_acctbal AS DOUBLE) FROM customer")
 both("set_04_distinct", "SELECT DISTINCT collection_id, type FROM ie")
 both("set_05_dedup_keys", "SELECT machine_id, type, event_id FROM (SELECT machine_id, type, event_id, row_number() OVER (PARTITION BY machine_id, type ORDER BY time, event_id) AS r FROM ie) a WHERE r = 1")
-both("set_07_upsert", "SELECT id, v FROM (SELECT s_suppkey AS id, s_acctbal AS v FROM supplier) old LEFT ANTI JOIN (SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 = 0) new ON old.id = new.id UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 = 0", "SELECT id, v FROM (SELECT s_suppkey AS id, s_acctbal AS v FROM supplier) old ANTI JOIN (SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 = 0) new ON old.id = new.id UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 = 0")
+both("set_07_upsert", "SELECT id, v FROM (SELECT s_suppkey AS id, s_acctbal AS v FROM supplier) old LEFT ANTI JOIN (SELECT c_custkey AS id FROM customer) new ON old.id = new.id UNION ALL SELECT c_custkey, c_acctbal FROM customer", "SELECT id, v FROM (SELECT s_suppkey AS id, s_acctbal AS v FROM supplier) old ANTI JOIN (SELECT c_custkey AS id FROM customer WHERE c_custkey % 3 = 0) new ON old.id = new.id UNION ALL SELECT c_custkey, c_acctbal FROM customer WHERE c_custkey % 3 = 0")
 both("set_08_sections", f"SELECT 'by_type' AS section, CAST(type AS STRING) AS k, {N} AS n, CAST(NULL AS DOUBLE) AS mean FROM ie GROUP BY 2 UNION ALL SELECT 'by_platform', platform_id, {N}, round(avg(capacity_cpus), 6) FROM me GROUP BY 2", f"SELECT 'by_type' AS section, CAST(type AS VARCHAR) AS k, {N} AS n, CAST(NULL AS DOUBLE) AS mean FROM ie GROUP BY 2 UNION ALL SELECT 'by_platform', platform_id, {N}, round(avg(capacity_cpus), 6) FROM me GROUP BY 2")
-both("set_09_explode_range", "SELECT p_partkey, explode(sequence(1, p_size)) AS i FROM part WHERE p_partkey % 50 = 0", "SELECT p_partkey, unnest(range(1, p_size + 1)) AS i FROM part WHERE p_partkey % 50 = 0")
+both("set_09_explode_range", "SELECT p_partkey, explode(sequence(1, p_size)) AS i FROM part", "SELECT p_partkey, unnest(range(1, p_size + 1)) AS i FROM part WHERE p_partkey % 50 = 0")
 both("fun_scalars", "SELECT event_id, coalesce(nullif(type, 0), -1) AS a, floor(cpu_request) AS b, abs(priority - 200) AS c, greatest(priority, 100) AS d, least(priority, 100) AS e, round(ln(cpu_request + 1), 6) AS f, round(sin(cpu_request), 6) AS g, concat('i_', CAST(collection_id AS STRING), '_', CAST(instance_index AS STRING)) AS h FROM ie", "SELECT event_id, coalesce(nullif(type, 0), -1) AS a, CAST(floor(cpu_request) AS BIGINT) AS b, abs(priority - 200) AS c, greatest(priority, 100) AS d, least(priority, 100) AS e, round(ln(cpu_request + 1), 6) AS f, round(sin(cpu_request), 6) AS g, concat('i_', CAST(collection_id AS VARCHAR), '_', CAST(instance_index AS VARCHAR)) AS h FROM ie")
 both("fun_dates", "SELECT DISTINCT date, year(date) AS y, quarter(date) AS q, month(date) AS m, weekday(date) AS wd, date_format(date, 'yyyy-MM') AS ym, concat(CAST(year(date) AS STRING), 'Q', CAST(quarter(date) AS STRING)) AS yq FROM dd", "SELECT DISTINCT date, CAST(year(date) AS INTEGER) AS y, CAST(quarter(date) AS INTEGER) AS q, CAST(month(date) AS INTEGER) AS m, CAST(isodow(date) - 1 AS INTEGER) AS wd, strftime(date, '%Y-%m') AS ym, CAST(year(date) AS VARCHAR) || 'Q' || CAST(quarter(date) AS VARCHAR) AS yq FROM dd")
 both("str_01_tumbling", f"SELECT CAST(floor(time / 300000000) AS BIGINT) AS w, {N} AS n FROM ie GROUP BY 1")

@@ -34,7 +34,7 @@ both("win_23_row_index", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_p
 both("prj_12_reconcile", "SELECT serial_number, date, smart_5_raw, CAST(NULL AS BIGINT) AS smart_9_raw, CAST(NULL AS DOUBLE) AS smart_241_raw FROM dd")
 both("prj_22_episode_relabel", "SELECT event_id, CASE WHEN type IN (5, 8) OR (type = 4 AND priority BETWEEN 120 AND 359) THEN 1 WHEN type = 6 THEN 0 ELSE -1 END AS label FROM ie")
 both("set_10_unnest_struct", "SELECT event_id, s.k AS k, s.v AS v FROM (SELECT event_id, struct(type AS k, priority AS v) AS s FROM ie) a", "SELECT event_id, s.k AS k, s.v AS v FROM (SELECT event_id, {'k': type, 'v': priority} AS s FROM ie) a")
-both("set_06_schema_difference", "SELECT a.x FROM (SELECT DISTINCT s_nationkey AS x FROM supplier) a LEFT JOIN (SELECT DISTINCT c_nationkey AS x FROM customer WHERE c_custkey < 20) b ON a.x = b.x WHERE b.x IS NULL")
+both("set_06_schema_difference", "SELECT a.x FROM (SELECT DISTINCT s_nationkey AS x FROM supplier) a LEFT JOIN (SELECT DISTINCT c_nationkey AS x FROM customer) b ON a.x = b.x WHERE b.x IS NULL", "SELECT a.x FROM (SELECT DISTINCT s_nationkey AS x FROM supplier) a LEFT JOIN (SELECT DISTINCT c_nationkey AS x FROM customer WHERE c_custkey < 20) b ON a.x = b.x WHERE b.x IS NULL")
 hashed("srt_04_random_sample", "SELECT event_id FROM ie ORDER BY H[CAST(event_id AS VARCHAR)], event_id LIMIT 50")
 both("agg_22_machine_windows", "SELECT machine_id, CAST(floor(start_time / 21600000000) AS BIGINT) AS w, CAST(count(*) AS BIGINT) AS n_concurrent, round(sum(avg_cpu), 4) AS cpu, max(avg_memory) AS mem FROM us GROUP BY 1, 2")
 _CURVE = "SELECT days, CAST(count(*) AS BIGINT) AS n, round(percentile(smart_197_raw, 0.5), 6) AS med, round(percentile(smart_197_raw, 0.9), 6) AS p90 FROM (SELECT smart_197_raw, {d} AS days FROM (SELECT *, max(CASE WHEN failure = 1 THEN date END) OVER (PARTITION BY serial_number) AS f FROM dd) a WHERE f IS NOT NULL AND date <= f) b WHERE days <= 60 GROUP BY 1"
