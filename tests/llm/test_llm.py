@@ -419,3 +419,25 @@ def test_pipeline_stages(spark, sf_dir):
 
 def test_html_entities_are_the_standard_ones():
     assert html_text.main_text("<article><p>" + "a &copy; &notit; &#x41; b" * 6 + "</p></article>") == " ".join(html.unescape("a &copy; &notit; &#x41; b" * 6).split())
+
+
+def test_json_records_with_extra_fields(spark):
+    want = {
+        '{"id": 7, "prompt": "p", "response": "r"}': [("user", "p"), ("assistant", "r")],
+        '{"prompt": "p", "response": "r", "meta": {"prompt": 1}, "tags": [1], "text": "t"}': [("user", "p"), ("assistant", "r")],
+        '{"messages": [{"role": "user", "content": "x", "name": "n"}, {"role": "assistant", "content": "y"}], "source": "s", "id": 1}': [("user", "x"), ("assistant", "y")],
+        '{"messages": [{"role": "user", "content": 1}, null, {"role": "gpt", "content": "y", "meta": {"a": [1]}}]}': [("user", "1"), ("", ""), ("assistant", "y")],
+        '{"id": 1, "conversations": [{"from": "human", "value": "a", "weight": 0.5}, {"from": "gpt"}]}': [("user", "a"), ("assistant", "")],
+        '{"instruction": "do", "input": "this", "output": "done", "split": "train"}': [("user", "do\n\nthis"), ("assistant", "done")],
+        '{"messages": []}': [],
+        '{"dialog": [], "id": 3}': [],
+        '{"messages": ["x"]}': None,
+        '{"messages": [{"role": "user", "content": ["x"]}, {"role": "user", "content": "y"}]}': None,
+        '{"prompt": ["p"], "response": "r"}': None,
+        '{"prompt": "p", "response": "r", "completion": "c"}': None,
+        '{"id": 1}': None,
+        "[1]": None,
+    }
+    d = spark.createDataFrame([(x,) for x in want], "j string")
+    got = {x["j"]: None if x["turns"] is None else [tuple(t) for t in x["turns"]] for x in chat.json_turns(d, "j").collect()}
+    assert got == want

@@ -114,27 +114,36 @@ def _fields(pairs: list[tuple[str, Column]]) -> Column:
 
 
 def json_turns(df: DataFrame, json_col: str, out_col: str = "turns") -> DataFrame:
-    """Records of mixed layouts in one JSON column: each record's own paths are hashed and select its mapping.
+    """Records of mixed layouts in one JSON column: each record's own paths that occur in a layout for records (not
+    "rows") are hashed and select its mapping; other keys, in list elements too, are passed over.
 
     Null and unreadable records and unknown layouts give null."""
-    record = F.try_parse_json(F.col(json_col))
-    kind = F.schema_of_variant(record)
-    print_of = F.sha2(F.regexp_replace(kind, r"(?<=: )(STRING|VOID|BIGINT|DOUBLE|BOOLEAN|DECIMAL\([0-9,]+\))", "-"), 256)
+    layouts = [x for x in LAYOUTS if x.kind != "rows"]
+    d, record = df.withColumn("__record", F.try_parse_json(F.col(json_col))), F.col("__record")
+    known = [F.when(_has(record, p), F.lit(p)) for p in sorted({p for x in layouts for p in x.paths})]
+    print_of = F.sha2(F.array_join(F.array_compact(F.array(*known)), "\n"), 256)
     turns = F.lit(None).cast(TURN)
-    for layout in LAYOUTS:
+    for layout in layouts:
         if layout.kind == "list":
             (role, text), = layout.turns
-            names = sorted((role, text))
-            shape = f"OBJECT<{layout.at}: ARRAY<OBJECT<{names[0]}: -, {names[1]}: ->>>"
-            found = F.try_variant_get(record, f"$.{layout.at}", f"array<struct<`{role}`:string,`{text}`:string>>")
-            value = _listed(found, layout)
-        elif layout.kind == "fields":
-            shape = "OBJECT<" + ", ".join(f"{p}: -" for p in layout.paths) + ">"
-            value = _fields([(r, F.try_variant_get(record, f"$.{p}", "string")) for r, p in layout.turns])
+            value = _listed(F.try_variant_get(record, f"$.{layout.at}", f"array<struct<`{role}`:string,`{text}`:string>>"), layout)
         else:
-            continue
-        turns = F.when(print_of == hashlib.sha256(shape.encode()).hexdigest(), value).otherwise(turns)
-    return df.withColumn(out_col, turns)
+            value = _fields([(r, F.try_variant_get(record, f"$.{p}", "string")) for r, p in layout.turns])
+        turns = F.when(print_of == fingerprint(layout.paths), value).otherwise(turns)
+    return d.withColumn(out_col, turns).drop("__record")
+
+
+def _has(record: Column, path: str) -> Column:
+    """Whether a record has a plain value at a layout's path; an empty list has all paths below it."""
+    kind = lambda v, name: F.coalesce(F.schema_of_variant(F.try_variant_get(v, f"$.{name}", "variant")), F.lit(""))
+    plain = lambda k: ~k.startswith("OBJECT") & ~k.startswith("ARRAY")
+    at, _, name = path.rpartition("[].")
+    if not at:
+        return (kind(record, name) != "") & plain(kind(record, name))
+    items = F.try_variant_get(record, f"$.{at}", "array<variant>")
+    objects = F.forall(items, lambda x: F.coalesce(F.schema_of_variant(x), F.lit("VOID")).rlike("^(OBJECT|VOID)"))
+    some = (F.size(items) == 0) | F.exists(items, lambda x: kind(x, name) != "")
+    return F.coalesce(objects & some & F.forall(items, lambda x: plain(kind(x, name))), F.lit(False))
 
 
 # Template: <|turn:ROLE|>\nTEXT<|end|>\n ; inside roles and texts \ is doubled and the bars of <| and |> get a \.
