@@ -441,3 +441,12 @@ def test_json_records_with_extra_fields(spark):
     d = spark.createDataFrame([(x,) for x in want], "j string")
     got = {x["j"]: None if x["turns"] is None else [tuple(t) for t in x["turns"]] for x in chat.json_turns(d, "j").collect()}
     assert got == want
+
+
+def test_top_k_repeated_query_id_beside_copies(spark):
+    vs = [(0, [0.5] * 4)] * 10 + [(i, [0.5] * 4) for i in (1, 2, 3)] + [(3, [0.5] * 4)] * 2
+    d = spark.createDataFrame(vs, "vec_id long, embedding array<double>")
+    got = collections.defaultdict(list)
+    for x in sorted(top_k.top_k(d, F.col("vec_id") < 2).collect(), key=lambda x: x["rank"]):
+        got[x["query_id"]].append(x["vec_id"])
+    assert got == {0: [1, 2, 3, 3, 3], 1: [0, 0, 0, 0, 0]}

@@ -58,7 +58,10 @@ class BallTree:
         self.nodes.append(())
         same = len(rows) > 1 and bool((x == x[0]).all())
         if same:
-            rows, radius = rows[: self.k + 1], radius  # of equal vectors only the smallest ids can be found
+            # of equal vectors only the smallest ids can be found: k rows of each, and one id more as a query's own go
+            first = np.concatenate([[True], np.diff(self.ids[rows]) != 0])
+            nth = np.cumsum(first) - 1
+            rows = rows[(nth <= self.k) & (np.arange(len(rows)) - np.flatnonzero(first)[nth] < self.k)]
         if len(rows) <= LEAF or same:
             self.nodes[at] = (centre, radius, None, rows)
             return at
