@@ -450,3 +450,19 @@ def test_top_k_repeated_query_id_beside_copies(spark):
     for x in sorted(top_k.top_k(d, F.col("vec_id") < 2).collect(), key=lambda x: x["rank"]):
         got[x["query_id"]].append(x["vec_id"])
     assert got == {0: [1, 2, 3, 3, 3], 1: [0, 0, 0, 0, 0]}
+
+
+def test_plan_refills_the_bin_just_used():
+    r = random.Random(2)
+    cases = [(20, {2: 186, 3: 69})] + [(r.choice((17, 20, 31)), {r.randint(1, 12): r.randint(1, 90) for _ in range(4)}) for _ in range(60)]
+    for capacity, counts in cases:
+        bins, ranks = collections.defaultdict(list), collections.defaultdict(list)
+        for length, a, b, s, at in packing.plan_packing(counts, capacity):
+            ranks[length] += range(a, b)
+            for k in range(b - a):
+                bins[s + k].append((at, length))
+        assert ranks == {x: list(range(n)) for x, n in counts.items()}
+        for b in bins.values():
+            ends = [0, *[at + n for at, n in sorted(b)]]
+            assert [at for at, _ in sorted(b)] == ends[:-1] and ends[-1] <= capacity
+        assert len(bins) == best_fit([x for x, n in counts.items() for _ in range(n)], capacity)

@@ -3,8 +3,9 @@
 Best-fit decreasing, exactly and for all documents at once: lengths are whole numbers up to the capacity, so open
 bins with equal room left are interchangeable, and the whole corpus is its histogram of lengths. The plan is made on
 that histogram (at most `capacity` numbers, whatever the corpus): for each length, longest first, a segment tree over
-the capacities finds the least room that still fits in logarithmic time, and as many pieces as there are such bins go
-there at once. The plan's rows say: the pieces of length L ranked a to b go to the bins s, s + 1, ... at offset o.
+the capacities finds the least room that still fits in logarithmic time, and all bins with that room are filled at
+once, each with as many pieces of the length as fit: best fit goes on with the bin it has just used.
+The plan's rows say: the pieces of length L ranked a to b go to the bins s, s + 1, ... at offset o.
 
 Pieces get their rank within a length without a global sort: they are dealt by (length, salt), ranked there, and
 shifted by the counts of the salts before, so a length that a third of the pieces have is spread over SALTS tasks.
@@ -109,21 +110,25 @@ def plan_packing(counts: dict[int, int], capacity: int) -> list[tuple[int, int,
                 room, bins[capacity] = capacity, [(made, made + n)]
                 made += n
             spans = bins[room]
-            rest = room - length
             while spans and left:
                 lo, hi = spans.pop()
-                n = min(left, hi - lo)
-                plan.append((length, rank, rank + n, lo, capacity - room))
-                rank, left = rank + n, left - n
+                # a bin just used is the tightest that fits, so it takes all it can before the next one
+                each = min(left, room // length)
+                n = min(left // each, hi - lo)
+                for k in range(each):
+                    plan.append((length, rank, rank + n, lo, capacity - room + k * length))
+                    rank += n
+                left -= n * each
                 if lo + n < hi:
                     spans.append((lo + n, hi))
+                rest = room - each * length
                 into = bins.setdefault(rest, [])
                 if into and into[-1][1] == lo:
                     into[-1] = (into[-1][0], lo + n)
                 else:
                     into.append((lo, lo + n))
+                tree.mark(rest, True)
             tree.mark(room, bool(spans))
-            tree.mark(rest, True)
     return plan
 
 
