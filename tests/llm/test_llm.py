@@ -9,6 +9,7 @@ import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -466,3 +467,28 @@ def test_plan_refills_the_bin_just_used():
             ends = [0, *[at + n for at, n in sorted(b)]]
             assert [at for at, _ in sorted(b)] == ends[:-1] and ends[-1] <= capacity
         assert len(bins) == best_fit([x for x, n in counts.items() for _ in range(n)], capacity)
+
+
+def test_block_links_do_not_depend_on_signatures():
+    kinds = pa.schema([("cluster", pa.int64()), ("i", pa.int32()), ("j", pa.int32()), ("side", pa.int32()), ("doc_id", pa.int64()), ("component", pa.int64()), ("sig", pa.list_(pa.int32())), ("shingles", pa.list_(pa.int64()))])
+    one = {"cluster": 1, "i": 0, "j": 0}
+    rows_ = [
+        {**one, "side": 0, "doc_id": 1, "component": 1, "sig": [0] * 128, "shingles": list(range(80))},
+        {**one, "side": 1, "doc_id": 2, "component": 2, "sig": [0] * 74 + [1] * 54, "shingles": list(range(78))},
+        {**one, "side": 1, "doc_id": 3, "component": 3, "sig": [0] * 128, "shingles": list(range(50, 150))},
+    ]
+    found = [b.to_pydict() for b in near_dup._block_links(75, 100)(iter([pa.RecordBatch.from_pylist(rows_, kinds)]))]
+    assert found == [{"a": [1], "b": [2]}]
+
+
+def test_near_duplicates_at_other_thresholds(spark):
+    assert near_dup.banding(75, 100) == (32, 4)
+    with pytest.raises(ValueError):
+        near_dup.banding(1, 100)
+    r = random.Random(50)
+    texts = []
+    for k in range(80):
+        ws = [f"w{k}x{i}" for i in range(104)]  # 100 windows of five words; 67 of them stay, 67 / 133 is over a half
+        texts += [" ".join(ws), " ".join([*ws[:71], *[f"v{k}x{r.random()}" for _ in range(33)]])]
+    got = {x["doc_id"]: x["component_id"] for x in near_dup.near_duplicates(frame(spark, texts), num=50).collect()}
+    assert got == {i: i - i % 2 for i in range(len(texts))}

@@ -4,17 +4,16 @@ Method. A text's set holds the hashes (64 bits) of its distinct five-word shingl
 mixer, then the top bits) sends a shingle to a place x in a ring of D places; a second one, a table over the ring, is
 shifted circularly: coordinate k of the signature is the minimum over the set of table[(x + k) mod D]. So two
 permutations give all 128 coordinates, and the coordinates of one shingle are a slice of the table. 32 bands of 4
-coordinates give the candidates; a pair at Jaccard 0.75 misses all bands with probability 5e-6. Every link is
-confirmed on the full sets.
+coordinates give the candidates; a pair at Jaccard 0.75 misses all bands with probability 5e-6. Other thresholds get
+bands of their own. Every link is confirmed on the full sets.
 
 Scale. Texts with equal sets are one class from the start, so large groups of copies are counted by a partial
 aggregate, not paired. In a bucket, candidates are not paired with each other: in each round the bucket's smallest
 class is compared with the others (a star), classes already connected are passed over, and the bucket is done
 when what is left of it is connected. What stays open after STAR_ROUNDS is compared in blocks of BLOCK texts, and only
-the texts outside a cluster's largest component with the others: signatures first, then, nearest first, the full sets,
-until a text has a link to the other's component. A task returns links, never candidates. (A true link fails the
-filter by signature with a probability of about 1e-5.) The centre of a large star is dealt to several tasks by a
-salt. No links, components or signatures reach the driver; components come from large-star/small-star rounds over
+the texts outside a cluster's largest component with the others: the full sets, nearest by signature first, until a
+text has a link to the other's component. A task returns links, never candidates. The centre of a large star is dealt
+to several tasks by a salt. No links, components or signatures reach the driver; components come from large-star/small-star rounds over
 tables in the shared folder.
 
 Nulls and texts without words have an empty set and no links. Rows with one doc_id are one node. Rows with a null
@@ -33,14 +32,12 @@ from pyspark.sql import functions as F
 from tracelens.llm.common import saved
 from tracelens.llm.words import U, chunks, mix, shingle_set
 
-WORDS, BANDS, ROWS = 5, 32, 4
-COORDINATES = BANDS * ROWS
+WORDS, COORDINATES = 5, 128
+#: Most probability that a pair at the threshold shares no band.
+MISS = 1e-5
 RING_BITS = 22
 STAR_ROUNDS = 2
 BLOCK = 256
-#: Share of the signature that two texts of different components must agree in to be verified after the stars: 0.75 less
-#: 4.5 standard deviations.
-LEAST_AGREEMENT = 0.58
 #: Links of a star that one task verifies, about.
 STAR_TASK = 2000
 
@@ -97,6 +94,16 @@ def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(sets, pa.int64())], ["doc_id", "shingles"])
 
 
+def banding(num: int, den: int) -> tuple[int, int]:
+    """(bands, rows a band): the most rows with which a pair at a similarity of num / den has a band in common."""
+    rows = COORDINATES
+    while rows and (1 - min(1.0, num / den) ** rows) ** (COORDINATES // rows) > MISS:
+        rows //= 2
+    if not rows:
+        raise ValueError(f"{COORDINATES} coordinates are too few for a similarity of {num} / {den}")
+    return COORDINATES // rows, rows
+
+
 def similar(x: np.ndarray, y: np.ndarray, num: int, den: int) -> bool:
     """Whether two sets (sorted, not empty) have a Jaccard similarity of at least num / den."""
     if len(x) > len(y):
@@ -189,8 +196,6 @@ def _block_links(num: int, den: int):
                     sigs = np.stack([x[3] for x in left]) if left else np.zeros((0, COORDINATES), np.int32)
                 same = (sigs == own).sum(axis=1)
                 for x in np.argsort(-same, kind="stable"):
-                    if same[x] <= COORDINATES * LEAST_AGREEMENT:
-                        break
                     other, its = left[x][0], left[x][1]
                     if its == comp or other == doc or (other, comp) in joined or (doc, its) in joined:
                         continue
@@ -226,6 +231,7 @@ def _in_blocks(open_rows: DataFrame, sigs: DataFrame, sets: DataFrame, num: int,
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept; linked at a Jaccard similarity >= num / den."""
+    n_bands, width = banding(num, den)
     texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     sketch = saved(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>"), "sketch")
     nodes = sketch.where("n_shingles > 0 and doc_id is not null")
@@ -233,7 +239,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     classes = nodes.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("head"), F.count("*").alias("copies"))
     copies = saved(classes.where("copies > 1").drop("copies"), "copies")
     rest = nodes.join(copies, ["n_shingles", "h1", "h2"], "left").where("head is null or head = doc_id").select("doc_id", "sig")
-    bands = [F.xxhash64(F.lit(b), *[F.get("sig", F.lit(b * ROWS + r)) for r in range(ROWS)]) for b in range(BANDS)]
+    bands = [F.xxhash64(F.lit(b), *[F.get("sig", F.lit(b * width + r)) for r in range(width)]) for b in range(n_bands)]
     keys = rest.select("doc_id", F.explode(F.array(*bands)).alias("band"))
     full = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").drop("n")
     buckets = saved(keys.join(full, "band").distinct(), "buckets")
