@@ -34,3 +34,12 @@ def test_set_queries_read_all_rows(spark, tmp_path):
     assert run("set_06_schema_difference") == [(24,)]
     assert run("set_07_upsert") == [(i, float(i) if i <= 100 else 0.5) for i in range(1, 151)]
     assert run("set_09_explode_range") == [(p, i) for p in range(1, 101) for i in range(1, p % 4 + 2)]
+
+
+def test_forest_has_the_librarys_trees(spark, sf_dir, monkeypatch):
+    from tracelens.models import batch
+
+    kept = []
+    monkeypatch.setattr(batch, "evaluate", lambda model, df, label: kept.append(model) or df)
+    QUERIES["mod_02_forest"](spark, sf_dir)
+    assert kept[0].pipeline.stages[-1].getNumTrees == 300

@@ -408,4 +408,4 @@ def mod_02_forest(spark, sf_dir):
 
     pr = predictions(spark, sf_dir).withColumn("x2", F.col("y_score") * F.col("entity"))
     train, test = pr.where(exprs.hash_bucket(F.col("entity"), 10) < 7), pr.where(exprs.hash_bucket(F.col("entity"), 10) >= 7)
-    return evaluate(fit_model("random_forest", train, ["y_score", "x2"], "y_true", num_trees=10), test, "y_true")
+    return evaluate(fit_model("random_forest", train, ["y_score", "x2"], "y_true"), test, "y_true")
