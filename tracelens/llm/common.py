@@ -7,6 +7,7 @@ import tempfile
 import uuid
 import zipfile
 from pathlib import Path
+from weakref import WeakKeyDictionary
 
 from pyspark import SparkContext
 from pyspark.sql import DataFrame, SparkSession
@@ -36,26 +37,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode, else the warehouse."""
+    """The folder of spark.checkpoint.dir; where it is unset, a temporary one in local mode, an error on a cluster."""
     sc: SparkContext = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getCheckpointDir()
     if not root:
-        if sc.master.startswith("local") and not sc.master.startswith("local-cluster"):
-            root = f"file://{tempfile.mkdtemp(prefix='tracelens-')}"
-        else:
-            root = spark.conf.get("spark.sql.warehouse.dir")
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tracelens-')}"
         sc.setCheckpointDir(root)
     return root
 
 
+_paths: WeakKeyDictionary[DataFrame, str] = WeakKeyDictionary()
+
+
+def _hadoop(spark: SparkSession, path: str):
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hadoop, hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+
+
 def saved(df: DataFrame, name: str) -> DataFrame:
     """Write df as a table in the shared folder and read it again: lineage ends at replicated files.
 
-    The folder goes when the application ends (deleteOnExit of its file system)."""
+    The folder goes by discard(), at the latest when the application ends (deleteOnExit of its file system)."""
     spark = df.sparkSession
     path = f"{shared_root(spark)}/tracelens/{name}-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
-    jvm = spark.sparkContext._jvm
-    hadoop = jvm.org.apache.hadoop.fs.Path(path)
-    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    hadoop, files = _hadoop(spark, path)
+    files.deleteOnExit(hadoop)
+    out = spark.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def discard(*frames: DataFrame) -> None:
+    """Delete tables that saved() has made and that nothing reads any more."""
+    for f in frames:
+        if f in _paths:
+            hadoop, files = _hadoop(f.sparkSession, _paths.pop(f))
+            files.delete(hadoop, True)
