@@ -6,7 +6,9 @@ prefix plus one token, so the state is all that needs to be stored, and prefixes
 once. A token t may end a prefix when the token before it is compatible with it, that is when no merge of the
 pair's own history, undone from the latest, would have joined symbols across the border earlier.
 
-Files: the JSON of the `tokenizers` library with a BPE model, byte-level pre-tokenisation and a word-end suffix.
+Files: the JSON of the `tokenizers` library with a BPE model, byte-level pre-tokenisation and perhaps a word-end suffix.
+The file's normalizer and pre-tokenizer are compared with the patterns of the fast path when it is loaded; the library
+normalises and splits the texts of other files, and texts with characters outside those patterns.
 Nulls count as empty texts; an empty text has no tokens. Repeated rows and ties give equal results; texts and words
 of any length are encoded whole.
 """
@@ -34,6 +36,11 @@ _PRINTABLE = [*range(33, 127), *range(161, 173), *range(174, 256)]
 _LATIN = "a-zß-öø-ÿ"
 _PLAIN = re.compile("[\\t\\n\\r -~À-ÖØ-öø-ÿ]*")
 _WORD = re.compile(f"[{_LATIN}]+|'(?:s|t|re|ve|m|ll|d)|[0-9]|[^\\s{_LATIN}0-9]+")
+#: The normalizer and pre-tokenizer that these two patterns stand for; texts of other files go through the library's.
+_PLAIN_NORMALIZER = {"type": "Sequence", "normalizers": [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": "\\s+"}, "content": " "}, {"type": "Lowercase"}]}
+_PLAIN_SPLIT = {"type": "Split", "pattern": {"Regex": "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"}, "behavior": "Removed", "invert": True}
+_PLAIN_BYTES = {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}
+_PLAIN_PRETOKENIZER = {"type": "Sequence", "pretokenizers": [_PLAIN_SPLIT, _PLAIN_BYTES]}
 
 
 def byte_alphabet() -> list[str]:
@@ -54,6 +61,8 @@ class WordTrieBpe:
         added = {x["content"]: x["id"] for x in spec["added_tokens"]}
         self.added = added
         self.tokens = {i: t for t, i in self.vocab.items()} | {i: t for t, i in added.items()}
+        self.joined = spec.get("decoder") is None
+        self._plain = spec.get("normalizer") == _PLAIN_NORMALIZER and spec.get("pre_tokenizer") == _PLAIN_PRETOKENIZER
         self._added = re.compile("(" + "|".join(re.escape(x) for x in sorted(added, key=len, reverse=True)) + ")") if added else None
         self._bytes = byte_alphabet()
         self._from = {c: b for b, c in enumerate(self._bytes)}
@@ -115,8 +124,8 @@ class WordTrieBpe:
         """Token ids of each distinct word (no white space, normalised, as text)."""
         out: dict[str, list[int]] = {}
         table = self._spelling
-        # printable ASCII stands for itself in the byte alphabet
-        spelled = {w if w.isascii() and w.isprintable() else w.encode().decode("latin-1").translate(table): w for w in words}
+        # printable ASCII but the space stands for itself in the byte alphabet
+        spelled = {w if w.isascii() and w.isprintable() and " " not in w else w.encode().decode("latin-1").translate(table): w for w in words}
         inner, final, lengths, final_lengths = self.inner, self.final, self.lengths, self.final_lengths
         fits, known = self.fits, self._fits
         one = (1,)
@@ -212,14 +221,18 @@ class WordTrieBpe:
             return [u for x in pieces if x for u in ([f"\0{self.added[x]}"] if x in self.added else self._units(x))]
         return self._units(text)
 
-    def _units(self, text: str) -> list[str]:
-        if _PLAIN.fullmatch(text):
-            return text.lower().split()
+    def _library(self) -> Any:
         if self._lib is None:
             from tokenizers import Tokenizer
 
             self._lib = Tokenizer.from_file(self.path)
-        parts = self._lib.pre_tokenizer.pre_tokenize_str(self._lib.normalizer.normalize_str(text))
+        return self._lib
+
+    def _units(self, text: str) -> list[str]:
+        if self._plain and _PLAIN.fullmatch(text):
+            return text.lower().split()
+        lib = self._library()
+        parts = lib.pre_tokenizer.pre_tokenize_str(lib.normalizer.normalize_str(text) if lib.normalizer else text)
         return ["\1" + bytes([self._from[c] for c in w]).decode() for w, _ in parts]
 
     def encode_units(self, units: Iterable[str]) -> Iterator[tuple[str, list[int]]]:
@@ -250,7 +263,9 @@ class WordTrieBpe:
         return [i for u in units for i in known[u]]
 
     def decode(self, ids: Iterable[int]) -> str:
-        """The library's decode for a file without decoder: tokens joined by one space, special ones included."""
+        """The library's decode, special tokens included; for a file without decoder: tokens joined by one space."""
+        if not self.joined:
+            return self._library().decode(list(ids), skip_special_tokens=False)
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
@@ -277,11 +292,12 @@ def _digests(path: str):
         t, (ids_of, text_of) = tokenizer(path), caches("digests", path)
         for batch in batches:
             n, ids_hex, text_hex = [], [], []
-            for units in t.blocks(batch.column("text").to_pylist(), [ids_of, text_of], [lambda ids: " ".join(map(str, ids)), t.decode]):
+            for units in t.blocks(batch.column("text").to_pylist(), [ids_of, text_of], [lambda ids: " ".join(map(str, ids)), t.decode if t.joined else len]):
                 ids = " ".join(map(ids_of.__getitem__, units))
                 n.append(ids.count(" ") + 1 if ids else 0)
                 ids_hex.append(sha256(ids.encode()).hexdigest())
-                text_hex.append(sha256(" ".join(map(text_of.__getitem__, units)).encode()).hexdigest())
+                text = " ".join(map(text_of.__getitem__, units)) if t.joined else t.decode(map(int, ids.split()))
+                text_hex.append(sha256(text.encode()).hexdigest())
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n, pa.int64()), pa.array(ids_hex, pa.string()), pa.array(text_hex, pa.string())], ["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"])
 
     return run
