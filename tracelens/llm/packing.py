@@ -8,8 +8,11 @@ once, each with as many pieces of the length as fit: best fit goes on with the b
 The plan's rows say: the pieces of length L ranked a to b go to the bins s, s + 1, ... at offset o.
 
 Pieces get their rank within a length without a global sort: they are dealt by (length, salt), ranked there, and
-shifted by the counts of the salts before, so a length that a third of the pieces have is spread over SALTS tasks.
-The plan is written to the shared folder; each task looks its own lengths up in it.
+shifted by the counts of the salts before; a length has a salt for about every RANKED pieces. Pieces of the full
+capacity need no rank, as each is a sequence of its own (with a negative number).
+The plan is broadcast. Its rows don't grow with the corpus: a span of bins that are filled alike has a row a piece,
+and there are at most two spans for each length (about 32,000 rows for any corpus of capacity 4096; PLAN_ROWS is
+checked).
 
 A null or empty text is one piece: the end token alone. Pieces longer than the capacity don't occur; documents
 longer are cut, and full pieces fill a sequence each. Repeated rows are packed as often as they occur; ranks among
@@ -32,7 +35,10 @@ from tracelens.llm.bpe import caches, tokenizer
 from tracelens.llm.common import saved
 
 CAPACITY, END_ID = 4096, 1
-SALTS = 64
+#: Pieces of one length that one task ranks, about.
+RANKED = 100_000
+#: Most rows of a plan that is broadcast: some 100 MB.
+PLAN_ROWS = 4_000_000
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -152,27 +158,31 @@ def _placed(plan_of):
 
 
 def pack(pieces: DataFrame, capacity: int = CAPACITY) -> DataFrame:
-    """pieces (doc_id, piece, start, length, ...) with sequence_id and offset. pieces is read twice: give a saved table."""
+    """pieces (doc_id, piece, start, length, ...) with sequence_id and offset. pieces is read several times: give a
+    saved table."""
     spark = pieces.sparkSession
-    counts = pieces.groupBy("length", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int").alias("salt")).count()
-    counts = counts.collect()  # at most capacity x SALTS numbers
-    total: dict[int, int] = {}
-    base = []
-    for length, salt, n in sorted(counts):
-        base.append((length, salt, total.get(length, 0)))
-        total[length] = total.get(length, 0) + n
-    plan: dict[int, list[np.ndarray]] = {}
-    for row in plan_packing(total, capacity):
+    total = {r["length"]: r["count"] for r in pieces.groupBy("length").count().collect()}  # at most `capacity` numbers
+    plan: dict[int, list[tuple]] = {}
+    for i, row in enumerate(plan_packing({k: v for k, v in total.items() if k < capacity}, capacity)):
+        if i == PLAN_ROWS:
+            raise ValueError(f"the plan has more than {PLAN_ROWS} rows at a capacity of {capacity}")
         plan.setdefault(row[0], []).append(row)
-    ready = {k: tuple(np.array([r[i] for r in v], np.int64) for i in (1, 3, 4)) for k, v in plan.items()}
-    ship = spark.sparkContext.broadcast(ready)
-    shifts = spark.createDataFrame(base, "length long, salt int, shift long")
-    dealt = pieces.withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(SALTS)).cast("int"))
+    ship = spark.sparkContext.broadcast({k: tuple(np.array([r[i] for r in v], np.int64) for i in (1, 3, 4)) for k, v in plan.items()})
+
+    whole = F.col("length") >= capacity
+    alone = pieces.where(whole).withColumns({"sequence_id": -1 - F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
+    several = {k: -(-n // RANKED) for k, n in total.items() if k < capacity and n > RANKED}
+    salts = F.lit(1)
+    if several:  # at most `capacity` of them
+        salts = F.coalesce(F.element_at(F.create_map(*[F.lit(x) for kv in several.items() for x in kv]), F.col("length").cast("int")), salts)
+    dealt = pieces.where(~whole).withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece"), salts).cast("int"))
+    before = Window.partitionBy("length").orderBy("salt").rowsBetween(Window.unboundedPreceding, -1)
+    shifts = dealt.groupBy("length", "salt").count().withColumn("shift", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count")
     order = Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "start")
-    ranked = dealt.withColumn("own", F.row_number().over(order) - 1).join(F.broadcast(shifts), ["length", "salt"])
+    ranked = dealt.withColumn("own", F.row_number().over(order) - 1).join(shifts, ["length", "salt"])
     ranked = ranked.select(*pieces.columns, (F.col("own") + F.col("shift")).alias("rank"))
     schema = T.StructType([*pieces.schema.fields, T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())])
-    return ranked.mapInArrow(_placed(ship), schema)
+    return ranked.mapInArrow(_placed(ship), schema).union(alone)
 
 
 def pack_documents(docs: DataFrame, path: str, capacity: int = CAPACITY, end_id: int = END_ID) -> DataFrame:
