@@ -1,9 +1,10 @@
 """Chat formatting by schema fingerprinting, with DataFrame functions only.
 
-A layout is a declarative mapping: the nested field paths it needs and where roles and texts stand. The paths of a
-schema (or, for JSON records, of each record) that occur in any layout are sorted and hashed; the hash selects the
-layout. Extra fields don't change the fingerprint; an unknown one is an error for a schema and gives no turns for a
-JSON record.
+A layout is a declarative mapping: the nested field paths it needs and where roles and texts stand. All nested field
+paths of a schema (or, for JSON records, of each record) are read; for each layout those that it knows are sorted and
+hashed, and the layout whose own fingerprint comes out fits. Of the layouts that fit, the one with the most paths is
+selected, so extra fields change nothing. None that fits, or two of most paths, is an error for a schema and gives no
+turns for a JSON record; tables with a row per turn take the first layout listed that fits.
 
 Null roles and texts count as empty, texts of any length and repeated rows are kept, rows of a conversation stand by
 turn, then role, then text; an empty table gives an empty result.
@@ -51,8 +52,9 @@ LAYOUTS = (
     Layout("prompt_completion", "fields", (("user", "prompt"), ("assistant", "completion"))),
     Layout("question_answer", "fields", (("user", "question"), ("assistant", "answer"))),
     Layout("rows", "rows", (("role", "text"),)),
+    Layout("rows_content", "rows", (("role", "content"),), "", _ALIASES),
+    Layout("rows_share", "rows", (("from", "value"),), "", _ALIASES),
 )
-_KNOWN = {p for x in LAYOUTS for p in x.paths}
 
 
 def field_paths(kind: T.DataType, at: str = "") -> list[str]:
@@ -64,14 +66,26 @@ def field_paths(kind: T.DataType, at: str = "") -> list[str]:
     return [at]
 
 
-def fingerprint(paths: list[str]) -> str:
-    return hashlib.sha256("\n".join(sorted({p for p in paths if p in _KNOWN})).encode()).hexdigest()
+def fingerprint(paths: list[str], layout: Layout | None = None) -> str:
+    """Hash of the paths, or of those of them that a layout knows."""
+    return hashlib.sha256("\n".join(sorted(p for p in set(paths) if layout is None or p in layout.paths)).encode()).hexdigest()
 
 
 #: fingerprint -> layout
 REGISTRY = {fingerprint(x.paths): x for x in LAYOUTS}
 
 
+def select_layout(paths: list[str], kinds: tuple[str, ...]) -> Layout:
+    """The most specific layout of these kinds that the paths hold; of layouts for rows the one listed first."""
+    fit = [x for x in LAYOUTS if x.kind in kinds and REGISTRY.get(fingerprint(paths, x)) is x]
+    best = [x for x in fit if len(x.paths) == max(len(y.paths) for y in fit)]
+    if best and best[0].kind == "rows":
+        return best[0]
+    if len(best) != 1:
+        raise ValueError(f"{'no layout' if not best else 'more than one layout'} for {sorted(paths)}")
+    return best[0]
+
+
 def _role(c: Column, layout: Layout) -> Column:
     c = F.coalesce(c.cast("string"), F.lit(""))
     for old, new in layout.roles.items():
@@ -86,13 +100,11 @@ def _text(c: Column) -> Column:
 def canonical_turns(df: DataFrame, out_col: str = "turns") -> DataFrame:
     """df with out_col, an array of (role, text), by the layout that the schema's fingerprint selects.
 
-    For kind "rows" use conversations(). An optional field that is null or empty (an instruction's input) gives no turn."""
-    layout = REGISTRY.get(fingerprint(field_paths(df.schema)))
-    if layout is None or layout.kind == "rows":
-        raise ValueError(f"no layout for {sorted(field_paths(df.schema))}")
+    For rows of one turn each use format_rows(). An optional field that is null or empty (an instruction's input) gives no turn."""
+    layout = select_layout(field_paths(df.schema), ("list", "fields"))
     if layout.kind == "list":
-        return df.withColumn(out_col, F.coalesce(_listed(F.col(layout.at), layout), F.array().cast(TURN)))
-    return df.withColumn(out_col, _fields([(r, F.col(p)) for r, p in layout.turns]))
+        return df.withColumn(out_col, F.coalesce(_listed(F.col(f"`{layout.at}`"), layout), F.array().cast(TURN)))
+    return df.withColumn(out_col, _fields([(r, F.col(f"`{p}`")) for r, p in layout.turns]))
 
 
 def _listed(c: Column, layout: Layout) -> Column:
@@ -114,23 +126,28 @@ def _fields(pairs: list[tuple[str, Column]]) -> Column:
 
 
 def json_turns(df: DataFrame, json_col: str, out_col: str = "turns") -> DataFrame:
-    """Records of mixed layouts in one JSON column: each record's own paths that occur in a layout for records (not
-    "rows") are hashed and select its mapping; other keys, in list elements too, are passed over.
-
-    Null and unreadable records and unknown layouts give null."""
-    layouts = [x for x in LAYOUTS if x.kind != "rows"]
-    d, record = df.withColumn("__record", F.try_parse_json(F.col(json_col))), F.col("__record")
-    known = [F.when(_has(record, p), F.lit(p)) for p in sorted({p for x in layouts for p in x.paths})]
-    print_of = F.sha2(F.array_join(F.array_compact(F.array(*known)), "\n"), 256)
-    turns = F.lit(None).cast(TURN)
-    for layout in layouts:
+    """Records of mixed layouts in one JSON column: the fingerprints of each record's own paths select its mapping; other
+    keys, in list elements too, are passed over.
+
+    Null and unreadable records, unknown layouts and records that fit two layouts equally give null."""
+    layouts = sorted((x for x in LAYOUTS if x.kind != "rows"), key=lambda x: len(x.paths))
+    d, record = df.withColumn("__record", F.try_parse_json(F.col(f"`{json_col}`"))), F.col("__record")
+    known = {p: F.when(_has(record, p), F.lit(p)) for p in sorted({p for x in layouts for p in x.paths})}
+    print_of = lambda x: F.sha2(F.array_join(F.array_compact(F.array(*[known[p] for p in x.paths])), "\n"), 256)
+    d = d.withColumn("__fits", F.array(*[print_of(x) == fingerprint(x.paths) for x in layouts]))
+    fits = [F.get("__fits", F.lit(i)) for i in range(len(layouts))]
+    size = F.greatest(F.lit(0), *[F.when(f, F.lit(len(x.paths))) for f, x in zip(fits, layouts, strict=True)])
+    d = d.withColumn("__size", size)
+    turns, n = F.lit(None).cast(TURN), F.lit(0)
+    for f, layout in zip(fits, layouts, strict=True):
         if layout.kind == "list":
             (role, text), = layout.turns
             value = _listed(F.try_variant_get(record, f"$.{layout.at}", f"array<struct<`{role}`:string,`{text}`:string>>"), layout)
         else:
             value = _fields([(r, F.try_variant_get(record, f"$.{p}", "string")) for r, p in layout.turns])
-        turns = F.when(print_of == fingerprint(layout.paths), value).otherwise(turns)
-    return d.withColumn(out_col, turns).drop("__record")
+        best = f & (F.col("__size") == len(layout.paths))
+        turns, n = F.when(best, value).otherwise(turns), n + F.coalesce(best, F.lit(False)).cast("int")
+    return d.withColumn(out_col, F.when(n == 1, turns)).drop("__record", "__fits", "__size")
 
 
 def _has(record: Column, path: str) -> Column:
@@ -167,11 +184,9 @@ def format_rows(rows: DataFrame, conv_col: str = "conv_id", turn_col: str = "tur
     points of what is learned. One shuffle, by conversation; a conversation is one training text, so its rows meet.
 
     Rows with a null conversation id form one conversation."""
-    layout = REGISTRY.get(fingerprint([p for p in field_paths(rows.schema) if p in ("role", "text")]))
-    if layout is None or layout.kind != "rows":
-        raise ValueError(f"no row layout in {rows.columns}")
+    layout = select_layout(field_paths(rows.schema), ("rows",))
     (role, text), = layout.turns
-    t = rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), _role(F.col(role), layout).alias("role"), _text(F.col(text)).alias("text"))
+    t = rows.select(F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), _role(F.col(f"`{role}`"), layout).alias("role"), _text(F.col(f"`{text}`")).alias("text"))
     t = t.withColumn("head", F.concat(F.lit(OPEN), escape(F.col("role")), F.lit(HEAD_END))).withColumn("body", escape(F.col("text")))
     t = t.withColumn("segment", F.concat("head", "body", F.lit(END)))
     order = Window.partitionBy("conv_id").orderBy("turn", "role", "text")

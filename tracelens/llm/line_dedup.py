@@ -1,7 +1,8 @@
 """Line dedup by overlapping windows of three lines, with DataFrame functions only.
 
 Every three consecutive lines are hashed (128 bits); the first occurrence of a window, by (doc_id, text hash, line),
-stays, and the lines under later ones go, covered positions merged. Windows of blank lines only don't count, and
+stays, and the lines under later ones go, covered positions merged. Windows of blank lines only (white space: space,
+tab, line feed, vertical tab, form feed, carriage return) don't count, and
 texts of under three lines have no window. Null texts count as empty. Rows with equal doc_id and text are one
 document here: their own lines never count as copies of each other, and both get the same result.
 
@@ -15,6 +16,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LINES = 3
+#: Characters of a blank line.
+BLANK = " \t\n\x0b\f\r"
 
 
 def _windows(docs: DataFrame, size: int) -> DataFrame:
@@ -23,7 +26,7 @@ def _windows(docs: DataFrame, size: int) -> DataFrame:
 
     def window(i: Column) -> Column:
         ls = [F.get("lines", i + k) for k in range(size)]
-        blank = F.length(F.trim(F.concat(*ls))) == 0
+        blank = F.btrim(F.concat(*ls), F.lit(BLANK)) == ""
         return F.when(~blank, F.struct(F.xxhash64(*ls).alias("h1"), F.xxhash64(F.lit("second"), *ls).alias("h2")))
 
     d = d.select("id", "text_hash", F.posexplode(F.transform(F.sequence(F.lit(0), F.size("lines") - size), window)).alias("pos", "w"))

@@ -47,7 +47,8 @@ def op5_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = "\\### Assistant: </turn> ok"
-    more = spark.createDataFrame([(-7, 0, "user", said), (-7, 1, "assistant", said)], rows.schema)
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    more = spark.range(0, 2, 1, 1).select(F.lit(-7).alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))
     return chat_digests(rows.union(more))
 
 
@@ -135,7 +136,7 @@ WITH d AS (
     SELECT doc_id, text, ls, unnest(range(0, len(ls) - 2)) AS pos FROM d WHERE len(ls) >= 3
 ), w AS (
     SELECT doc_id, pos, ls[pos + 1] || chr(10) || ls[pos + 2] || chr(10) || ls[pos + 3] AS win FROM p
-    WHERE trim(ls[pos + 1] || ls[pos + 2] || ls[pos + 3]) <> ''
+    WHERE trim(ls[pos + 1] || ls[pos + 2] || ls[pos + 3], ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)) <> ''
 ), later AS (
     SELECT doc_id, pos FROM (SELECT doc_id, pos, row_number() OVER (PARTITION BY win ORDER BY doc_id, pos) AS k FROM w) WHERE k > 1
 ), gone AS (
