@@ -453,6 +453,25 @@ def test_top_k_repeated_query_id_beside_copies(spark):
     assert got == {0: [1, 2, 3, 3, 3], 1: [0, 0, 0, 0, 0]}
 
 
+def test_top_k_scores_beyond_double_precision(spark):
+    """Scores of about 2^62 that differ by one; also a cell of its own for each of two far groups."""
+    big = 2.0**31
+    vs = [(0, [big, 1.0])] + [(i, [big, float(i)]) for i in range(1, 8)] + [(100 + i, [-big, float(i)]) for i in range(8)]
+    d = spark.createDataFrame(vs, "vec_id long, embedding array<double>")
+    old, top_k.SHARD = top_k.SHARD, 2
+    try:
+        got = sorted((x["rank"], x["vec_id"], x["score"]) for x in top_k.top_k(d, F.col("vec_id") == 0, scale=1).collect())
+    finally:
+        top_k.SHARD = old
+    assert got == [(r, i, 2**62 + i) for r, i in enumerate((7, 6, 5, 4, 3), 1)]
+
+
+def test_top_k_odd_columns(spark):
+    d = spark.createDataFrame([(0, [1.0], 1, "x", 0), (1, [2.0], 2, "y", 0), (2, [], 3, "z", 0), (4, [], 3, "z", 0)], "vec_id long, embedding array<double>, dims int, cell string, floor int")
+    got = sorted(map(tuple, top_k.top_k(d, F.col("vec_id") % 2 == 0, scale=1).collect()))
+    assert got == [(0, 1, 1, 2), (2, 1, 4, 0), (4, 1, 2, 0)]
+
+
 def test_plan_refills_the_bin_just_used():
     r = random.Random(2)
     cases = [(20, {2: 186, 3: 69})] + [(r.choice((17, 20, 31)), {r.randint(1, 12): r.randint(1, 90) for _ in range(4)}) for _ in range(60)]

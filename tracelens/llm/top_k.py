@@ -1,11 +1,13 @@
 """Exact top-k inner-product search by ball-tree branch and bound, shard by shard.
 
-Vectors are dealt to shards of about SHARD rows by a hash of their id; a task builds its shard's ball tree (centre and
-radius a node) and answers the queries that stream past in blocks. A node's upper bound for a query q is
-q . centre + |q| radius; nodes are visited best bound first, and one is left out for the queries whose current k-th
-score its bound doesn't reach. That score is shared: a first pass over one shard a query gives a k-th score that
-holds for the whole search, and all shards start from it. Results of the shards are merged by a ranked window of
-k rows a shard.
+Shards. Vectors go to the cell of the nearest of at most CELLS pivots (vectors of least hash); the table of cells holds
+each cell's centre, radius and number of rows, and a large cell is several shards of it, dealt by a hash of the id. A
+task builds its shard's ball tree (centre and radius a node) and answers the queries that stream past in blocks. An
+upper bound for a query q over a ball is q . centre + |q| radius; nodes are visited best bound first, and one is left
+out for the queries whose current k-th score its bound doesn't reach. That score is shared: in a first round a query
+goes to one shard of the cell with the best bound, and its k-th score there is where all other shards start from;
+cells whose bound doesn't reach it never get the query. Results of the shards are merged by a ranked window of k rows a
+shard.
 
 Components become floor(scale * x), saturated to 64 bits. Vectors that are null or hold null or non-finite components,
 and rows with a null id, take no part. Vectors are compared with those of the same number of components. A query's own
@@ -25,7 +27,13 @@ from pyspark.sql import functions as F
 
 from tracelens.llm.common import saved
 
-SHARD, LEAF, QUERY_ROWS = 8192, 64, 1024
+#: Bytes of vectors in a shard, and its least rows; rows of a tree's leaf; queries searched at once.
+SHARD_BYTES, SHARD, LEAF, QUERY_ROWS = 1 << 25, 2048, 64, 1024
+#: Most cells of the vectors of one length, most numbers in the pivots of one length, and lengths that have cells (the
+#: most frequent ones; vectors of another length are one cell that is always searched).
+CELLS, PIVOT_NUMBERS, CELLED = 64, 1 << 22, 16
+#: Most shards of a cell (more rows make larger shards), and rows that go on at once when queries are dealt.
+MOST_SHARDS, ROUTED = 1 << 20, 4096
 NONE, LAST = np.iinfo(np.int64).min, np.iinfo(np.int64).max
 
 
@@ -110,7 +118,7 @@ class BallTree:
                 rows, score, who = rows[some], score[some], who[some]
                 if len(rows):
                     s, w = np.concatenate([best[rows], score], axis=1), np.concatenate([ids[rows], who], axis=1)
-                    order = np.lexsort((w, -s.astype(np.float64) if not exact else -np.maximum(s, NONE + 1)), axis=-1)[:, :k]
+                    order = np.lexsort((w, ~s), axis=-1)[:, :k]  # ~s falls as s rises, without overflow
                     best[rows], ids[rows] = np.take_along_axis(s, order, 1), np.take_along_axis(w, order, 1)
                     kth[rows] = np.maximum(kth[rows], best[rows][:, -1])
                 return
@@ -167,28 +175,120 @@ def _search(k: int):
     return run
 
 
+def _distance(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    return np.sqrt(((x - y) ** 2).sum(axis=-1))
+
+
+def _celled(pivots: dict[int, np.ndarray]):
+    """Adds the nearest pivot's cell and the distance to it."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims = batch.column("dims").to_numpy()
+            cell, far = np.zeros(len(batch), np.int64), np.zeros(len(batch))
+            for d in np.unique(dims):
+                p = pivots.get(int(d))
+                if p is None:
+                    continue
+                at = np.flatnonzero(dims == d)
+                x = _matrix(batch.column("vector").take(pa.array(at))).astype(np.float64)
+                cell[at] = ((p**2).sum(axis=1) / 2 - x @ p.T).argmin(axis=1)
+                far[at] = _distance(x, p[cell[at]])
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell), pa.array(far)], [*batch.schema.names, "cell", "far"])
+
+    return run
+
+
+def _routed(pivots: dict[int, np.ndarray], cells: dict[int, tuple[np.ndarray, ...]], rest: int, first: bool):
+    """Queries to shards. cells: dims -> (cell, radius, shards); rest: shards of a length without cells.
+
+    first: to one shard, of the cell with the best bound. Else to all others whose cell's bound reaches the floor."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            dims, ids, floor = (batch.column(c).to_numpy().astype(np.int64) for c in ("dims", "vec_id", "floor"))
+            row, to = [], []
+            for d in np.unique(dims):
+                at = np.flatnonzero(dims == d)
+                if int(d) in cells:
+                    cell, radius, shards = cells[int(d)]
+                    centre = pivots[int(d)][cell]
+                    q = _matrix(batch.column("vector").take(pa.array(at))).astype(np.float64)
+                    size = _distance(centre, 0.0) + radius
+                    upper = q @ centre.T + _distance(q, 0.0)[:, None] * (radius + 1e-9 * size) + 1e-6
+                else:
+                    cell, shards, upper = np.zeros(1, np.int64), np.array([rest]), np.full((len(at), 1), np.inf)
+                best = upper.argmax(axis=1)
+                own = (ids[at].astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % shards[best]
+                if first:
+                    row.append(at)
+                    to.append(cell[best] * MOST_SHARDS + own)
+                    continue
+                for c in range(len(cell)):
+                    ask = np.flatnonzero(upper[:, c] >= floor[at].astype(np.float64))
+                    which = np.tile(np.arange(shards[c]), len(ask))
+                    who = np.repeat(ask, shards[c])
+                    other = (best[who] != c) | (own[who] != which)
+                    row.append(at[who[other]])
+                    to.append(cell[c] * MOST_SHARDS + which[other])
+            rows, shard = np.concatenate(row) if row else np.zeros(0, np.int64), np.concatenate(to) if to else np.zeros(0, np.int64)
+            for lo in range(0, len(rows), ROUTED):
+                part = batch.take(pa.array(rows[lo : lo + ROUTED]))
+                names = part.schema.names
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(shard[lo : lo + ROUTED])], [*names, "shard"])
+
+    return run
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 5, scale: int = 256, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
     """query_id, rank (from 1), vec_id, score of the k best candidates of each row where is_query (over vec_id)."""
     n = int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), F.col(vector_col).alias("x")).where(F.col("vec_id").isNotNull() & takes_part(F.col("x")))
     v = saved(v.select("vec_id", F.size("x").alias("dims"), fixed_point(F.col("x"), scale).alias("vector")), "vectors")
+    totals = {r["dims"]: r["count"] for r in v.groupBy("dims").count().orderBy(F.desc("count"), "dims").limit(CELLED).collect()}
+    all_ = v.count()
+    fill = lambda d, rows: min(max(1, SHARD_BYTES // (8 * max(1, d))), max(SHARD, -(-rows // (2 * n))))  # noqa: E731  rows of a shard
+
+    # pivots: at most CELLS of PIVOT_NUMBERS / dims rows for each of CELLED lengths
+    wanted = {d: min(CELLS, max(1, PIVOT_NUMBERS // max(1, d)), -(-c // fill(d, c))) for d, c in totals.items()}
+    least = Window.partitionBy("dims").orderBy(F.xxhash64("vec_id"), "vec_id", "vector")
+    chosen = v.where(F.col("dims").isin(*totals)).withColumn("r", F.row_number().over(least)).where(F.col("r") <= CELLS) if totals else v.limit(0).withColumn("r", F.lit(0))
+    limit = F.lit(0)
+    for d, p in wanted.items():
+        limit = F.when(F.col("dims") == d, p).otherwise(limit)
+    pivots: dict[int, list] = {}
+    for r in chosen.where(F.col("r") <= limit).collect():
+        pivots.setdefault(r["dims"], []).append(r["vector"])
+    ready = {d: np.unique(np.array(p, np.float64), axis=0) if d else np.zeros((1, 0)) for d, p in pivots.items()}
+    dealt = saved(v.mapInArrow(_celled(ready), "vec_id long, dims int, vector array<long>, cell long, far double"), "cells")
+
+    cells: dict[int, list] = {}
+    for r in dealt.where(F.col("dims").isin(*ready)).groupBy("dims", "cell").agg(F.max("far").alias("radius"), F.count("*").alias("n")).orderBy("dims", "cell").collect() if ready else []:
+        cells.setdefault(r["dims"], []).append((r["cell"], r["radius"] * (1 + 1e-12), min(MOST_SHARDS, -(-r["n"] // fill(r["dims"], totals[r["dims"]])))))
+    table = {d: tuple(np.array(c, t) for c, t in zip(zip(*x, strict=True), (np.int64, np.float64, np.int64), strict=True)) for d, x in cells.items()}
+    rest = min(MOST_SHARDS, max(1, -(-(all_ - sum(totals.values())) // SHARD)))
+    shards = F.lit(rest)
+    for d, x in cells.items():
+        by_cell = F.element_at(F.array(*[F.lit(dict((c, m) for c, _, m in x).get(i, 1)) for i in range(len(ready[d]))]), F.col("cell").cast("int") + 1)
+        shards = F.when(F.col("dims") == d, by_cell).otherwise(shards)
+    shard = F.col("cell") * MOST_SHARDS + F.pmod(F.xxhash64("vec_id"), shards)
+    members = dealt.select("dims", shard.alias("shard"), F.lit(0).alias("role"), "vec_id", "vector", F.lit(NONE).alias("floor"))
     queries = v.where(is_query).groupBy("dims", "vec_id").agg(F.min("vector").alias("vector"))
-    shards = max(1, -(-v.count() // SHARD))
-    dealt = v.select("dims", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int").alias("shard"), F.lit(0).alias("role"), "vec_id", "vector", F.lit(NONE).alias("floor"))
 
-    def pass_over(asked: DataFrame) -> DataFrame:
-        asked = asked.select("dims", "shard", F.lit(1).alias("role"), "vec_id", "vector", "floor")
-        rows = dealt.union(asked).repartition(n, "dims", "shard").sortWithinPartitions("dims", "shard", "role")
+    def asked(given: DataFrame, first: bool) -> DataFrame:
+        given = given.select("dims", "vec_id", "vector", "floor")
+        kind = "dims int, vec_id long, vector array<long>, floor long, shard long"
+        return given.mapInArrow(_routed(ready, table, rest, first), kind).select("dims", "shard", F.lit(1).alias("role"), "vec_id", "vector", "floor")
+
+    def pass_over(given: DataFrame) -> DataFrame:
+        rows = members.union(given).repartition(n, "dims", "shard").sortWithinPartitions("dims", "shard", "role")
         return rows.mapInArrow(_search(k), "query_id long, vec_id long, score long")
 
-    one = queries.withColumn("shard", F.pmod(F.xxhash64("vec_id"), F.lit(shards)).cast("int")).withColumn("floor", F.lit(NONE))
-    if shards > 1:
-        first = pass_over(one).groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") == k)
-        floors = saved(first.select("query_id", "low"), "floors")
-        asked = queries.join(floors, F.col("vec_id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("low", F.lit(NONE)))
-        asked = asked.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))))
-    else:
-        asked = one
+    found = saved(pass_over(asked(queries.withColumn("floor", F.lit(NONE)), True)), "first-round")
+    if rest > 1 or sum(m for x in cells.values() for _, _, m in x) > 1:
+        floors = found.groupBy("query_id").agg(F.min("score").alias("low"), F.count("*").alias("n")).where(F.col("n") == k).drop("n")
+        again = queries.join(floors, F.col("vec_id") == F.col("query_id"), "left").withColumn("floor", F.coalesce("low", F.lit(NONE)))
+        found = found.union(pass_over(asked(again, False)))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = pass_over(asked).withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
+    ranked = found.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
