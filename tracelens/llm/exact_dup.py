@@ -1,19 +1,27 @@
 """Exact dedup with an extendible-hash index on shared files.
 
-Two texts are equal when identical after lower-casing A-Z. Each distinct text of a batch becomes one entry (key: 64-bit
-hash, text bytes, largest doc_id, count), so copies are counted before the shuffle. The key's first bits name an owner;
-an owner task reads its key range in key order, chains the texts of one key, compares their bytes, and puts a record
-for each distinct text into its part of the index: a directory over the next bits of the key that doubles when a full
-bucket can't be split otherwise. A bucket that holds one key only, or is as deep as may be, grows by its chain instead. The index is written to
-the shared folder as records (owner, bucket, depth, key, chain, ...); documents then look their group up there.
+Two texts are equal when identical after lower-casing A-Z. A task puts the equal texts of its rows together as one
+entry (key: 64-bit hash, text bytes, doc_ids), so copies are counted before the shuffle; entries are written to the
+shared folder. The key's first bits name an owner, and an owner has about OWNER_BYTES of text, however large the
+corpus. An owner task reads its key range and inserts each entry into its part of the index: the directory over the
+next bits of the key names a bucket, the bucket is walked along the records of that key, and their texts are compared
+byte by byte; an equal one takes the entry in, else a record is chained to them. An overfull bucket is split by its
+next bit, and the directory doubles when it has no bit to spare; a bucket that holds one key only, or is as deep as may
+be, grows by its chain instead.
+
+The index is written to the shared folder as three kinds of rows: directory slots (owner, slot -> bucket), records
+(owner, bucket, key, chain -> keep_id, group_size), and the place in its chain that each entry was given. Entries then
+look their group up through it: owner and slot from their key, the bucket from the directory, the record from the
+bucket.
 
 Null counts as empty. Of equal texts the row with the largest doc_id stays; rows with the same text and doc_id are one
-document and both kept. A null doc_id stays only if no copy has one. Memory per task: a batch, a chain, the records
-of one owner without their texts. Empty tables give an empty result.
+document and both kept. A null doc_id stays only if no copy has one. Memory per task: entries of ENTRY_BYTES, an owner's
+distinct texts. Empty tables give an empty result.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator
 from hashlib import blake2b, sha256
 
@@ -23,12 +31,12 @@ from pyspark.sql import functions as F
 
 from tracelens.llm.common import saved
 
-#: Records of a bucket before it is split, and first bits of a key that name its owner.
-BUCKET, OWNER_BITS = 512, 12
+#: Records of a bucket before it is split; bytes of text that an owner and a map task hold, about.
+BUCKET, OWNER_BYTES, ENTRY_BYTES = 64, 1 << 24, 1 << 24
 
 #: Doublings of an owner's directory; a bucket of this depth overflows into its chain instead.
 MOST_DEPTH = 16
-KEY_BITS = 64
+KEY_BITS, MOST_OWNER_BITS = 64, 30
 MASK = (1 << KEY_BITS) - 1
 
 
@@ -52,7 +60,17 @@ class Directory:
     def _slot(self, key: int) -> int:
         return ((key & MASK) << self.skip & MASK) >> (KEY_BITS - self.depth) if self.depth else 0
 
-    def insert(self, record: tuple) -> None:
+    def find(self, key: int, text: bytes) -> tuple[list | None, int]:
+        """The record [key, chain, text, ...] of a text, and how many others of its key were passed on the way."""
+        passed = 0
+        for r in self.slots[self._slot(key)]["records"]:
+            if r[0] == key:
+                if r[2] == text:
+                    return r, passed
+                passed += 1
+        return None, passed
+
+    def insert(self, record) -> None:
         """record: (key, ...)"""
         while True:
             bucket = self.slots[self._slot(record[0])]
@@ -84,95 +102,120 @@ class Directory:
 
 def _entries(key: Callable[[bytes], int]):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            found: dict[bytes, list] = {}
-            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
-                entry = found.setdefault(normalised(text), [None, 0])
-                if doc is not None and (entry[0] is None or doc > entry[0]):
-                    entry[0] = doc
-                entry[1] += 1
-            columns = (pa.array([key(t) for t in found], pa.int64()), pa.array(list(found), pa.binary()), pa.array([x[0] for x in found.values()], pa.int64()), pa.array([x[1] for x in found.values()], pa.int64()))
-            yield pa.RecordBatch.from_arrays(list(columns), ["key", "text", "keep_id", "n"])
-
-    return run
+        found: dict[bytes, list] = {}
+        size, task, at = 0, uuid.uuid4().hex, 0
 
+        def flushed() -> pa.RecordBatch:
+            texts = list(found)
+            kinds = {
+                "entry": pa.array([f"{task}{at + i}" for i in range(len(texts))], pa.string()), "key": pa.array(map(key, texts), pa.int64()), "text": pa.array(texts, pa.binary()),
+                "bytes": pa.array(map(len, texts), pa.int64()), "ids": pa.array(list(found.values()), pa.list_(pa.int64())),
+            }
+            return pa.RecordBatch.from_arrays(list(kinds.values()), list(kinds))
 
-def _members(key: Callable[[bytes], int]):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [normalised(t) for t in batch.column("text").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array([key(t) for t in texts], pa.int64()), pa.array([sha256(t).hexdigest() for t in texts], pa.string())], ["doc_id", "key", "text_sha256"])
+            for doc, text in zip(batch.column("doc_id").to_pylist(), batch.column("text").to_pylist(), strict=True):
+                text = normalised(text)
+                ids = found.get(text)
+                if ids is None:
+                    ids = found[text] = []
+                    size += len(text)
+                ids.append(doc)
+                size += 16
+            if size > ENTRY_BYTES:
+                yield flushed()
+                at += len(found)
+                found, size = {}, 0
+        if found:
+            yield flushed()
 
     return run
 
 
-INDEX = "owner int, bucket long, depth int, key long, chain int, text_sha256 string, keep_id long, group_size long"
+ENTRY = "entry string, key long, text binary, bytes long, ids array<long>"
+#: kind "record": chain, text_sha256, keep_id, group_size; "slot": slot, bucket, depth (of the directory); "entry": chain
+INDEX = "kind string, owner long, slot long, bucket long, depth int, key long, chain int, entry string, text_sha256 string, keep_id long, group_size long"
+_INDEX_KINDS = {"string": pa.string(), "long": pa.int64(), "int": pa.int32()}
 
 
-def _own(capacity: int):
-    """Entries in the order of (owner, key) to the records of the owners' buckets."""
+def _own(skip: int, capacity: int):
+    """Entries in the order of their owner to the rows of the owners' indexes."""
+    names, kinds = zip(*[x.split() for x in INDEX.split(", ")], strict=True)
 
-    def records(owner: int, directory: Directory) -> pa.RecordBatch:
-        rows = [(owner, b["prefix"], b["depth"], *r) for b in directory.buckets() for r in b["records"]]
-        kinds = (pa.int32(), pa.int64(), pa.int32(), pa.int64(), pa.int32(), pa.string(), pa.int64(), pa.int64())
-        names = [x.split()[0] for x in INDEX.split(", ")]
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names)
+    def rows(owner: int, directory: Directory, placed: list[tuple[str, int, int]]) -> Iterator[pa.RecordBatch]:
+        out: list[dict] = []
+        for b in directory.buckets():
+            out += [{"kind": "record", "bucket": b["prefix"] << 8 | b["depth"], "key": r[0], "chain": r[1], "text_sha256": sha256(r[2]).hexdigest(), "keep_id": r[3], "group_size": r[4]} for r in b["records"]]
+            if len(out) >= 4096:
+                yield made(owner, out)
+                out = []
+        out += [{"kind": "slot", "slot": i, "bucket": b["prefix"] << 8 | b["depth"], "depth": directory.depth} for i, b in enumerate(directory.slots)]
+        for lo in range(0, len(placed), 4096):
+            out += [{"kind": "entry", "entry": e, "key": k, "chain": c} for e, k, c in placed[lo : lo + 4096]]
+            yield made(owner, out)
+            out = []
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        owner = directory = key = None
-        chain: list[list] = []  # of the current key: [text, largest id, count]
-
-        def close():
-            for i, (text, keep, n) in enumerate(chain):
-                directory.insert((key, i, sha256(text).hexdigest(), keep, n))
+    def made(owner: int, out: list[dict]) -> pa.RecordBatch:
+        columns = [pa.array([owner] * len(out) if n == "owner" else [r.get(n) for r in out], _INDEX_KINDS[k]) for n, k in zip(names, kinds, strict=True)]
+        return pa.RecordBatch.from_arrays(columns, list(names))
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        owner, directory, placed = None, Directory(skip, capacity), []
         for batch in batches:
-            owners, keys = batch.column("owner").to_pylist(), batch.column("key").to_pylist()
-            texts, keeps, ns = batch.column("text"), batch.column("keep_id").to_pylist(), batch.column("n").to_pylist()
-            for i in range(len(batch)):
-                if keys[i] != key or owners[i] != owner:
-                    if key is not None:
-                        close()
-                    if owners[i] != owner:
-                        if directory is not None:
-                            yield records(owner, directory)
-                        owner, directory = owners[i], Directory(OWNER_BITS, capacity)
-                    key, chain = keys[i], []
-                text = texts[i].as_py()
-                for link in chain:
-                    if link[0] == text:
-                        if keeps[i] is not None and (link[1] is None or keeps[i] > link[1]):
-                            link[1] = keeps[i]
-                        link[2] += ns[i]
-                        break
+            columns = (batch.column(c).to_pylist() for c in ("owner", "entry", "key", "top", "n"))
+            for i, (o, entry, key, top, n) in enumerate(zip(*columns, strict=True)):
+                if o != owner:
+                    if owner is not None:
+                        yield from rows(owner, directory, placed)
+                    owner, directory, placed = o, Directory(skip, capacity), []
+                text = batch.column("text")[i].as_py()
+                record, passed = directory.find(key, text)
+                if record is None:
+                    record = [key, passed, text, top, n]
+                    directory.insert(record)
                 else:
-                    chain.append([text, keeps[i], ns[i]])
-        if directory is not None:
-            close()
-            yield records(owner, directory)
+                    record[4] += n
+                    if top is not None and (record[3] is None or top > record[3]):
+                        record[3] = top
+                placed.append((entry, key, record[1]))
+        if owner is not None:
+            yield from rows(owner, directory, placed)
 
     return run
 
 
-def build_index(docs: DataFrame, key: Callable[[bytes], int] = key_of, capacity: int = BUCKET) -> DataFrame:
-    """The index of the texts of docs (doc_id, text), as a table in the shared folder."""
-    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    entries = docs.mapInArrow(_entries(key), "key long, text binary, keep_id long, n long")
-    entries = entries.withColumn("owner", F.shiftrightunsigned("key", KEY_BITS - OWNER_BITS).cast("int"))
-    dealt = entries.repartition(n, "owner").sortWithinPartitions("owner", "key")
-    return saved(dealt.mapInArrow(_own(capacity), INDEX), "extendible-hash")
+def build_index(entries: DataFrame, capacity: int = BUCKET, owner_bytes: int = OWNER_BYTES) -> tuple[DataFrame, int]:
+    """The index of a table of entries, as a table in the shared folder, and the number of key bits that name an owner."""
+    n = int(entries.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    size = entries.agg(F.sum("bytes")).first()[0] or 0
+    skip = min(MOST_OWNER_BITS, max(0, (size // owner_bytes).bit_length(), (n - 1).bit_length()))
+    rows = entries.select(_owner(skip).alias("owner"), "entry", "key", "text", F.array_max("ids").alias("top"), F.size("ids").cast("long").alias("n"))
+    dealt = rows.repartition(n, "owner").sortWithinPartitions("owner")
+    return saved(dealt.mapInArrow(_own(skip, capacity), INDEX), "extendible-hash"), skip
+
+
+def _owner(skip: int):
+    return F.shiftrightunsigned("key", KEY_BITS - skip) if skip else F.lit(0).cast("long")
+
+
+def look_up(entries: DataFrame, index: DataFrame, skip: int) -> DataFrame:
+    """(ids, text_sha256, keep_id, group_size) of each entry by its record in the index."""
+    slots = index.where("kind = 'slot'").select("owner", "slot", "bucket", "depth")
+    records = index.where("kind = 'record'").select("owner", "bucket", "key", "chain", "text_sha256", "keep_id", "group_size")
+    placed = index.where("kind = 'entry'").select("entry", "owner", "key", "chain")
+    depths = slots.select("owner", "depth").distinct()
+    # the first `depth` bits of the key behind the owner's are the slot
+    slot = F.when(F.col("depth") == 0, F.lit(0).cast("long")).otherwise(F.call_function("shiftrightunsigned", F.shiftleft("key", skip), KEY_BITS - F.col("depth")))
+    at = placed.join(depths, "owner").withColumn("slot", slot).join(slots.drop("depth"), ["owner", "slot"])
+    found = at.join(records, ["owner", "bucket", "key", "chain"]).select("entry", "text_sha256", "keep_id", "group_size")
+    return entries.select("entry", "ids").join(found, "entry")
 
 
 def exact_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key: Callable[[bytes], int] = key_of, capacity: int = BUCKET) -> DataFrame:
     """Per row of docs: doc_id, keep_id, group_size, kept, text_sha256."""
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    index = build_index(texts, key, capacity)
-    groups = index.where("group_size > 1").select("key", "text_sha256", "keep_id", "group_size")
-    members = texts.mapInArrow(_members(key), "doc_id long, key long, text_sha256 string")
-    out = members.join(groups, ["key", "text_sha256"], "left")
-    grouped = F.col("group_size").isNotNull()
-    keep = F.when(grouped, F.col("keep_id")).otherwise(F.col("doc_id"))
-    return out.select(
-        "doc_id", keep.alias("keep_id"), F.coalesce("group_size", F.lit(1)).cast("long").alias("group_size"),
-        F.coalesce(F.col("doc_id") == keep, keep.isNull()).alias("kept"), "text_sha256",
-    )
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    entries = saved(texts.mapInArrow(_entries(key), ENTRY), "entries")
+    index, skip = build_index(entries, capacity)
+    out = look_up(entries, index, skip).select(F.explode("ids").alias("doc_id"), "keep_id", "group_size", "text_sha256")
+    kept = F.coalesce(F.col("doc_id") == F.col("keep_id"), F.col("keep_id").isNull())
+    return out.select("doc_id", "keep_id", "group_size", kept.alias("kept"), "text_sha256")
