@@ -4,11 +4,12 @@ import collections
 import random
 
 import public_tokenizers
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_llm import ODD, frame, lower, prose
-from tracelens.llm import bpe, chat, exact_dup, line_dedup
+from tracelens.llm import bpe, chat, exact_dup, line_dedup, passages
 from tracelens.llm.common import discard, saved, ship
 
 
@@ -48,6 +49,38 @@ def test_exact_dedup_keeps_clashing_columns_out(spark):
     assert got == [(0, 1, 2, False), (1, 1, 2, True), (2, 2, 1, True)]
 
 
+# 3
+
+
+def test_passages_of_two_texts_with_one_id(spark):
+    r = random.Random(33)
+    shared = prose(r, 120)
+    texts = [(1, shared), (1, prose(r, 30) + " " + shared), (1, shared), (2, prose(r, 10) + "\n" + shared + " " + prose(r, 5)), (0, prose(r, 60))]
+    d = spark.createDataFrame(texts, "doc_id long, text string")
+    got = sorted((x["doc_id"], x["words_before"], x["words_removed"]) for x in passages.dedup_passages(d).collect())
+    mark = {x["text"]: x["h"] for x in d.withColumn("h", F.xxhash64("text")).collect()}
+    first = min((shared, texts[1][1]), key=mark.get)
+    keep = {shared: 0 if first == shared else 120, texts[1][1]: 0 if first == texts[1][1] else 120}
+    assert got == sorted([(1, 120, keep[shared]), (1, 120, keep[shared]), (1, 150, keep[texts[1][1]]), (2, 135, 120), (0, 60, 0)])
+
+
+@pytest.mark.parametrize("batch", [1, 2, 7, 1000])
+def test_neighbours_do_not_depend_on_batches(batch):
+    r = random.Random(batch)
+    rows = sorted((r.randint(0, 1), r.randint(0, 3), r.randint(0, 2), r.randint(0, 3), r.randint(0, 1), r.randint(0, 2)) for _ in range(200))
+    names, kinds = ("kind", "gram", "around", "doc_id", "text_hash", "pos"), (pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.int32())
+    parts = [pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows[lo : lo + batch]), kinds)], names) for lo in range(0, len(rows), batch)]
+    got = {(x["gram"], x["doc_id"], x["text_hash"], x["pos"], x["kind"]) for b in passages._neighbours(iter(parts)) for x in b.to_pylist()}
+    opens = {}
+    for k, g, a, *place in rows:
+        if k == passages.FIRST:
+            opens.setdefault((g, a), tuple(place))
+    want = {(g, *place, passages.FIRST if k == passages.FIRST and opens[g, a] == tuple(place) else passages.COVERED) for k, g, a, *place in rows}
+    assert got == want
+    firsts = [(x["gram"], x["doc_id"], x["text_hash"], x["pos"]) for b in passages._neighbours(iter(parts)) for x in b.to_pylist() if x["kind"] == passages.FIRST]
+    assert len(firsts) == len(opens)
+
+
 # 5
 
 

@@ -1,23 +1,29 @@
 """Passage dedup with a sparse suffix array: of passages of LENGTH words or more that occur more than once, the
-first occurrence, by (doc_id, position), stays.
+first occurrence, by (doc_id, hash of the text, position), stays.
 
 Sparse suffixes. In every window of LENGTH words the k-gram with the least hash (the leftmost, at ties) is the
 window's minimiser; only suffixes that begin at minimisers are retained, about one in 18 words. Equal windows choose
 equal minimisers, so every repeated passage has a retained suffix at the same place in each occurrence.
 
-Sort, compare, extend. Suffixes are dealt by their k-gram and sorted by (k-gram, surroundings, doc_id, position);
-the surroundings are the words to both sides as far as any window of this minimiser can reach. A neighbour with the
-same k-gram and surroundings that comes first settles the matter: all windows here are copies. A neighbour with the
-k-gram only is extended to the left and right: the windows that slide over the suffix are hashed (128 bits) and the
-first document of each is a partial aggregate. Covered windows are merged per text, so matches of any length are
-found whole, and a word goes exactly if some window of LENGTH words over it has an earlier occurrence.
+Sort and compare. Suffixes are sorted by (k-gram, surroundings, doc_id, text, position); the surroundings are the words
+to both sides as far as any window of this minimiser can reach. A suffix behind a neighbour with the same k-gram and
+surroundings is settled: all windows here are copies. The first of each such class is extended if its k-gram has
+another class, that is other surroundings.
 
-Skew. Copies within a batch are settled before the shuffle; no group is collected or paired, a stream with one
-neighbour is all a task holds. Texts are cut in a join by document.
+Extend. A suffix is extended to the left and right by each split of LENGTH words into words before and after its begin
+for which it is the minimiser: the window there is hashed (128 bits), and windows whose words are all the same meet in
+a partial aggregate that keeps the first place. The neighbour with the longest match to the right needn't have the
+longest to the left, so the comparison is over all suffixes with the k-gram and not with the next one only. Covered
+windows are merged per text, so matches of any length are found whole, and a word goes exactly if some window of LENGTH
+words over it has an earlier occurrence.
+
+Skew. Copies within a task's batch are settled before the shuffle; suffixes are dealt by k-gram and surroundings, so a
+frequent k-gram spreads with its surroundings, and whether a k-gram has several classes is a partial aggregate. No
+group is collected or paired. Texts are cut in a join by document.
 
 Words are runs of bytes other than 0x20 and 0x09-0x0D, compared after lower-casing A-Z. Null texts count as empty
 and stay null; shorter texts stay as they are; rows with a null doc_id take no part and stay. Rows with equal doc_id
-and text are one document. Cutting removes everything from a passage's first word to the next word that stays, and
+and text are one document; different texts of one doc_id stand in the order of their hashes (64 bits). Cutting removes everything from a passage's first word to the next word that stays, and
 white space before a passage that ends the text.
 """
 
@@ -37,10 +43,10 @@ LENGTH, GRAM = 50, 16
 #: k-grams of a window: a suffix lies at most REACH words behind the begin of its windows.
 REACH = LENGTH - GRAM
 
-COVERED, EXTEND = 0, 1
-SUFFIX = "gram long, around long, doc_id long, text_hash int, pos int, kind int"
-FOUND = "doc_id long, text_hash int, pos int, kind int"
-WINDOW = "h1 long, h2 long, doc_id long, text_hash int, lo int"
+COVERED, FIRST = 0, 1
+SUFFIX = "gram long, around long, doc_id long, text_hash long, pos int, kind int"
+FOUND = "gram long, doc_id long, text_hash long, pos int, kind int"
+WINDOW = "h1 long, h2 long, doc_id long, text_hash long, lo int"
 
 
 class Text:
@@ -93,45 +99,45 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if not parts:
             continue
         gram, around, doc, mark, pos = (np.concatenate(c) for c in zip(*parts, strict=True))
-        order = np.lexsort((pos, doc, around, gram))
+        order = np.lexsort((pos, mark, doc, around, gram))
         gram, around, doc, mark, pos = (c[order] for c in (gram, around, doc, mark, pos))
         head = np.append(True, (gram[1:] != gram[:-1]) | (around[1:] != around[:-1]))
         first = np.maximum.accumulate(np.where(head, np.arange(len(gram)), 0))
-        later = (doc > doc[first]) | (pos > pos[first])
-        kind = np.where(later, COVERED, EXTEND)
+        # a repeated row is the same place
+        later = (doc != doc[first]) | (mark != mark[first]) | (pos != pos[first])
         ints = lambda x: pa.array(x.astype(np.int32))
-        yield pa.RecordBatch.from_arrays([_longs(gram), _longs(around), pa.array(doc), ints(mark), ints(pos), ints(kind)], [x.split()[0] for x in SUFFIX.split(", ")])
+        columns = [_longs(gram), _longs(around), pa.array(doc), pa.array(mark), ints(pos), ints(np.where(later, COVERED, FIRST))]
+        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SUFFIX.split(", ")])
 
 
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """In the order of (kind, gram, around, doc_id, pos): COVERED for what is settled already or comes after an equal
-    suffix, EXTEND for what shares its k-gram with a neighbour only; the rest is unique."""
-    first = None  # (gram, around, doc, pos) of the current class
-    held = None  # the last row, until its next neighbour is known: (doc, mark, pos, kind, gram, shared)
-    names = ("kind", "gram", "around", "doc_id", "text_hash", "pos")
-
-    def made(out: tuple[list, ...]) -> pa.RecordBatch:
-        kinds = (pa.int64(), pa.int32(), pa.int32(), pa.int32())
-        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(out, kinds, strict=True)], [x.split()[0] for x in FOUND.split(", ")])
-
+    """In the order of (kind, gram, around, doc_id, text_hash, pos): COVERED for what is settled already or comes after
+    an equal suffix, FIRST for the first of a class."""
+    last = None  # the place (gram, around, doc_id, text_hash, pos) that opened the current class
     for batch in batches:
-        out: tuple[list, ...] = ([], [], [], [])
-        for settled, g, s, doc, mark, pos in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
-            if settled == COVERED:
-                for c, v in zip(out, (doc, mark, pos, COVERED), strict=True):
-                    c.append(v)
-                continue
-            if first is None or first[0] != g or first[1] != s:
-                first = (g, s, doc, pos)
-            kind = COVERED if (doc, pos) > first[2:] else EXTEND
-            shared = held is not None and held[4] == g
-            if held is not None and (held[3] == COVERED or held[5] or shared):
-                for c, v in zip(out, held, strict=False):
-                    c.append(v)
-            held = (doc, mark, pos, kind, g, shared)
-        yield made(out)
-    if held is not None and (held[3] == COVERED or held[5]):
-        yield made(tuple([v] for v in held[:4]))
+        gram, around, doc, mark, pos, kind = (batch.column(c).to_numpy() for c in ("gram", "around", "doc_id", "text_hash", "pos", "kind"))
+        n = len(gram)
+        if not n:
+            continue
+        settled = kind == COVERED
+        head = np.append(True, (gram[1:] != gram[:-1]) | (around[1:] != around[:-1]) | (kind[1:] != kind[:-1]))
+        opens = np.maximum.accumulate(np.where(head, np.arange(n), 0))
+        later = (doc != doc[opens]) | (mark != mark[opens]) | (pos != pos[opens])
+        goes_on = 0
+        if last is not None and not settled[0] and (gram[0], around[0]) == last[:2]:
+            goes_on = int(np.append(np.flatnonzero(head[1:]) + 1, n)[0])  # rows of the class that the batch before opened
+            later[:goes_on] = (doc[:goes_on] != last[2]) | (mark[:goes_on] != last[3]) | (pos[:goes_on] != last[4])
+        if not settled[-1]:
+            o = opens[-1]
+            if not (o == 0 and goes_on):
+                last = (gram[o], around[o], doc[o], mark[o], pos[o])
+        # repeated rows of a place go on once
+        again = np.append(False, ~head[1:] & (doc[1:] == doc[:-1]) & (mark[1:] == mark[:-1]) & (pos[1:] == pos[:-1]))
+        again[:1] = bool(goes_on) and not later[0]
+        keep = np.flatnonzero(~again)
+        out = np.where(settled | later, COVERED, FIRST).astype(np.int32)[keep]
+        columns = [pa.array(gram[keep]), pa.array(doc[keep]), pa.array(mark[keep]), pa.array(pos[keep]), pa.array(out)]
+        yield pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in FOUND.split(", ")])
 
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -150,26 +156,28 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 parts.append((h1, h2, np.full(len(lo), docs[row + k].as_py()), np.full(len(lo), marks[row + k].as_py()), np.where(own, -1 - lo, lo)))
         if parts:
             h1, h2, doc, mark, lo = (np.concatenate(c) for c in zip(*parts, strict=True))
-            yield pa.RecordBatch.from_arrays([_longs(h1), _longs(h2), pa.array(doc), pa.array(mark.astype(np.int32)), pa.array(lo.astype(np.int32))], [x.split()[0] for x in WINDOW.split(", ")])
+            yield pa.RecordBatch.from_arrays([_longs(h1), _longs(h2), pa.array(doc), pa.array(mark), pa.array(lo.astype(np.int32))], [x.split()[0] for x in WINDOW.split(", ")])
 
 
 def repeated_spans(texts: DataFrame) -> DataFrame:
     """(doc_id, text_hash, spans): the covered word ranges of texts (doc_id, text_hash, text), not merged yet."""
     n = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     suffixes = texts.mapInArrow(_suffixes, SUFFIX)
-    # what a batch has settled goes anywhere, so that copies don't meet in the task of their k-gram
-    deal = F.when(F.col("kind") == COVERED, F.xxhash64("doc_id", "pos")).otherwise(F.col("gram"))
-    dealt = suffixes.withColumn("deal", deal).repartition(n, "deal").drop("deal").sortWithinPartitions("kind", "gram", "around", "doc_id", "pos")
+    # what a batch has settled goes anywhere, so that copies don't meet in the task of their class
+    deal = F.when(F.col("kind") == COVERED, F.xxhash64("doc_id", "pos")).otherwise(F.xxhash64("gram", "around"))
+    dealt = suffixes.withColumn("deal", deal).repartition(n, "deal").drop("deal").sortWithinPartitions("kind", "gram", "around", "doc_id", "text_hash", "pos")
     found = saved(dealt.mapInArrow(_neighbours, FOUND), "neighbours")
     # the surroundings of a suffix are a window at least, since its k-gram lies within the text
     settled = found.where(f"kind = {COVERED}").select("doc_id", "text_hash", F.greatest(F.col("pos") - REACH, F.lit(0)).alias("lo"), (F.col("pos") + LENGTH).alias("hi"))
 
-    extend = found.where(f"kind = {EXTEND}").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("at"))
+    firsts = found.where(f"kind = {FIRST}")
+    several = firsts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    extend = firsts.join(several, "gram").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("at"))
     windows = saved(texts.join(extend, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "at").mapInArrow(_windows, WINDOW), "windows")
     own = windows.where("lo < 0").select("doc_id", "text_hash", (-1 - F.col("lo")).alias("lo"))
     once = windows.where("lo >= 0")
-    first = once.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = once.join(first, ["h1", "h2"]).where("doc_id > first").select("doc_id", "text_hash", "lo")
+    first = once.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = once.join(first, ["h1", "h2"]).where(F.struct("doc_id", "text_hash") > F.col("first")).select("doc_id", "text_hash", "lo")
     spans = settled.union(own.union(later).withColumn("hi", F.col("lo") + LENGTH))
     return spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
 
@@ -214,7 +222,7 @@ def dedup_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     """docs with text_col cleaned, and words_before and words_removed (long) added. All other columns stay."""
     text = F.col(f"`{text_col}`")
     others = [c for c in docs.columns if c != text_col]
-    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.hash(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"))
+    rows = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.xxhash64(F.coalesce(text, F.lit(""))).alias("text_hash"), text.alias("text"), F.struct(*[F.col(f"`{c}`") for c in others]).alias("rest"))
     spans = repeated_spans(rows.where("doc_id is not null").select("doc_id", "text_hash", "text"))
     joined = rows.join(spans, ["doc_id", "text_hash"], "left").select("rest", "text", "spans")
     schema = joined.drop("spans").schema.add("words_before", "long").add("words_removed", "long")
