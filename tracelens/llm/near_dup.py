@@ -8,20 +8,23 @@ coordinates give the candidates; a pair at Jaccard 0.75 misses all bands with pr
 bands of their own. Every link is confirmed on the full sets.
 
 Scale. Texts with equal sets are one class from the start, so large groups of copies are counted by a partial
-aggregate, not paired. In a bucket, candidates are not paired with each other: in each round the bucket's smallest
-class is compared with the others (a star), classes already connected are passed over, and the bucket is done
-when what is left of it is connected. What stays open after STAR_ROUNDS is compared in blocks of BLOCK texts, and only
-the texts outside a cluster's largest component with the others: the full sets, nearest by signature first, until a
-text has a link to the other's component. A task returns links, never candidates. The centre of a large star is dealt
-to several tasks by a salt. No links, components or signatures reach the driver; components come from large-star/small-star rounds over
-tables in the shared folder.
+aggregate, not paired. In a bucket, candidates are not paired with each other: in each of STAR_ROUNDS rounds the
+bucket's smallest class is compared with the others (a star, dealt to several tasks where the bucket is large), classes
+already connected are passed over, and the bucket is done when what is left of it is connected. Buckets still open
+after that are compared whole: texts of open buckets that share texts form clusters, and of a cluster the texts outside
+its largest component are compared with all texts of a size that a link allows, block by block. A task of two blocks
+indexes the first one's rarest shingles, as many as a text at the threshold can't all lack (prefix filter: exact), so
+only texts that share one of them are compared on the full sets, and it returns links, never candidates. No links,
+components or signatures reach the driver; components come from large-star/small-star rounds over tables in the shared
+folder.
 
 Nulls and texts without words have an empty set and no links. Rows with one doc_id are one node. Rows with a null
-doc_id take part in nothing and are kept. Empty tables give empty results.
+doc_id take part in nothing and are kept, their component_id is null. Empty tables give empty results.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import saved
+from tracelens.llm.common import discard, saved
 from tracelens.llm.words import U, chunks, mix, shingle_set
 
 WORDS, COORDINATES = 5, 128
@@ -37,7 +40,10 @@ WORDS, COORDINATES = 5, 128
 MISS = 1e-5
 RING_BITS = 22
 STAR_ROUNDS = 2
-BLOCK = 256
+#: Texts and shingles of a block, at most and about; texts of a block differ in size by a factor of STEP at most.
+BLOCK, BLOCK_SHINGLES, STEP = 4096, 1 << 20, 1.1
+#: Most blocks of one size in a cluster.
+MOST_BLOCKS = 1 << 32
 #: Links of a star that one task verifies, about.
 STAR_TASK = 2000
 
@@ -142,10 +148,10 @@ def _verify(num: int, den: int):
 
 
 def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
-    """Those of the pairs (a, b) whose sets have a Jaccard similarity of at least num / den."""
+    """Those of the pairs (a, b, parts) whose sets have a Jaccard similarity of at least num / den. A centre a is dealt
+    to `parts` tasks, with its texts b."""
     n = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    large = pairs.groupBy("a").agg(F.count("*").alias("n")).where(F.col("n") > STAR_TASK)
-    salted = pairs.join(large, "a", "left").select("a", "b", F.when(F.col("n").isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64("b"), F.ceil(F.col("n") / STAR_TASK))).cast("int").alias("salt"))
+    salted = pairs.select("a", "b", F.pmod(F.xxhash64("b"), F.col("parts")).cast("int").alias("salt"))
     kind = "a long, salt int, role int, b long, shingles array<long>"
     members = salted.join(sets.withColumnRenamed("doc_id", "b"), "b").select("a", "salt", F.lit(1).alias("role"), "b", "shingles")
     centres = salted.select("a", "salt").distinct().join(sets.withColumnRenamed("doc_id", "a"), "a").select("a", "salt", F.lit(0).alias("role"), F.col("a").alias("b"), "shingles")
@@ -154,6 +160,14 @@ def verify(pairs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     return rows.mapInArrow(_verify(num, den), "a long, b long")
 
 
+def near_labels(links: DataFrame) -> DataFrame:
+    """(node, component) of the linked nodes: the least node within two links. Equal labels are connected, but connected
+    nodes may have different ones."""
+    both = links.select(F.col("a").alias("u"), F.col("b").alias("v")).union(links.select("b", "a"))
+    one = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("v"), F.least("u", "m").alias("m"))
+    return both.join(one, "v").groupBy("u").agg(F.min("m").alias("m")).select(F.col("u").alias("node"), F.least("u", "m").alias("component"))
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of every node of the edges (a, b): the smallest node reachable."""
     e = saved(edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u > v").distinct(), "edges")
@@ -162,77 +176,143 @@ def components(edges: DataFrame) -> DataFrame:
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
         large = saved(large, "large-star")
+        discard(e)
         low = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = large.join(low.where("n > 1").drop("n"), "u").where("v > m").select(F.col("v").alias("u"), F.col("m").alias("v"))
         e = saved(small.union(low.select("u", "m")).distinct(), "small-star")
+        discard(large)
         # done when each node has one edge, to a node that has none itself
         if e.groupBy("u").count().where("count > 1").isEmpty() and e.join(e.select(F.col("u").alias("v")), "v", "left_semi").isEmpty():
             break
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).union(e.select("v", "v").distinct())
 
 
+class RareShingles:
+    """The texts of a block by their rarest shingles, in the order of (how many texts of the block have one, hash)."""
+
+    def __init__(self, sets: list[np.ndarray], num: int, den: int):
+        self.num, self.den = num, den
+        own = np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+        self.shingles, which, self.n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
+        first = np.concatenate([[0], np.cumsum([len(x) for x in sets])])
+        order = np.lexsort((which, self.n[which], own))
+        rank = np.arange(len(own)) - first[own]  # own is sorted already
+        kept = rank < np.array([self.prefix(len(x)) for x in sets])[own]
+        which, own = which[order][kept], own[kept]
+        by = np.argsort(which, kind="stable")
+        self.texts, self.first = own[by], np.searchsorted(which[by], np.arange(len(self.shingles) + 1))
+
+    def prefix(self, n: int) -> int:
+        """Of n shingles a similar set lacks fewer than this many."""
+        return n - -(-self.num * n // self.den) + 1
+
+    def candidates(self, s: np.ndarray) -> np.ndarray:
+        """Texts that share one of the rarest shingles with a set: all similar ones are among them."""
+        at = np.searchsorted(self.shingles, s)
+        at[at == len(self.shingles)] = 0
+        at = at[self.shingles[at] == s]
+        most = self.prefix(len(s)) - (len(s) - len(at))  # those that no text of the block has are the rarest
+        if most <= 0:
+            return at[:0]
+        at = at[np.lexsort((at, self.n[at]))[:most]]
+        found = [self.texts[self.first[k] : self.first[k + 1]] for k in at]
+        return np.unique(np.concatenate(found)) if found else at[:0]
+
+
+class Linked:
+    """Union-find over the texts of a block."""
+
+    def __init__(self, components: list[int]):
+        self.head = list(range(len(components)))
+        self.of: dict[int, int] = {}
+        for i, c in enumerate(components):
+            self.head[i] = self.of.setdefault(c, i)
+
+    def find(self, i: int) -> int:
+        while self.head[i] != i:
+            self.head[i] = i = self.head[self.head[i]]
+        return i
+
+    def join(self, roots: set[int]) -> None:
+        low = min(roots, default=0)
+        for r in roots:
+            self.head[r] = low
+
+
 def _block_links(num: int, den: int):
     """Rows of one pair of blocks stand together, the left block (side 0) first: links between different components.
-    Within a task a text that has been linked to a component isn't compared with more of it."""
+    Within a task a text isn't compared with a text that is known to be connected with one it is linked with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        task, left, sigs = None, [], None
+        task, left, index = None, [], None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("cluster", "i", "j", "side", "doc_id", "component")], axis=1)
-            sig, sets = batch.column("sig"), batch.column("shingles")
-            sig_at, sig_flat = sig.offsets.to_numpy(), sig.values.to_numpy()
-            set_at, set_flat = sets.offsets.to_numpy(), sets.values.to_numpy().view(U)
+            sets = batch.column("shingles")
+            at, flat = sets.offsets.to_numpy(), sets.values.to_numpy().view(U)
             found: tuple[list, list] = ([], [])
             for r in range(len(batch)):
                 here, doc, comp = tuple(keys[r][:3]), keys[r][4], keys[r][5]
                 if here != task:
-                    task, left, sigs, joined = here, [], None, set()
-                own, shingles = sig_flat[sig_at[r] : sig_at[r + 1]], set_flat[set_at[r] : set_at[r + 1]]
+                    task, left, index = here, [], None
+                own = flat[at[r] : at[r + 1]]
                 if keys[r][3] == 0:
-                    # batches go when they are read, so a block's rows are copied
-                    left.append((doc, comp, shingles.copy(), own.copy()))
+                    left.append((doc, comp, own.copy()))  # batches go when they are read
                     continue
-                if sigs is None:
-                    sigs = np.stack([x[3] for x in left]) if left else np.zeros((0, COORDINATES), np.int32)
-                same = (sigs == own).sum(axis=1)
-                for x in np.argsort(-same, kind="stable"):
-                    other, its = left[x][0], left[x][1]
-                    if its == comp or other == doc or (other, comp) in joined or (doc, its) in joined:
-                        continue
-                    if similar(left[x][2], shingles, num, den):
-                        joined |= {(other, comp), (doc, its)}
-                        found[0].append(min(doc, other))
-                        found[1].append(max(doc, other))
+                if not left:
+                    continue
+                if index is None:
+                    index = RareShingles([x[2] for x in left], num, den)
+                    linked = Linked([x[1] for x in left])
+                    places = {x[0]: i for i, x in enumerate(left)}
+                roots = {linked.find(i) for i in (linked.of.get(comp), places.get(doc)) if i is not None}
+                for x in index.candidates(own):
+                    root = linked.find(x)
+                    if root not in roots and similar(left[x][2], own, num, den):
+                        roots.add(root)
+                        found[0].append(min(doc, left[x][0]))
+                        found[1].append(max(doc, left[x][0]))
+                linked.join(roots)
             yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in found], ["a", "b"])
 
     return run
 
 
-def _in_blocks(open_rows: DataFrame, sigs: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
+def _in_blocks(open_rows: DataFrame, sets: DataFrame, num: int, den: int) -> DataFrame:
     """Links between components among the rows (band, doc_id, component) of open buckets. Buckets that share texts are
-    one cluster; of a cluster, the texts outside its largest component are compared with all, block by block."""
+    one cluster; of a cluster, the texts outside its largest component are compared with all of a fitting size."""
     centre = open_rows.groupBy("band").agg(F.min("doc_id").alias("a"))
     clusters = components(open_rows.join(centre, "band").select("a", F.col("doc_id").alias("b")))
-    docs = open_rows.select("doc_id", "component").distinct()
-    docs = saved(docs.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id"), "clusters")
+    docs = open_rows.select("doc_id", "component").distinct().join(sets.select("doc_id", F.size("shingles").alias("n")), "doc_id")
+    docs = docs.join(clusters.select(F.col("node").alias("doc_id"), F.col("component").alias("cluster")), "doc_id")
+    docs = saved(docs.withColumn("step", F.floor(F.log(STEP, "n")).cast("int")), "clusters")
     sizes = docs.groupBy("cluster", "component").agg(F.count("*").alias("n"))
-    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("main"), F.sum("n").alias("all"))
-    main = main.select("cluster", F.col("main.component").alias("main"), F.ceil((F.col("all") - F.col("main.n")) / BLOCK).cast("int").alias("rows"), F.ceil(F.col("all") / BLOCK).cast("int").alias("columns"))
-    docs = docs.join(main.where("rows > 0"), "cluster").join(sigs, "doc_id").join(sets, "doc_id")
+    main = sizes.groupBy("cluster").agg(F.max(F.struct("n", "component")).alias("main")).select("cluster", F.col("main.component").alias("main"))
+    docs = saved(docs.join(main, "cluster").withColumn("odd", F.col("component") != F.col("main")).drop("main"), "members")
+
+    # blocks of each size of a cluster; a link allows sizes as far apart as den / num
+    rows = F.greatest(F.lit(1), F.least(F.lit(BLOCK), F.ceil(BLOCK_SHINGLES / F.pow(F.lit(STEP), F.col("step")))))
+    blocks = docs.groupBy("cluster", "step").agg(F.count("*").alias("all"), F.count_if("odd").alias("odd"))
+    blocks = blocks.select("cluster", "step", F.ceil(F.col("all") / rows).cast("int").alias("all"), F.ceil(F.col("odd") / rows).cast("int").alias("odd"))
+    reach = math.ceil(math.log(den / num) / math.log(STEP)) + 1
+    one = blocks.where("odd > 0").select("cluster", F.col("step").alias("step_i"), F.col("odd").alias("n_i"), F.explode(F.sequence(F.col("step") - reach, F.col("step") + reach)).alias("step_j"))
+    fits = one.join(blocks.select("cluster", F.col("step").alias("step_j"), F.col("all").alias("n_j")), ["cluster", "step_j"])
     span = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    block = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n)).cast("int")
-    data = ("doc_id", "component", "sig", "shingles")
-    left = docs.where("component <> main").select("cluster", block("rows").alias("i"), span("columns").alias("j"), F.lit(0).alias("side"), *data)
-    right = docs.select("cluster", span("rows").alias("i"), block("columns").alias("j"), F.lit(1).alias("side"), *data)
+    block = lambda step, part: F.col(step).cast("long") * MOST_BLOCKS + part
+    part = lambda n: F.pmod(F.xxhash64("doc_id"), F.col(n))
+    ids = ("cluster", "i", "j", "side", "doc_id", "component")
+    left = docs.where("odd").withColumnRenamed("step", "step_i").join(fits, ["cluster", "step_i"]).withColumns({"i": block("step_i", part("n_i")), "side": F.lit(0)})
+    right = docs.withColumnRenamed("step", "step_j").join(fits, ["cluster", "step_j"]).withColumns({"j": block("step_j", part("n_j")), "side": F.lit(1)})
+    left = left.select("*", span("n_j").alias("k")).withColumn("j", block("step_j", F.col("k"))).select(*ids)
+    right = right.select("*", span("n_i").alias("k")).withColumn("i", block("step_i", F.col("k"))).select(*ids)
     n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    rows = left.union(right).repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
-    return rows.mapInArrow(_block_links(num, den), "a long, b long").distinct()
+    dealt = left.union(right).join(sets, "doc_id").select(*ids, "shingles").repartition(n, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j", "side")
+    return dealt.mapInArrow(_block_links(num, den), "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", num: int = 75, den: int = 100) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id, kept; linked at a Jaccard similarity >= num / den."""
     n_bands, width = banding(num, den)
-    texts = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    texts = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     sketch = saved(texts.mapInArrow(_sketch, "doc_id long, n_shingles long, h1 long, h2 long, sig array<int>"), "sketch")
     nodes = sketch.where("n_shingles > 0 and doc_id is not null")
     # equal sets are one class; its smallest doc_id stands for it
@@ -245,34 +325,32 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     buckets = saved(keys.join(full, "band").distinct(), "buckets")
     ids = buckets.select("doc_id").distinct()
     sets = saved(texts.join(ids, "doc_id", "left_semi").mapInArrow(_shingles, "doc_id long, shingles array<long>"), "sets")
-    sigs = sketch.select("doc_id", "sig")
 
-    links = found = None
+    links = labels = None
     rows = buckets.withColumn("component", F.col("doc_id"))
-    for step in range(STAR_ROUNDS + 1):
-        if step < STAR_ROUNDS:
-            centre = rows.groupBy("band").agg(F.min("doc_id").alias("a"))
-            pairs = rows.join(centre, "band").where("doc_id <> a")
-            if step:
-                own = rows.select("doc_id", F.col("component").alias("of_a")).distinct().withColumnRenamed("doc_id", "a")
-                pairs = pairs.join(own, "a").where("component <> of_a")
-            pairs = pairs.select("a", F.col("doc_id").alias("b")).distinct()
-            found = verify(pairs, sets, num, den)
-        else:
-            found = _in_blocks(rows, sigs, sets, num, den)
-        found = saved(found, "links")
+    for _ in range(STAR_ROUNDS):
+        centre = rows.groupBy("band").agg(F.min(F.struct("doc_id", "component")).alias("c"), F.ceil(F.count("*") / STAR_TASK).alias("parts"))
+        others = rows.join(centre, "band").where("doc_id <> c.doc_id")
+        pairs = others.where("component <> c.component").groupBy(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.max("parts").alias("parts"))
+        found = saved(verify(pairs, sets, num, den), "links")
         links = found if links is None else links.union(found)
-        labels = components(links)
-        if step == STAR_ROUNDS:
-            break
         # centres are done with; buckets with one component left too
-        left = rows.join(centre, "band").where("doc_id <> a").select("band", "doc_id")
-        left = left.join(labels, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-        several = left.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-        rows = saved(left.join(several, "band", "left_semi"), "open")
+        rows = _open(others.select("band", "doc_id"), near_labels(links))
         if rows.isEmpty():
             break
+    labels = components(links)
+    if not rows.isEmpty():
+        found = saved(_in_blocks(_open(rows.select("band", "doc_id"), labels), sets, num, den), "links")
+        if not found.isEmpty():
+            labels = components(links.union(found))
     out = sketch.select("doc_id", "n_shingles", "h1", "h2").join(copies, ["n_shingles", "h1", "h2"], "left")
     out = out.withColumn("head", F.when(F.col("n_shingles") > 0, F.coalesce("head", "doc_id")).otherwise(F.col("doc_id")))
     out = out.join(labels, F.col("head") == F.col("node"), "left").withColumn("component_id", F.coalesce("component", "head"))
     return out.select("doc_id", "n_shingles", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """The rows (band, doc_id, component) of buckets that have more than one component."""
+    at = rows.join(labels, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
+    several = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
+    return saved(at.join(several, "band", "left_semi"), "open")
