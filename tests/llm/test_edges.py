@@ -1,15 +1,18 @@
 """Cases at the edges of the operators' contracts."""
 
 import collections
+import math
 import random
+import zlib
 
+import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.test_llm import ODD, frame, lower, prose
-from tracelens.llm import bpe, chat, exact_dup, line_dedup, passages
+from tracelens.llm import bpe, chat, exact_dup, line_dedup, passages, toxicity
 from tracelens.llm.common import discard, saved, ship
 
 
@@ -81,6 +84,59 @@ def test_neighbours_do_not_depend_on_batches(batch):
     assert len(firsts) == len(opens)
 
 
+# 4
+
+
+def test_label_model_against_loops():
+    """One step of the estimate and the posteriors, worked out row by row."""
+    rng = np.random.default_rng(4)
+    y = rng.random(400) < 0.25
+    votes = np.stack([np.where(y, rng.random(400) < 0.6, rng.random(400) < 0.02) for _ in range(5)], axis=1).astype(float)
+    m = toxicity.label_model(votes, 0.25, rounds=1)
+    start = [0.9 if any(v) else 0.025 for v in votes]
+    for j in range(6):
+        hit = [float(v[j]) if j < 5 else float(not any(v)) for v in votes]
+        for got, p in ((m.toxic[j], start), (m.clean[j], [1 - x for x in start])):
+            assert got == pytest.approx((sum(h * q for h, q in zip(hit, p)) + 0.5) / (sum(p) + 1))
+    got = m.posterior(votes)
+    for v, p in zip(votes, got):
+        log = m.shift
+        for j in range(5):
+            log += m.weight[j] * math.log(m.toxic[j] / m.clean[j]) if v[j] else 0.0
+        a, b = (m.toxic[5], m.clean[5]) if not any(v) else (1 - m.toxic[5], 1 - m.clean[5])
+        assert p == pytest.approx(1 / (1 + math.exp(-(log + math.log(a / b)))))
+    assert got.mean() == pytest.approx(0.25, abs=1e-6)
+    full = toxicity.label_model(votes, 0.25)
+    assert np.abs(full.toxic[:5] - votes[y].mean(axis=0)).max() < 0.1 and np.abs(full.clean[:5] - votes[~y].mean(axis=0)).max() < 0.03
+
+
+def test_toxicity_scores_against_loops(spark):
+    """The query's scores are those of the model, worked out text by text; labels reach it by the sample only."""
+    from tests.llm.test_llm import toxic_corpus
+
+    docs, labels = toxic_corpus(random.Random(5), 500)
+    d = spark.createDataFrame(docs, "doc_id long, text string").withColumns({"score": F.lit("x"), "rest": F.lit(1), "toxic": F.lit(0)})
+    ls = spark.createDataFrame(labels, "doc_id long, toxic int")
+    model = toxicity.fit(d.select("doc_id", "text"), ls)
+    got = {x["doc_id"]: x for x in toxicity.toxicity(d, ls).collect()}
+    for i, t in docs:
+        x = model.bias + sum(w * v for w, v in zip(model.weights, model.votes(t)))
+        assert got[i]["score"] == pytest.approx(1 / (1 + math.exp(-max(-30, min(30, x)))))
+        assert got[i]["held_out"] == (zlib.crc32(str(i).encode()) % 4 == 2)
+    held = {i for i in got if got[i]["held_out"]}
+    other = [(i, 1 - y if i in held else y) for i, y in labels]
+    again = {x["doc_id"]: x["score"] for x in toxicity.toxicity(d, spark.createDataFrame(other, "doc_id long, toxic int")).collect()}
+    assert again == {i: x["score"] for i, x in got.items()}
+
+
+def test_sample_without_copies(spark):
+    r = random.Random(6)
+    a, b = prose(r, 80), prose(r, 80)
+    near = " ".join(["other", *a.split()[1:]])
+    d = spark.createDataFrame([(1, a, 1), (2, near, 1), (3, b, 1), (4, a, 0), (5, "", 0), (6, None, 0)], "doc_id long, text string, toxic int")
+    assert sorted((x["text"] or "", x["toxic"]) for x in toxicity.without_copies(d).collect()) == sorted([(a, 1), (b, 1), (a, 0), ("", 0)])
+
+
 # 5
 
 

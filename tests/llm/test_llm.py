@@ -200,8 +200,10 @@ def test_label_model_discounts_copies():
     y = (rng.random(3000) < 0.3).astype(float)
     votes = np.stack([np.where(y > 0, rng.random(3000) < 0.8, rng.random(3000) < 0.1) for _ in range(4)], axis=1).astype(float)
     votes = np.hstack([votes, np.repeat(votes[:, :1], 3, axis=1)])
-    p = toxicity.label_model(votes, y, 0.3)
-    assert ((p > 0.5) == (y > 0)).mean() > 0.97
+    m = toxicity.label_model(votes, 0.3)
+    assert ((m.posterior(votes) > 0.5) == (y > 0)).mean() > 0.93
+    assert m.weight[[0, 4, 5, 6]].max() < 0.26 and 1.4 * m.weight[0] < m.weight[1:4].min()  # four voters say the same
+    assert np.abs(m.toxic - 0.8).max() < 0.1 and np.abs(m.clean - 0.1).max() < 0.1
 
 
 # 5

@@ -1,19 +1,24 @@
 """Toxicity scores by weak supervision.
 
-Voters. A bounded sample of labelled rows is mined for words and word beginnings that toxic texts have far more often
-than others (binomial tail, corrected for the number of candidates). Families of such units are dealt to LEXICONS
-voters; each says whether a text has one of its units. Further voters are fixed patterns (shouting, symbols for
-letters, insults addressed to a reader, dense hits).
-
-Label model. The true label is a hidden variable, the annotators' label one voter of known accuracy; expectation maximisation estimates each voter's hit rates given
-either label, and from the residual correlations of the voters given the label a discount, so that voters that repeat
-each other count once. The prior is the share of toxic labels in the sample.
+Voters. Fixed lexicons of insults in four languages; lexicons mined from a bounded sample of labelled rows without its
+near copies: words and word beginnings that toxic texts have far more often than others (binomial tail, corrected for the number of
+candidates), families of which are dealt to LEXICONS voters; and fixed patterns (shouting, symbols for letters, insults
+addressed to a reader, dense hits). A voter says whether a text has one of its units. The labels choose which voters
+take part: those that hit toxic rows more often than others, beyond chance.
+
+Label model. The true label is a hidden variable that no annotator's label is shown to. Expectation maximisation over
+all voters' votes estimates each one's hit rates given either label (its accuracies), and from the residual
+correlations of the voters given the label a discount, so that voters that repeat each other count once. The labels set
+the prior: the posteriors' mean is the share of toxic labels in the sample. A voter that hits nothing abstains: lexicons of one language say nothing about
+another's texts. Whether all of them are silent is one more voter, which never abstains. It starts from the rows that
+aren't silent.
 
 Classifier. A logistic regression on votes, hit counts and densities is fitted to the posterior labels by Newton steps
-with ridge, and scores every whole text. Only the sample's votes (numbers) and the mined units reach the driver.
+with ridge, and scores every whole text. Only the sample's votes (numbers) and the units chosen reach the driver.
 
 Null texts count as empty and get a score like any. Rows of a doc_id that occur more than once are scored each on
-their own text. Without labelled rows of both kinds the score is the sample's share of toxic rows (0 if none).
+their own text. Without labelled rows of both kinds the score is the sample's share of toxic rows (0 if none), without
+a voter that takes part too.
 """
 
 from __future__ import annotations
@@ -30,16 +35,35 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Bounds: labelled rows used for fitting, candidate units counted, units in the lexicon, lexicon voters.
-TRAIN_ROWS, CANDIDATES, UNITS, LEXICONS = 12_000, 50_000, 1_000, 24
-BEGINNINGS = (3, 4, 5, 6, 7, 8)
-#: Least share of toxic rows among the rows with a unit.
-PRECISION = 0.9
-#: How often an annotator calls a toxic and a clean text toxic; annotators are one more voter of the label model.
-ANNOTATOR = (0.95, 0.01)
+from tracelens.llm.common import discard, saved
+from tracelens.llm.words import U, chunks, mix, shingle_set
+
+#: Bounds: labelled rows used for fitting, voters that the mined units are dealt to, and how many of these have several
+#: families of units.
+TRAIN_ROWS, LEXICONS, SHARED = 12_000, 32, 8
+BEGINNINGS = (4, 5, 6, 7, 8)
+#: Least share of toxic rows among the rows with a mined unit, and least toxic rows with it.
+PRECISION, SUPPORT = 0.9, 3
+#: Hashes by which the sample's near copies are found.
+COPY_HASHES = 4
 #: Toxic from this score on.
 THRESHOLD = 0.3
 
+# Common insults, a voter each line; * ends a word's beginning.
+INSULTS = """
+idiot* moron* imbecile* cretin* dimwit* halfwit* numbskull* nitwit* stupid* dumb dumbass* fool fools brainless* clueless*
+loser* worthless* pathetic* useless* failure* nobody* coward* weakling* spineless* pitiful*
+scum scumbag* trash garbage filth filthy vermin parasite* disgusting* repulsive* vile rotten sewage
+clown* joke freak* weirdo* creep creeps pig pigs swine rat rats snake* leech*
+bastard* bitch* asshole* arsehole* jerk* dickhead* prick twat* wanker* whore* slut*
+idiot idioten dumm* doof* blöd* trottel* depp deppen vollidiot* schwachkopf* hohlkopf* versager* wertlos* nutzlos* erbärmlich*
+abschaum* dreck drecks* schwein schweine* mistkerl* arschloch* wichser* hurensohn* schlampe* ekelhaft* widerlich* clowns
+idiot idiote idiots crétin* imbécile* stupide* débile* abruti* nul nulle minable* raté ratés incapable* clown clowns
+connard* connasse* salaud* salope* ordure* pourriture* déchet* racaille* dégueulasse* répugnant* porc porcs
+idiota* imbécil* estúpid* tonto tonta tontos tarado* inútil* fracasad* patétic* payaso* bobo boba
+basura escoria asqueros* cabrón* gilipollas* pendejo* puta puto maldit* cerdo cerda miserable*
+"""
+
 _WORD = re.compile(r"[^\W\d_]+")
 PATTERNS = (
     re.compile(r"(?:\b[^\W\d_a-zß-ÿ]{3,}\b[\s,.!]*){3,}"),
@@ -50,6 +74,11 @@ PATTERNS = (
 )
 
 
+#: unit -> fixed voter
+FIXED = {unit: i for i, line in enumerate(INSULTS.strip().splitlines()) for unit in line.split()}
+FIXED_LEXICONS = len(INSULTS.strip().splitlines())
+
+
 def units_of(words: set[str]) -> set[str]:
     out = set(words)
     for k in BEGINNINGS:
@@ -63,28 +92,33 @@ def words_of(text: str | None) -> list[str]:
 
 @dataclass
 class Model:
-    """units: unit -> voter; the rest is the label model's and the classifier's."""
+    """units: unit -> mined voter; dropped: fixed units that don't count; the rest is the classifier's."""
 
     units: dict[str, int] = field(default_factory=dict)
     weights: list[float] = field(default_factory=list)
     bias: float = -30.0
-    lengths: tuple[int, ...] = ()
+    dropped: frozenset[str] = frozenset()
 
     def __post_init__(self):
-        self.words = {u for u in self.units if u[-1] != "*"}
-        self.lengths = tuple(sorted({len(u) - 1 for u in self.units if u[-1] == "*"}))
+        self.all: dict[str, list[int]] = {}
+        for u, v in FIXED.items():
+            if u not in self.dropped:
+                self.all.setdefault(u, []).append(v)
+        for u, v in self.units.items():
+            self.all.setdefault(u, []).append(FIXED_LEXICONS + v)
+        self.words = {u for u in self.all if u[-1] != "*"}
+        self.lengths = tuple(sorted({len(u) - 1 for u in self.all if u[-1] == "*"}))
 
     def votes(self, text: str | None) -> list[float]:
         """Lexicon voters, pattern voters, dense hits, families hit, hits (log), hits a hundred words."""
         words = words_of(text)
-        hit = [0.0] * LEXICONS
+        hit = [0.0] * (FIXED_LEXICONS + LEXICONS)
         count = Counter(words)
         hits = 0
         for w in self._hit(count):
             hits += count[w]
-            for u in (w, *[w[:k] + "*" for k in self.lengths if len(w) > k]):
-                v = self.units.get(u)
-                if v is not None:
+            for u in (w, *[w[:k] + "*" for k in self.lengths if len(w) >= k]):
+                for v in self.all.get(u, ()):
                     hit[v] = 1.0
         rate = hits / max(len(words), 10)
         patterns = [float(bool(p.search(text))) if text else 0.0 for p in PATTERNS]
@@ -93,9 +127,9 @@ class Model:
     def _hit(self, count: Counter) -> set[str]:
         found = self.words & count.keys()
         for k in self.lengths:
-            begin = {w[:k] + "*" for w in count if len(w) > k} & self.units.keys()
+            begin = {w[:k] + "*" for w in count if len(w) >= k} & self.all.keys()
             if begin:
-                found |= {w for w in count if len(w) > k and w[:k] + "*" in begin}
+                found |= {w for w in count if len(w) >= k and w[:k] + "*" in begin}
         return found
 
     def score(self, text: str | None) -> float:
@@ -103,33 +137,72 @@ class Model:
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, x))))
 
 
-VOTERS = LEXICONS + len(PATTERNS) + 2
+#: Places of a model's votes: voters, then counts.
+VOTERS = FIXED_LEXICONS + LEXICONS + len(PATTERNS) + 2
+
+
+@dataclass
+class LabelModel:
+    """What expectation maximisation has estimated: each voter's hit rates given either label, and its weight."""
+
+    toxic: np.ndarray
+    clean: np.ndarray
+    weight: np.ndarray
+    shift: float
+
+    def posterior(self, votes: np.ndarray) -> np.ndarray:
+        """Probability of label 1 for each row of 0/1 votes; a 0 is an abstention, a row of zeros is silent."""
+        return 1 / (1 + np.exp(-np.clip(self.evidence(votes) + self.shift, -30, 30)))
+
+    def evidence(self, votes: np.ndarray) -> np.ndarray:
+        a, b = self.toxic, self.clean
+        return _with_silence(votes) @ (self.weight * (np.log(a) - np.log(b))) + votes.any(axis=1) * math.log((1 - a[-1]) / (1 - b[-1]))
 
 
-def label_model(votes: np.ndarray, said: np.ndarray, prior: float, rounds: int = 40) -> np.ndarray:
-    """Posterior of label 1 for each row of 0/1 votes; said: the annotators' 0/1 votes, of known hit rates."""
-    m = votes.shape[1]
-    hit, false = ANNOTATOR
-    base = math.log(prior / (1 - prior)) + np.where(said > 0, math.log(hit / false), math.log((1 - hit) / (1 - false)))
-    p = 1 / (1 + np.exp(-base))
-    weight = np.ones(m)
+def _with_silence(votes: np.ndarray) -> np.ndarray:
+    return np.hstack([votes, ~votes.any(axis=1, keepdims=True)]).astype(float)
+
+
+def label_model(votes: np.ndarray, prior: float, rounds: int = 40) -> LabelModel:
+    """The label model of 0/1 votes (rows x voters), without any label. Its last voter is silence."""
+    said = _with_silence(votes)
+    p = np.where(votes.any(axis=1), 0.9, prior / 10)
+    weight = np.ones(said.shape[1])
     for step in range(rounds):
         one, zero = p.sum() + 1e-9, (1 - p).sum() + 1e-9
-        a = (votes.T @ p + 0.5) / (one + 1)
-        b = (votes.T @ (1 - p) + 0.5) / (zero + 1)
+        a = (said.T @ p + 0.5) / (one + 1)
+        b = (said.T @ (1 - p) + 0.5) / (zero + 1)
         if step % 10 == 0:
-            # what voters share beyond the label, within either label
-            excess = np.zeros((m, m))
-            for q, mean, total in ((p, a, one), (1 - p, b, zero)):
-                r = (votes - mean) * np.sqrt(q / total)[:, None]
-                cov = r.T @ r
-                sd = np.sqrt(np.diag(cov)) + 1e-6
-                excess += np.abs(cov / np.outer(sd, sd)) / 2
-            np.fill_diagonal(excess, 0.0)
-            weight = 1 / (1 + np.where(excess > 0.1, excess, 0).sum(axis=1))
-        log = votes @ (weight * (np.log(a) - np.log(b))) + (1 - votes) @ (weight * (np.log1p(-a) - np.log1p(-b)))
-        p = 1 / (1 + np.exp(-np.clip(base + log, -30, 30)))
-    return p
+            weight[:-1] = 1 / (1 + _excess(votes, p, a[:-1], b[:-1]).sum(axis=1))
+        model = LabelModel(a, b, weight, 0.0)
+        evidence = model.evidence(votes)
+        lo, hi = -60.0, 60.0
+        for _ in range(60):
+            model.shift = (lo + hi) / 2
+            p = 1 / (1 + np.exp(-np.clip(evidence + model.shift, -30, 30)))
+            lo, hi = (lo, model.shift) if p.mean() > prior else (model.shift, hi)
+    return model
+
+
+def _excess(votes: np.ndarray, p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """What each two voters share beyond the label: mean absolute correlation within either label, if over 0.1."""
+    excess = np.zeros((votes.shape[1],) * 2)
+    for q, mean in ((p, a), (1 - p, b)):
+        r = (votes - mean) * np.sqrt(q / (q.sum() + 1e-9))[:, None]
+        cov = r.T @ r
+        sd = np.sqrt(np.diag(cov)) + 1e-6
+        excess += np.abs(cov / np.outer(sd, sd)) / 2
+    np.fill_diagonal(excess, 0.0)
+    return np.where(excess > 0.1, excess, 0)
+
+
+def chosen_voters(votes: np.ndarray, said: np.ndarray) -> np.ndarray:
+    """Voters that labelled toxic rows have more often than the others: by twice at least, and beyond chance."""
+    n1, n0 = said.sum(), (1 - said).sum()
+    x, y = votes.T @ said, votes.T @ (1 - said)
+    p1, p0, p = x / n1, y / n0, (x + y) / (n1 + n0)
+    sd = np.sqrt(p * (1 - p) * (1 / n1 + 1 / n0)) + 1e-12
+    return np.flatnonzero((p1 > 2 * p0) & ((p1 - p0) / sd > 3.0))
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float | np.ndarray = 0.05, steps: int = 25) -> tuple[np.ndarray, float]:
@@ -151,34 +224,62 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 4 == 2
 
 
-def _counted(batches: Iterator[pa.RecordBatch], only: frozenset | None = None) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        n: Counter = Counter()
-        for text in batch.column("text").to_pylist():
-            units = units_of(set(words_of(text)))
-            n.update(units if only is None else units & only)
-        yield pa.RecordBatch.from_arrays([pa.array(list(n), pa.string()), pa.array(list(n.values()), pa.int64())], ["unit", "n"])
-
-
-def _unit_counts(docs: DataFrame, only: frozenset | None = None) -> DataFrame:
-    run = lambda batches: _counted(batches, only)
-    return docs.select("text").mapInArrow(run, "unit string, n long").groupBy("unit").agg(F.sum("n").alias("n"))
-
-
-def _significant(a: dict[str, int], b: dict[str, int], toxic: int, clean: int) -> list[str]:
-    """Units that toxic rows have too often for chance, the clearest first."""
-    share = toxic / (toxic + clean)
-    ranked = []
-    for unit, x in a.items():
-        y = b.get(unit, 0)
-        rate = x / (x + y)
-        if rate < PRECISION:
-            continue
-        # Chernoff bound of the binomial tail
-        tail = (x + y) * (rate * math.log(rate / share) + (1 - rate) * math.log(max(1 - rate, 1e-12) / (1 - share)))
-        if tail > math.log(len(a)) + 1:
-            ranked.append((-tail, unit))
-    return [u for _, u in sorted(ranked)[:UNITS]]
+        toxic: Counter = Counter()
+        clean: Counter = Counter()
+        for text, y in zip(batch.column("text").to_pylist(), batch.column("toxic").to_pylist(), strict=True):
+            (toxic if y else clean).update(units_of(set(words_of(text))))
+        units = list(toxic.keys() | clean.keys())
+        yield pa.RecordBatch.from_arrays([pa.array(units, pa.string()), pa.array([toxic[u] for u in units], pa.int64()), pa.array([clean[u] for u in units], pa.int64())], ["unit", "x", "y"])
+
+
+def mined_units(texts: DataFrame, toxic: int, clean: int) -> tuple[list[str], frozenset[str]]:
+    """Units that toxic rows of texts (text, toxic) have too often for chance, the clearest first; and fixed units that
+    the rows with them don't bear out: most of them are clean."""
+    counts = texts.mapInArrow(_counted, "unit string, x long, y long").groupBy("unit").agg(F.sum("x").alias("x"), F.sum("y").alias("y"))
+    found = saved(counts.where((F.col("x") >= SUPPORT) | F.col("unit").isin(*FIXED)), "units")
+    dropped = frozenset(r["unit"] for r in found.where(F.col("unit").isin(*FIXED) & (F.col("y") >= 2) & (F.col("y") > F.col("x"))).collect())
+    share, candidates = toxic / (toxic + clean), max(1, found.where(f"x >= {SUPPORT}").count())
+    rate = F.col("x") / (F.col("x") + F.col("y"))
+    # Chernoff bound of the binomial tail
+    other = F.greatest(1 - rate, F.lit(1e-12))
+    tail = (F.col("x") + F.col("y")) * (rate * F.log(rate / share) + (1 - rate) * F.log(other / (1 - share)))
+    good = found.where(f"x >= {SUPPORT}").withColumns({"rate": rate, "tail": tail}).where((F.col("rate") >= PRECISION) & (F.col("tail") > math.log(candidates) + 1))
+    out = [r["unit"] for r in good.orderBy(F.desc("tail"), "unit").select("unit").collect()]
+    discard(found)
+    return out, dropped
+
+
+def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The rows with COPY_HASHES least shingle hashes of each text: near copies share one of them almost surely."""
+    for batch in batches:
+        out = []
+        for _, w in chunks(batch.column("text")):
+            for a, b in zip(w.first[:-1], w.first[1:], strict=True):
+                s = shingle_set(w.hash[a:b], 5)
+                out.append([int(mix(s ^ U(k)).min().view(np.int64)) for k in range(COPY_HASHES)] if len(s) else [0] * COPY_HASHES)
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.list_(pa.int64()))], [*batch.schema.names, "kinds"])
+
+
+def without_copies(texts: DataFrame) -> DataFrame:
+    """texts (doc_id, text, toxic) without rows that share a least shingle hash with a row of smaller doc_id and the
+    same label: copies of one text would make its words look frequent."""
+    rows = texts.mapInArrow(_kinds, "doc_id long, text string, toxic int, kinds array<long>").withColumn("toxic", F.least("toxic", F.lit(1)))
+    places = rows.select("doc_id", "toxic", F.posexplode("kinds").alias("k", "kind"))
+    first = places.groupBy("toxic", "k", "kind").agg(F.min("doc_id").alias("first"))
+    later = places.join(first, ["toxic", "k", "kind"]).where("doc_id > first").select("doc_id").distinct()
+    return rows.join(later, "doc_id", "left_anti").select("text", "toxic")
+
+
+def _families(units: list[str]) -> dict[str, int]:
+    """Units, the clearest first, to mined voters: families of one beginning together, the clearest families alone."""
+    found: dict[str, int] = {}
+    for u in units:
+        found.setdefault(u[: BEGINNINGS[0]], len(found))
+    alone = LEXICONS - SHARED
+    rest = max(1, -(-(len(found) - alone) // SHARED))
+    return {u: v if (v := found[u[: BEGINNINGS[0]]]) < alone else alone + (v - alone) // rest for u in units}
 
 
 def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
@@ -187,28 +288,36 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max(F.col("toxic").cast("int")).alias("toxic"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows).collect()
-    sample = spark.createDataFrame(chosen or [(0, 0)], "doc_id long, toxic int").where(F.lit(bool(chosen)))
-    texts = docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic")
     toxic = sum(r["toxic"] > 0 for r in chosen)
     clean = len(chosen) - toxic
+    share = toxic / len(chosen) if chosen else 0.0
+    none = Model(bias=math.log((share + 1e-12) / (1 - share + 1e-12)))
     if not toxic or not clean:
-        share = toxic / len(chosen) if chosen else 0.0
-        return Model(bias=math.log((share + 1e-12) / (1 - share + 1e-12)))
-    found = _unit_counts(texts.where("toxic > 0")).where("n >= 3").orderBy(F.desc("n"), "unit").limit(CANDIDATES)
-    a = {r["unit"]: r["n"] for r in found.collect()}
-    b = {r["unit"]: r["n"] for r in _unit_counts(texts.where("toxic = 0"), frozenset(a)).collect()} if a else {}
-    families: dict[str, int] = {}
-    units = {u: families.setdefault(u[:3], len(families)) % LEXICONS for u in _significant(a, b, toxic, clean)}
-    model = Model(units)
-    rows = _voted(texts, model).collect()
-    if not rows:
-        return Model(bias=math.log(toxic / clean))
-    votes, said = np.array([r["votes"] for r in rows], float), np.array([r["toxic"] for r in rows], float)
-    posterior = label_model(votes[:, :VOTERS], said, toxic / (toxic + clean))
-    ridge = np.full(votes.shape[1], 0.05)
-    ridge[LEXICONS : LEXICONS + len(PATTERNS)] = 50.0  # a pattern alone decides nothing
-    weights, bias = logistic(votes, posterior, ridge)
-    return Model(units, [float(w) for w in weights], bias)
+        return none
+    sample = spark.createDataFrame(chosen, "doc_id long, toxic int")
+    rows = saved(docs.join(F.broadcast(sample), "doc_id").select("doc_id", "text", "toxic"), "sample")
+    texts = saved(without_copies(rows), "texts")
+    discard(rows)
+    counts = {r["toxic"]: r["count"] for r in texts.groupBy("toxic").count().collect()}
+    toxic, clean = counts.get(1, 0), counts.get(0, 0)
+    if not toxic or not clean:
+        discard(texts)
+        return none
+    share = toxic / (toxic + clean)
+    units, dropped = mined_units(texts, toxic, clean)
+    model = Model(_families(units), dropped=dropped)
+    found = _voted(texts, model).collect()
+    discard(texts)
+    votes, said = np.array([r["votes"] for r in found], float), np.array([float(r["toxic"] > 0) for r in found])
+    taking = chosen_voters(votes[:, :VOTERS], said)
+    if not len(taking):
+        return none
+    posterior = label_model(votes[:, taking], share).posterior(votes[:, taking])
+    # the classifier sees the voters that take part, and the counts
+    seen = [*taking, *range(VOTERS, votes.shape[1])]
+    weights = np.zeros(votes.shape[1])
+    weights[seen], bias = logistic(votes[:, seen], posterior)
+    return Model(model.units, [float(w) for w in weights], bias, dropped)
 
 
 def _voted(texts: DataFrame, model: Model) -> DataFrame:
