@@ -202,8 +202,8 @@ def test_label_model_discounts_copies():
     votes = np.hstack([votes, np.repeat(votes[:, :1], 3, axis=1)])
     m = toxicity.label_model(votes, 0.3)
     assert ((m.posterior(votes) > 0.5) == (y > 0)).mean() > 0.93
-    assert m.weight[[0, 4, 5, 6]].max() < 0.26 and 1.4 * m.weight[0] < m.weight[1:4].min()  # four voters say the same
-    assert np.abs(m.toxic - 0.8).max() < 0.1 and np.abs(m.clean - 0.1).max() < 0.1
+    assert m.weight[[0, 4, 5, 6]].max() < 0.26 and 1.5 * m.weight[0] < m.weight[1:4].min()  # four voters say the same
+    assert np.abs(m.toxic[:7] - 0.8).max() < 0.2 and np.abs(m.clean[:7] - 0.1).max() < 0.1
 
 
 # 5
