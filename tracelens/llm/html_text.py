@@ -7,9 +7,15 @@ Neighbours on the page and neighbours below the same parent are joined by smooth
 common parent. A maximum flow gives the minimum cut, and the source side is the content. So a short paragraph among
 paragraphs of an article stays, and a long notice inside a menu goes.
 
+The words of a name are weighed together: a word counts in full where it is the name ("sidebar", "main-nav"), little
+beside words of another subject ("market-share", "how-to-login"), and not at all in a state ("no-sidebar",
+"comments-enabled"). What an element's marks say against it doesn't count if it is a wrapper, that is if it holds the
+page's headline, an article or main element and half of the page's running text, or is a form with half of that text.
+
 Character references are decoded, white space inside a block becomes one space, blocks are joined by one space in page
 order. Null and empty pages have an empty text; pages of any length and depth are read whole, broken markup too
-(unclosed elements end with their parents, stray end tags count for nothing). Repeated rows give equal rows.
+(unclosed elements end with their parents, elements without readable content also at the next block; stray end tags
+count for nothing). Repeated rows give equal rows.
 """
 
 from __future__ import annotations
@@ -30,7 +36,10 @@ BLOCK_TAGS = frozenset(
     "pre search section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr frame".split())
-RAW_TAGS = frozenset("script style noscript template iframe textarea svg math object audio video canvas noembed noframes xmp".split())
+#: Elements whose content isn't text of the page.
+RAW_TAGS = frozenset("script style noscript template iframe textarea object audio video canvas noembed noframes xmp annotation annotation-xml".split())
+#: Start tags that end an open drawing.
+BREAKOUT = frozenset("address article aside blockquote body center dd div dl dt fieldset figure footer form h1 h2 h3 h4 h5 h6 header hr li main nav ol p pre section table ul".split())
 #: Opening one of these ends an open one of the same group.
 IMPLIED_END = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 CLOSES_P = BLOCK_TAGS - {"body", "button", "caption", "html", "head", "legend", "option", "optgroup", "select", "td", "th", "tr", "tbody", "thead", "tfoot", "title"}
@@ -48,11 +57,26 @@ WORD_WEIGHT = [
            "ad ads adsense advertising adbox adslot sponsor sponsored banner promo promotion cookie cookies consent gdpr notice notices notification alert "
            "popup modal overlay newsletter subscribe subscription signup login share sharing social footer comment comments "
            "disqus reply replies respond related recommended recommendations trending toolbar widget copyright disclaimer masthead skip hidden"),
-    (-4.0, "header topbar meta byline tags tagcloud legal terms author-box rating ratings"),
+    (-4.0, "header topbar meta byline tags tagcloud legal terms rating ratings"),
     (2.0, "article content entry post story body text main prose maintext"),
 ]
 WORDS = {w: x for x, ws in WORD_WEIGHT for w in ws.split()}
+#: Words of a name that say nothing of its subject.
+PLACES = frozenset(
+    "site page left right top bottom list box wrapper wrap container area section block item items button buttons link links bar global primary "
+    "secondary inner outer module component region panel pane column grid form group holder title heading header icon icons label inline fixed sticky "
+    "mobile desktop small large view node field layout slot unit zone strip center row card teaser count author follow email mail media site blog home news".split()
+)
+#: Words that make a name a state of something else, and words of phrases.
+STATES = frozenset("no non not without with has have is enabled disabled open opened closed free hide show if".split())
+PHRASES = frozenset("how to the of for and in on your my our an why what when best about from".split())
+#: Words that name other things as often: they count little beside words of another subject.
+AMBIGUOUS = frozenset("share sharing login signup banner notice notices cookie cookies reply replies related subscription hidden skip overlay promotion respond menu legal terms text story body main post".split())
+READERS = frozenset("comment comments disqus reply replies respond".split())
 ROLES = {"navigation": -9.0, "banner": -8.0, "contentinfo": -9.0, "complementary": -8.0, "search": -9.0, "alert": -8.0, "dialog": -9.0, "menu": -9.0, "form": -8.0, "main": 2.5, "article": 3.0}
+#: What the marks of one element say at most; what a word says beside words of another subject (its share).
+LEAST, MOST, BESIDE, HEAD = -10.0, 3.0, 0.15, 0.6
+HIDDEN = -30.0
 BIAS, LINK, LONG, SHORT, SENTENCE, HEADING, ITEM = 0.3, -5.0, 1.5, -0.6, 0.5, 0.3, -0.4
 NEXT, SIBLING, DEEP = 0.5, 0.7, 0.1
 
@@ -60,44 +84,83 @@ _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>?|
 _MARK = re.compile(r"""\b(class|id|role|hidden|aria-hidden|style)\b(?:\s*=\s*("[^"]*"|'[^']*'|[^\s>"']+))?""", re.I)
 _HIDE = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.I)
 _SPLIT = re.compile(r"[^a-z]+")
+_BREAK = rf"<(?:{'|'.join(sorted(BREAKOUT))})\b"
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 class Element:
-    __slots__ = ("tag", "parent", "depth", "weight", "article", "link")
+    __slots__ = ("tag", "parent", "depth", "own", "readers", "weight", "article", "link", "drawing", "dropped", "prose", "heads")
 
     def __init__(self, tag: str, parent: Element | None, attributes: str):
         self.tag, self.parent = tag, parent
         self.depth = parent.depth + 1 if parent else 0
         self.article = bool(parent and parent.article) or tag in ("article", "main")
         self.link = bool(parent and parent.link) or tag == "a"
-        own = ELEMENT_WEIGHT.get(tag, 0.0)
+        self.drawing = bool(parent and parent.drawing and tag != "foreignobject") or tag == "svg"
+        self.own, self.readers = ELEMENT_WEIGHT.get(tag, 0.0), False
         if parent and parent.article and tag in ("header", "footer"):
-            own = INNER_HEADER
+            self.own = INNER_HEADER
+        self.heads = tag in ("h1", "article", "main")
         if attributes and not attributes.isspace() and tag not in ("html", "body"):
-            own += mark_weight(attributes)
+            marks, self.readers, is_main = mark_weight(attributes)
+            self.own = marks if marks == HIDDEN else max(LEAST, self.own + marks) if self.own > LEAST else self.own
+            self.heads = self.heads or is_main
+        self.dropped = self.drawing or bool(parent and parent.dropped) or self.own == HIDDEN and tag not in BLOCK_TAGS
+        self.weight, self.prose = 0.0, 0
+
+
+def weigh(elements: list[Element], blocks: list[Block]) -> None:
+    """The weight that each element gives its blocks. Elements stand before those they hold."""
+    for b in blocks:
+        b.element.prose += b.size - b.linked
+    for e in reversed(elements):
+        if e.parent is not None:
+            e.parent.prose += e.prose
+            e.parent.heads = e.parent.heads or e.heads
+    total = elements[0].prose
+    for e in elements:
+        own = e.own
+        if HIDDEN < own < 0 and 2 * e.prose > total and (e.tag == "form" and not e.readers or e.heads and e.tag not in ("h1", "article", "main")):
+            own = 0.0
         # what speaks against an element counts for all below it; what speaks for it, once
-        above = parent.weight if parent else 0.0
-        self.weight = min(above, 0.0) + own if own < 0 else above if above < 0 else max(above, own)
-
-
-def mark_weight(attributes: str) -> float:
-    """Weight of an element's class, id, role and visibility; the word furthest from zero counts."""
-    found = 0.0
-    for name, value in _MARK.findall(attributes):
-        name, value = name.lower(), value.strip("\"'")
-        if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and _HIDE.search(value):
-            return -30.0
-        if name == "role":
-            x = ROLES.get(value.lower(), 0.0)
-        elif name in ("class", "id"):
-            parts = [w for c in value.split() for w in _SPLIT.split(_CAMEL.sub("-", c).lower())]
-            x = max((WORDS.get(w, 0.0) for w in parts), key=abs, default=0.0)
-        else:
-            continue
-        if abs(x) > abs(found):
-            found = x
-    return found
+        above = e.parent.weight if e.parent else 0.0
+        e.weight = min(above, 0.0) + own if own < 0 else above if above < 0 else max(above, own)
+
+
+def name_weight(name: str) -> float:
+    """What one class or id says: its words together."""
+    parts = [w for w in _SPLIT.split(_CAMEL.sub("-", name).lower()) if w]
+    parts = [one if w not in WORDS and (WORDS.get(one := w.removesuffix("s"), 0.0) < 0 or one in PLACES) else w for w in parts]
+    found = [(i, w, WORDS[w]) for i, w in enumerate(parts) if w in WORDS]
+    up = max((x for _, _, x in found if x > 0), default=0.0)
+    down = [(i, w, x) for i, w, x in found if x < 0]
+    if not down or len(parts) > 1 and any(w in STATES for w in parts):
+        return up
+    other = [w for w in parts if w not in WORDS and w not in PLACES and w.removesuffix("s") not in WORDS and (len(w) > 3 or w in PHRASES)]
+    if not other:
+        return min(x for _, _, x in down) + (up if len(down) == 1 else 0.0)
+    # beside words of another subject: the last word is what the name means, unless it means other things as well
+    phrase = any(w in PHRASES for w in parts)
+    return min(x * (HEAD if i == len(parts) - 1 and w not in AMBIGUOUS and not phrase else BESIDE) for i, w, x in down) + up
+
+
+def mark_weight(attributes: str) -> tuple[float, bool, bool]:
+    """What an element's class, id, role and visibility say; whether they name readers' comments, or the main part."""
+    names: set[str] = set()
+    x, is_main = 0.0, False
+    for mark, value in _MARK.findall(attributes):
+        mark, value = mark.lower(), value.strip("\"'")
+        if mark == "hidden" or mark == "aria-hidden" and value.lower() == "true" or mark == "style" and _HIDE.search(value):
+            return HIDDEN, False, False
+        if mark == "role":
+            x += ROLES.get(value.lower(), 0.0)
+            is_main = is_main or value.lower() in ("main", "article")
+        elif mark in ("class", "id"):
+            names.update(value.split())
+    said = [name_weight(n) for n in names]
+    x += sum(w for w in said if w < 0) + max((w for w in said if w > 0), default=0.0)
+    readers = any(w in READERS for n in names for w in _SPLIT.split(_CAMEL.sub("-", n).lower()))
+    return max(LEAST, min(MOST, x)), readers and x < 0, is_main
 
 
 class Block:
@@ -107,35 +170,54 @@ class Block:
         self.text, self.element, self.linked, self.size = text, element, linked, len(text)
 
 
+def _raw_end(page: str, at: int, here: Element, tag: str, unclosed: set[str]) -> int:
+    """Where the content of a raw element ends that began before `at`: behind its end tag, else before the end tag of an
+    element that holds it or, but for scripts and styles, before the next block."""
+    code = tag in ("script", "style")
+    if tag not in unclosed:
+        m = re.compile(rf"</{tag}\b[^>]*>" if code else rf"<(/?){tag}\b[^>]*>", re.I).search(page, at)
+        if m and (code or m[1]):
+            return m.end()
+        if not m:
+            unclosed.add(tag)
+    holders = set()
+    e = here
+    while e.parent is not None and len(holders) < 32:
+        holders.add(e.tag)
+        e = e.parent
+    ends = [rf"</(?:{'|'.join(map(re.escape, sorted(holders)))})\b"] if holders else []
+    if not code:
+        ends.append(_BREAK)
+    m = re.compile("|".join(ends), re.I).search(page, at) if ends else None
+    return m.start() if m else len(page)
+
+
 def blocks_of(page: str) -> list[Block]:
     """A page's blocks in order, decoded, with single spaces."""
     found: list[Block] = []
     here = root = Element("#", None, "")
+    elements = [root]
     parts: list[str] = []
     linked: list[str] = []
     holder = root
-    skip = None  # raw element that is open
+    unclosed: set[str] = set()  # raw elements that have no end tag further on
 
     def flush() -> None:
         nonlocal parts, linked
         if parts:
             text = " ".join(entities.unescape("".join(parts)).split())
             if text:
-                found.append(Block(text, holder, len(" ".join("".join(linked).split()))))
+                found.append(Block(text, holder, min(len(text), len(" ".join(entities.unescape("".join(linked)).split())))))
         parts, linked = [], []
 
     at, end = 0, len(page)
     while at < end:
-        if skip:
-            close = re.compile(rf"</{skip}\b[^>]*>", re.I).search(page, at)
-            at, skip = (close.end() if close else end), None
-            continue
         m = _TOKEN.match(page, at)
         at = m.end()
         tag = m[2] or m[5]
         if not tag:
             text = m[0]
-            if text[0] != "<" or text == "<":
+            if (text[0] != "<" or text == "<") and not here.dropped:
                 if not parts:
                     holder = here
                 parts.append(text)
@@ -148,19 +230,28 @@ def blocks_of(page: str) -> list[Block]:
             while e is not root and e.tag != tag and not (tag not in SCOPES and e.tag in SCOPES and tag not in BLOCK_TAGS):
                 e = e.parent
             if e is not root and e.tag == tag:
-                if tag in BLOCK_TAGS:
+                if tag in BLOCK_TAGS and not e.drawing:
                     flush()
                 here = e.parent
             elif tag in BLOCK_TAGS:
                 flush()
             continue
         attributes = m[3] or m[6] or ""
+        if here.drawing:
+            if tag in BREAKOUT:
+                while here.drawing:
+                    here = here.parent
+            else:
+                if not attributes.rstrip().endswith("/"):
+                    here = Element(tag, here, "")
+                    elements.append(here)
+                continue
         if tag in RAW_TAGS:
             if not attributes.rstrip().endswith("/"):
-                skip = tag
+                at = _raw_end(page, at, here, tag, unclosed)
             continue
         if tag == "br" or tag == "wbr":
-            if tag == "br":
+            if tag == "br" and not here.dropped:
                 parts.append(" ")
             continue
         if tag in BLOCK_TAGS:
@@ -180,9 +271,11 @@ def blocks_of(page: str) -> list[Block]:
             if tag == "body":
                 while here is not root and here.tag != "html":
                     here = here.parent
-        if tag not in VOID_TAGS:
+        if tag not in VOID_TAGS and not (tag == "svg" and attributes.rstrip().endswith("/")):
             here = Element(tag, here, attributes)
+            elements.append(here)
     flush()
+    weigh(elements, found)
     return found
 
 
