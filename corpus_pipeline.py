@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tracelens.llm import line_dedup, near_dup, packing, passages, toxicity
-from tracelens.llm.common import saved, ship, table
+from tracelens.llm.common import discard, saved, ship, table
 from tracelens.llm.queries import tokenizer_path
 
 
@@ -70,5 +70,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        docs = saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        given, docs = docs, saved(stage(spark, docs, sf_dir), f"stage-{name}")
+        discard(given)
     return docs
