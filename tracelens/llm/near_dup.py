@@ -321,7 +321,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     rest = nodes.join(copies, ["n_shingles", "h1", "h2"], "left").where("head is null or head = doc_id").select("doc_id", "sig")
     bands = [F.xxhash64(F.lit(b), *[F.get("sig", F.lit(b * width + r)) for r in range(width)]) for b in range(n_bands)]
     keys = rest.select("doc_id", F.explode(F.array(*bands)).alias("band"))
-    full = keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+    # tables of their own, so that a join with them can deal a large bucket to several tasks
+    full = saved(keys.groupBy("band").agg(F.count("*").alias("n")).where("n > 1").drop("n"), "bands")
     buckets = saved(keys.join(full, "band").distinct(), "buckets")
     ids = buckets.select("doc_id").distinct()
     sets = saved(texts.join(ids, "doc_id", "left_semi").mapInArrow(_shingles, "doc_id long, shingles array<long>"), "sets")
@@ -329,7 +330,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     links = labels = None
     rows = buckets.withColumn("component", F.col("doc_id"))
     for _ in range(STAR_ROUNDS):
-        centre = rows.groupBy("band").agg(F.min(F.struct("doc_id", "component")).alias("c"), F.ceil(F.count("*") / STAR_TASK).alias("parts"))
+        centre = saved(rows.groupBy("band").agg(F.min(F.struct("doc_id", "component")).alias("c"), F.ceil(F.count("*") / STAR_TASK).alias("parts")), "centres")
         others = rows.join(centre, "band").where("doc_id <> c.doc_id")
         pairs = others.where("component <> c.component").groupBy(F.col("c.doc_id").alias("a"), F.col("doc_id").alias("b")).agg(F.max("parts").alias("parts"))
         found = saved(verify(pairs, sets, num, den), "links")
@@ -352,5 +353,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 def _open(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows (band, doc_id, component) of buckets that have more than one component."""
     at = rows.join(labels, F.col("doc_id") == F.col("node"), "left").select("band", "doc_id", F.coalesce("component", "doc_id").alias("component"))
-    several = at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band")
-    return saved(at.join(several, "band", "left_semi"), "open")
+    at = saved(at, "labelled")
+    several = saved(at.groupBy("band").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo < hi").select("band"), "several")
+    out = saved(at.join(several, "band", "left_semi"), "open")
+    discard(at, several)
+    return out

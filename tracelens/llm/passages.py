@@ -171,12 +171,14 @@ def repeated_spans(texts: DataFrame) -> DataFrame:
     settled = found.where(f"kind = {COVERED}").select("doc_id", "text_hash", F.greatest(F.col("pos") - REACH, F.lit(0)).alias("lo"), (F.col("pos") + LENGTH).alias("hi"))
 
     firsts = found.where(f"kind = {FIRST}")
-    several = firsts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+    # tables of their own, so that a join with them can deal a frequent key to several tasks
+    several = saved(firsts.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram"), "grams")
     extend = firsts.join(several, "gram").groupBy("doc_id", "text_hash").agg(F.collect_set("pos").alias("at"))
     windows = saved(texts.join(extend, ["doc_id", "text_hash"]).select("doc_id", "text_hash", "text", "at").mapInArrow(_windows, WINDOW), "windows")
     own = windows.where("lo < 0").select("doc_id", "text_hash", (-1 - F.col("lo")).alias("lo"))
     once = windows.where("lo >= 0")
     first = once.groupBy("h1", "h2").agg(F.min(F.struct("doc_id", "text_hash")).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    first = saved(first, "first-windows")
     later = once.join(first, ["h1", "h2"]).where(F.struct("doc_id", "text_hash") > F.col("first")).select("doc_id", "text_hash", "lo")
     spans = settled.union(own.union(later).withColumn("hi", F.col("lo") + LENGTH))
     return spans.groupBy("doc_id", "text_hash").agg(F.collect_set(F.struct("lo", "hi")).alias("spans"))
