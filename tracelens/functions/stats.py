@@ -5,7 +5,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Callable
-from itertools import product
 
 import numpy as np
 
@@ -37,18 +36,69 @@ def interval(replicates: np.ndarray, alpha: float = 0.05) -> tuple[float, float]
 
 
 def threshold_p(replicates: np.ndarray, threshold: float, greater: bool = True) -> float:
-    """Share of the replicates that fail to beat the threshold."""
-    r = np.asarray(replicates)
+    """Share of the defined replicates that fail to beat the threshold; NaN if none is defined."""
+    r = np.asarray(replicates, float)
+    r = r[np.isfinite(r)]
+    if not len(r):
+        return math.nan
     return float(np.mean(r <= threshold if greater else r >= threshold))
 
 
+def f1(y: np.ndarray, p: np.ndarray) -> float:
+    _, fp, fn, tp = (float(np.sum(2 * np.asarray(y) + np.asarray(p) == v)) for v in range(4))
+    return 2 * tp / (2 * tp + fp + fn) if tp + fp + fn else 0.0
+
+
+def average_precision(y: np.ndarray, score: np.ndarray) -> float:
+    """Mean precision over the positives, rows of one score together; NaN without positives."""
+    y, score = np.asarray(y, float), np.asarray(score, float)
+    order = np.argsort(-score, kind="stable")
+    tp, n = np.cumsum(y[order]), np.arange(1, len(y) + 1)
+    last = np.append(score[order][1:] != score[order][:-1], True)
+    gained = np.diff(np.concatenate([[0], tp[last]]))
+    return float((gained * tp[last] / n[last]).sum() / y.sum()) if y.sum() else math.nan
+
+
+def roc_auc(y: np.ndarray, score: np.ndarray) -> float:
+    """Share of (positive, negative) pairs in the right order, ties count half; NaN with one class."""
+    y, score = np.asarray(y, float), np.asarray(score, float)
+    pos, neg = y.sum(), (1 - y).sum()
+    if not pos or not neg:
+        return math.nan
+    _, inverse, n = np.unique(score, return_inverse=True, return_counts=True)
+    ranks = (np.cumsum(n) - (n - 1) / 2)[inverse]
+    return float((ranks[y > 0].sum() - pos * (pos + 1) / 2) / (pos * neg))
+
+
+def brier(y: np.ndarray, score: np.ndarray) -> float:
+    return float(np.mean((np.asarray(score, float) - np.asarray(y, float)) ** 2))
+
+
+#: name -> (metric, whether it takes scores instead of labels)
+METRICS = {"mcc": (mcc, False), "f1": (f1, False), "pr_auc": (average_precision, True), "roc_auc": (roc_auc, True), "brier": (brier, True)}
+
+
+def metric_interval(name: str, y: np.ndarray, score: np.ndarray, threshold: float = 0.5, n: int = 1000, seed: int = SEED, alpha: float = 0.05) -> dict:
+    """point, low, high and replicates of a metric by a stratified bootstrap. Unknown names raise KeyError; with one
+    class all but the point are NaN."""
+    metric, takes_scores = METRICS[name]
+    other = np.asarray(score, float)
+    if not takes_scores:
+        other = (other >= threshold).astype(int)
+    replicates = stratified_bootstrap(metric, y, other, n, seed)
+    defined = np.isfinite(replicates).any()
+    low, high = interval(replicates, alpha) if defined else (math.nan, math.nan)
+    return {"point": metric(np.asarray(y), other), "low": float(low), "high": float(high), "replicates": replicates}
+
+
 def paired_difference(metric: Callable, y: np.ndarray, a: np.ndarray, b: np.ndarray, n: int = 1000, seed: int = SEED) -> dict:
-    """Interval of metric(a) - metric(b) on common resamples, and whether it straddles zero."""
+    """Interval of metric(a) - metric(b) on common resamples within each class, and whether it straddles zero."""
     y, a, b = map(np.asarray, (y, a, b))
     rng = np.random.default_rng(seed)
+    groups = [np.flatnonzero(y == v) for v in np.unique(y)]
     d = []
     for _ in range(n):
-        at = rng.integers(0, len(y), len(y))
+        at = np.concatenate([rng.choice(g, len(g)) for g in groups])
         d.append(metric(y[at], a[at]) - metric(y[at], b[at]))
     lo, hi = interval(np.array(d))
     return {"low": float(lo), "high": float(hi), "straddles_zero": bool(lo <= 0 <= hi)}
@@ -61,9 +111,12 @@ def median_interval(values: np.ndarray, n: int = 1000, seed: int = SEED) -> tupl
     return (float(np.median(v)), *map(float, interval(r)))
 
 
-def wilcoxon(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
-    """Paired signed-rank statistic and two-sided p: exact up to 12 pairs without ties, else normal with continuity
-    and tie corrections. Equal lists give p = 1."""
+def wilcoxon(a: np.ndarray, b: np.ndarray, alternative: str = "two-sided") -> tuple[float, float]:
+    """Paired signed-rank statistic and p: exact up to 50 pairs without ties (sums counted by recursion), else normal
+    with continuity and tie corrections. The statistic is the lesser rank sum, or for "greater" and "less" (of a over b)
+    that of the positive differences. Equal lists give p = 1."""
+    if alternative not in ("two-sided", "greater", "less"):
+        raise ValueError(f"unknown alternative {alternative!r}")
     a, b = np.asarray(a, float), np.asarray(b, float)
     if a.shape != b.shape:
         raise ValueError("lists of different length")
@@ -75,19 +128,33 @@ def wilcoxon(a: np.ndarray, b: np.ndarray) -> tuple[float, float]:
         return 0.0, 1.0
     size, inverse, ties = np.unique(np.abs(d), return_inverse=True, return_counts=True)
     ranks = (np.cumsum(ties) - (ties - 1) / 2)[inverse]
-    plus, minus = ranks[d > 0].sum(), ranks[d < 0].sum()
-    w = float(min(plus, minus))
-    if n <= 12 and (ties == 1).all():
-        sums = [sum(r for r, s in zip(range(1, n + 1), signs, strict=True) if s) for signs in product((0, 1), repeat=n)]
-        return w, min(1.0, 2 * sum(s <= w for s in sums) / len(sums))
-    var = n * (n + 1) * (2 * n + 1) / 24 - float((ties**3 - ties).sum()) / 48
-    z = (w - n * (n + 1) / 4 + 0.5) / math.sqrt(var)
-    return w, min(1.0, math.erfc(abs(min(z, 0.0)) / math.sqrt(2)))
+    plus, minus = float(ranks[d > 0].sum()), float(ranks[d < 0].sum())
+    w = min(plus, minus) if alternative == "two-sided" else plus
+    low = min(plus, minus) if alternative == "two-sided" else minus if alternative == "greater" else plus
+    if n <= 50 and (ties == 1).all():
+        ways = np.zeros(n * (n + 1) // 2 + 1)
+        ways[0] = 1
+        for r in range(1, n + 1):
+            ways[r:] = ways[r:] + ways[:-r]
+        below = ways[: int(low) + 1].sum() / 2.0**n
+    else:
+        var = n * (n + 1) * (2 * n + 1) / 24 - float((ties**3 - ties).sum()) / 48
+        z = (low - n * (n + 1) / 4 + 0.5) / math.sqrt(var)
+        below = 0.5 * math.erfc(-z / math.sqrt(2))
+    return w, float(min(1.0, 2 * below if alternative == "two-sided" else below))
+
+
+def paired_test(a: np.ndarray, b: np.ndarray, alternative: str = "two-sided", alpha: float = 0.05) -> dict:
+    """Signed-rank test with the medians of both lists and the decision."""
+    w, p = wilcoxon(a, b, alternative)
+    return {"statistic": w, "p": p, "median_a": float(np.median(a)), "median_b": float(np.median(b)), "reject": p < alpha}
 
 
 def cohens_d(a: np.ndarray, b: np.ndarray) -> float:
     a, b = np.asarray(a, float), np.asarray(b, float)
     n, m = len(a), len(b)
+    if n < 2 or m < 2:
+        raise ValueError("an effect size needs two values in each list")
     s = math.sqrt(((n - 1) * a.var(ddof=1) + (m - 1) * b.var(ddof=1)) / (n + m - 2))
     return float((a.mean() - b.mean()) / s) if s else 0.0
 
@@ -104,6 +171,13 @@ def tail_p(value: float, low: float, high: float, threshold: float, greater: boo
     return 0.5 * math.erfc((z if greater else -z) / math.sqrt(2))
 
 
+def reconcile(value: float, low: float, high: float, threshold: float, stored: bool, greater: bool = True, alpha: float = 0.05) -> dict:
+    """The decision by the interval and by the tail's p-value, and whether a stored decision agrees with the interval's."""
+    by_interval = interval_test(low, high, threshold, greater)
+    p = tail_p(value, low, high, threshold, greater)
+    return {"p": p, "by_interval": by_interval, "by_p": p < alpha / 2, "agrees": stored == by_interval}
+
+
 def overlaps(a: tuple[float, float], b: tuple[float, float]) -> bool:
     return a[0] <= b[1] and b[0] <= a[1]
 

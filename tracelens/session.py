@@ -37,3 +37,16 @@ def ship(spark: SparkSession) -> None:
             z.write(p, p.relative_to(top))
     sc.addPyFile(target)
     _shipped.add(sc.applicationId)
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new folder for files that a query writes: below spark.checkpoint.dir, or in local mode a temporary one."""
+    root = spark.conf.get("spark.checkpoint.dir", None)
+    if not root:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        root = f"file://{tempfile.mkdtemp(prefix='tracelens-')}"
+    path = f"{root}/tracelens/{name}-{uuid.uuid4().hex}"
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
+    return path
