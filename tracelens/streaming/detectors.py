@@ -1,5 +1,6 @@
-"""Drift detectors with picklable state: update(), drift_detected, warning_detected, drift_indices, reset().
-Non-finite observations are counted and skipped."""
+"""Drift detectors with picklable state: update(), drift_detected, warning_detected, drift_indices, n_updates, reset().
+Non-finite observations are counted and skipped. reset() takes a detector back to its start; what a detector forgets
+after a drift of its own accord is its own affair."""
 
 from __future__ import annotations
 
@@ -7,16 +8,22 @@ import bisect
 import math
 from collections import deque
 
+import numpy as np
+
 
 class Detector:
     def __init__(self) -> None:
+        self.reset()
+
+    def reset(self) -> None:
+        """Forget the data, the counts and the indices."""
         self.n_updates = 0
         self.drift_indices: list[int] = []
         self.drift_detected = self.warning_detected = False
-        self.reset()
+        self._start()
 
-    def reset(self) -> None:
-        """Forget the data; counts and indices stay."""
+    def _start(self) -> None:
+        """Forget the data."""
 
     def update(self, x: float) -> bool:
         i, self.n_updates = self.n_updates, self.n_updates + 1
@@ -36,10 +43,12 @@ class PageHinkley(Detector):
     """Cumulative deviation above a fading mean, against its minimum."""
 
     def __init__(self, min_instances: int = 30, delta: float = 0.01, threshold: float = 15.0, alpha: float = 1 - 1e-4):
+        if min_instances < 1 or threshold <= 0 or not 0 < alpha <= 1:
+            raise ValueError("min_instances from 1, threshold above 0, alpha in (0, 1]")
         self.min_instances, self.delta, self.threshold, self.alpha = min_instances, delta, threshold, alpha
         super().__init__()
 
-    def reset(self) -> None:
+    def _start(self) -> None:
         self.n, self.mean, self.total, self.low = 0, 0.0, 0.0, math.inf
 
     def _step(self, x: float) -> tuple[bool, bool]:
@@ -49,7 +58,7 @@ class PageHinkley(Detector):
         self.low = min(self.low, self.total)
         gap = self.total - self.low
         if self.n >= self.min_instances and gap > self.threshold:
-            self.reset()
+            self._start()
             return True, True
         return False, self.n >= self.min_instances and gap > self.threshold / 2
 
@@ -59,10 +68,12 @@ class Adwin(Detector):
     Hoeffding-style bound at confidence delta."""
 
     def __init__(self, delta: float = 0.002, per_size: int = 5, every: int = 32, least: int = 10):
+        if not 0 < delta < 1:
+            raise ValueError("delta in (0, 1)")
         self.delta, self.per_size, self.every, self.least = delta, per_size, every, least
         super().__init__()
 
-    def reset(self) -> None:
+    def _start(self) -> None:
         self.rows: list[deque] = [deque()]  # row k: (sum, variance sum) of buckets of 2^k values, oldest first
         self.width, self.total, self.spread, self.ticks = 0, 0.0, 0.0, 0
 
@@ -120,41 +131,58 @@ class Adwin(Detector):
 
 
 class Windowed(Detector):
-    """A fixed reference of the first values against a sliding window of the latest, tested every few updates."""
+    """A reference, of the first values or set, against a sliding window of the latest, tested every few updates."""
 
-    def __init__(self, reference_size: int = 200, window_size: int = 100, test_every: int = 20):
+    def __init__(self, reference_size: int = 500, window_size: int = 500, test_every: int = 1):
+        if reference_size < 2 or window_size < 2 or test_every < 1:
+            raise ValueError("reference and window need two values, a test every update at most")
         self.reference_size, self.window_size, self.test_every = reference_size, window_size, test_every
-        self.statistic = math.nan
         super().__init__()
 
-    def reset(self) -> None:
-        self.reference: list[float] = []
+    def _start(self) -> None:
+        self.reference: list[float] = []  # in order
+        self.has_reference = False
         self.window: deque = deque(maxlen=self.window_size)
-        self.since = 0
+        self.statistic = math.nan
+
+    def set_reference(self, values) -> None:
+        """Fix the reference: the finite ones of these values, two at least."""
+        found = sorted(float(x) for x in values if math.isfinite(x))
+        if len(found) < 2:
+            raise ValueError("a reference needs two finite values")
+        self.reference, self.has_reference = found, True
 
     def _step(self, x: float) -> tuple[bool, bool]:
-        if len(self.reference) < self.reference_size:
+        if not self.has_reference:
             bisect.insort(self.reference, x)
+            self.has_reference = len(self.reference) == self.reference_size
             return False, False
         self.window.append(x)
-        self.since += 1
-        if len(self.window) < self.window_size or self.since % self.test_every:
+        if len(self.window) < self.window_size or (self.n_updates - 1) % self.test_every:
             return False, False
         return self._test()
 
+    def _test(self) -> tuple[bool, bool]:
+        raise NotImplementedError
+
 
 class Ks(Windowed):
     def __init__(self, alpha: float = 0.001, **sizes: int):
+        if not 0 < alpha < 1:
+            raise ValueError("alpha in (0, 1)")
         self.alpha = alpha
         super().__init__(**sizes)
 
+    def _start(self) -> None:
+        super()._start()
+        self.p_value = math.nan
+
     def _test(self) -> tuple[bool, bool]:
-        a, b = self.reference, sorted(self.window)
-        n, m = len(a), len(b)
-        points = sorted({*a, *b})
-        self.statistic = max(abs(bisect.bisect_right(a, v) / n - bisect.bisect_right(b, v) / m) for v in points)
-        p = kolmogorov_p(self.statistic, n, m)
-        return p < self.alpha, p < 10 * self.alpha
+        a, b = np.array(self.reference), np.sort(np.array(self.window))
+        points = np.concatenate([a, b])
+        self.statistic = float(np.abs(np.searchsorted(a, points, "right") / len(a) - np.searchsorted(b, points, "right") / len(b)).max())
+        self.p_value = kolmogorov_p(self.statistic, len(a), len(b))
+        return self.p_value < self.alpha, self.p_value < min(1.0, 10 * self.alpha)
 
 
 def kolmogorov_p(d: float, n: int, m: int) -> float:
@@ -166,22 +194,42 @@ def kolmogorov_p(d: float, n: int, m: int) -> float:
     return min(1.0, max(0.0, 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * x * x) for k in range(1, 101))))
 
 
+def expected_null_psi(bins: int, reference: int, window: int) -> float:
+    """What the index amounts to by chance alone, without any drift."""
+    if bins < 2 or reference < 1 or window < 1:
+        raise ValueError("two bins and values on both sides are needed")
+    return (bins - 1) * (1 / reference + 1 / window)
+
+
+def stability_index(reference, window, bins: int = 10, eps: float = 1e-6) -> float:
+    """Population stability index over the distinct quantiles of the reference, the outer bins open. A reference of one
+    value: by the share of the window that has it. NaN without values."""
+    a, b = (np.asarray(x, float) for x in (reference, window))
+    a, b = a[np.isfinite(a)], b[np.isfinite(b)]
+    if not len(a) or not len(b):
+        return math.nan
+    edges = np.unique(np.quantile(a, np.linspace(0, 1, bins + 1)))
+    if len(edges) == 1:
+        share = max(float(np.mean(b == edges[0])), eps)
+        return (share - 1) * math.log(share)
+    inner = edges[1:-1]  # a value on an edge belongs to the bin above it
+    share = lambda x: np.maximum(np.bincount(np.searchsorted(inner, x, "right"), minlength=len(inner) + 1) / len(x), eps)
+    p, q = share(a), share(b)
+    return float(((q - p) * np.log(q / p)).sum())
+
+
 class Psi(Windowed):
-    def __init__(self, bins: int = 10, drift: float = 0.25, warning: float = 0.1, eps: float = 1e-6, **sizes: int):
-        self.bins, self.drift, self.warn, self.eps = bins, drift, warning, eps
+    """Refuses sizes at which chance alone comes near the drift threshold (by more than `noise` of it)."""
+
+    def __init__(self, bins: int = 10, drift: float = 0.25, warning: float = 0.1, noise: float = 0.25, **sizes: int):
+        self.bins, self.drift, self.warn = bins, drift, warning
         super().__init__(**sizes)
+        self.null = expected_null_psi(bins, self.reference_size, self.window_size)
+        if self.null > noise * drift:
+            raise ValueError(f"unreliable sizes: {self.null:.3f} is expected by chance against a threshold of {drift}")
 
     def _test(self) -> tuple[bool, bool]:
-        r = self.reference
-        edges = sorted({r[min(len(r) - 1, len(r) * i // self.bins)] for i in range(1, self.bins)})
-
-        def shares(values) -> list[float]:
-            n = [0] * (len(edges) + 1)
-            for v in values:
-                n[bisect.bisect_left(edges, v)] += 1
-            return [max(c / len(values), self.eps) for c in n]
-
-        self.statistic = sum((c - a) * math.log(c / a) for a, c in zip(shares(r), shares(list(self.window)), strict=True))
+        self.statistic = stability_index(self.reference, self.window, self.bins)
         return self.statistic > self.drift, self.statistic > self.warn
 
 

@@ -1,57 +1,129 @@
-"""Online learners: logistic regression by stochastic gradients, a Hoeffding tree, and a soft vote that reweights its
-members by their recent loss. All learn row by row, hold bounded state and pickle."""
+"""Online learners: logistic regression by stochastic gradients, Hoeffding trees, one that adapts to drift, a forest of
+those, boosting, and a soft vote. All learn row by row and pickle, so a saved learner goes on exactly where it was.
+
+A learner has features (names) or a number of them; rows are arrays or dictionaries by name (absent ones are NaN, which
+counts as 0). learn_one() returns the learner, never a prediction."""
 
 from __future__ import annotations
 
 import math
+import pickle
 from collections import Counter
 
 import numpy as np
 
+from tracelens.schema import SEED
+from tracelens.streaming.detectors import Adwin
+
+
+def rows_of(data, features: list[str], drop_nulls: bool = False) -> list[dict]:
+    """Rows of a pandas frame or a list of dictionaries as dictionaries with these features."""
+    if hasattr(data, "to_dict") and hasattr(data, "columns"):
+        data = data[features].to_dict("records")
+    elif not isinstance(data, list):
+        raise TypeError(f"no rows in a {type(data).__name__}")
+    null = lambda v: v is None or v != v
+    return [{f: math.nan if null(r.get(f)) else float(r[f]) for f in features if not (drop_nulls and null(r.get(f)))} for r in data]
+
 
-class LogisticSgd:
-    def __init__(self, n: int, rate: float = 0.05, decay: float = 1e-4, positive_weight: float = 1.0):
-        self.n, self.rate, self.decay, self.positive_weight = n, rate, decay, positive_weight
+class Learner:
+    #: Whether class weights reach the learner.
+    supports_weights = False
+
+    def __init__(self, n: int | None = None, features: list[str] | None = None, class_weights: dict[int, float] | None = None):
+        if n is None and features is None:
+            raise ValueError("features or their number")
+        self.features, self.class_weights = features, class_weights or {}
+        self.n = len(features) if features is not None else n
         self.reset()
 
     def reset(self) -> None:
+        self.n_learned = 0
+        self._build()
+
+    def _array(self, x) -> np.ndarray:
+        if isinstance(x, dict):
+            x = [x.get(f, math.nan) for f in self.features] if self.features else list(x.values())
+        return np.nan_to_num(np.asarray(x, float))
+
+    def predict_one(self, x) -> float:
+        return self._predict(self._array(x))
+
+    predict_proba_one = predict_one
+
+    def predict_proba(self, xs) -> np.ndarray:
+        return np.array([self.predict_one(x) for x in (rows_of(xs, self.features) if hasattr(xs, "columns") else xs)], float)
+
+    def learn_one(self, x, y: int, w: float = 1.0) -> Learner:
+        y = int(y)
+        self._learn(self._array(x), y, w * self.class_weights.get(y, 1.0) if self.supports_weights else 1.0)
+        self.n_learned += 1
+        return self
+
+    def learn_many(self, xs, ys) -> Learner:
+        xs = rows_of(xs, self.features) if hasattr(xs, "columns") else xs
+        if len(xs) != len(ys):
+            raise ValueError("rows and labels of different lengths")
+        for x, y in zip(xs, ys, strict=True):
+            self.learn_one(x, y)
+        return self
+
+    def save(self, path: str) -> None:
+        with open(path, "wb") as f:
+            pickle.dump(self, f, protocol=pickle.HIGHEST_PROTOCOL)
+
+    @staticmethod
+    def load(path: str) -> Learner:
+        with open(path, "rb") as f:
+            return pickle.load(f)
+
+
+class LogisticSgd(Learner):
+    supports_weights = True
+
+    def __init__(self, n: int | None = None, rate: float = 0.05, decay: float = 1e-4, positive_weight: float = 1.0, **kw):
+        self.rate, self.decay, self.positive_weight = rate, decay, positive_weight
+        super().__init__(n, **kw)
+
+    def _build(self) -> None:
         self.w, self.b, self.seen = np.zeros(self.n), 0.0, 0
         self.mean, self.m2 = np.zeros(self.n), np.zeros(self.n)
 
     def _scaled(self, x: np.ndarray) -> np.ndarray:
-        sd = np.sqrt(self.m2 / max(self.seen, 1)) + 1e-9
-        return np.nan_to_num((x - self.mean) / sd)
+        return (x - self.mean) / (np.sqrt(self.m2 / max(self.seen, 1)) + 1e-9) if self.seen > 1 else np.zeros(self.n)
 
-    def predict_one(self, x: np.ndarray) -> float:
+    def _predict(self, x: np.ndarray) -> float:
         z = float(self._scaled(x) @ self.w) + self.b
         return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-    def learn_one(self, x: np.ndarray, y: int) -> None:
+    def _learn(self, x: np.ndarray, y: int, w: float) -> None:
         self.seen += 1
-        d = np.nan_to_num(x - self.mean)
+        d = x - self.mean
         self.mean += d / self.seen
-        self.m2 += d * np.nan_to_num(x - self.mean)
-        g = (self.predict_one(x) - y) * (self.positive_weight if y else 1.0)
+        self.m2 += d * (x - self.mean)
+        g = (self._predict(x) - y) * w * (self.positive_weight if y else 1.0)
         self.w -= self.rate * (g * self._scaled(x) + self.decay * self.w)
         self.b -= self.rate * g
 
-    def learn_many(self, xs: np.ndarray, ys: np.ndarray) -> None:
-        for x, y in zip(xs, ys, strict=True):
-            self.learn_one(x, int(y))
 
+class HoeffdingTree(Learner):
+    """Binary splits on Gaussian class summaries, made when the best gain beats the next by the Hoeffding bound.
 
-class HoeffdingTree:
-    """Binary splits on Gaussian class summaries, made when the best gain beats the next by the Hoeffding bound."""
+    leaves: most leaves; None for no bound. subset: features that a leaf looks at; None for all."""
 
-    def __init__(self, n: int, grace: int = 100, confidence: float = 1e-4, tie: float = 0.1, leaves: int = 64):
-        self.n, self.grace, self.confidence, self.tie, self.leaves = n, grace, confidence, tie, leaves
-        self.reset()
+    supports_weights = True
 
-    def reset(self) -> None:
+    def __init__(self, n: int | None = None, grace: int = 100, confidence: float = 1e-4, tie: float = 0.1, leaves: int | None = None, subset: int | None = None, seed: int = SEED, **kw):
+        self.grace, self.confidence, self.tie, self.leaves, self.subset, self.seed = grace, confidence, tie, leaves, subset, seed
+        super().__init__(n, **kw)
+
+    def _build(self) -> None:
+        self.rng = np.random.default_rng(self.seed)
         self.root, self.size = self._leaf(), 1
 
     def _leaf(self) -> dict:
-        return {"n": [0, 0], "mean": np.zeros((2, self.n)), "m2": np.zeros((2, self.n)), "lo": np.full(self.n, np.inf), "hi": np.full(self.n, -np.inf), "since": 0}
+        seen = np.arange(self.n) if self.subset is None or self.subset >= self.n else np.sort(self.rng.choice(self.n, self.subset, replace=False))
+        return {"n": [0.0, 0.0], "mean": np.zeros((2, self.n)), "m2": np.zeros((2, self.n)), "lo": np.full(self.n, np.inf), "hi": np.full(self.n, -np.inf), "since": 0.0, "seen": seen}
 
     def _find(self, x: np.ndarray) -> dict:
         node = self.root
@@ -59,42 +131,42 @@ class HoeffdingTree:
             node = node["left"] if x[node["at"]] <= node["cut"] else node["right"]
         return node
 
-    def predict_one(self, x: np.ndarray) -> float:
-        a, b = self._find(np.nan_to_num(x))["n"]
+    def _predict(self, x: np.ndarray) -> float:
+        a, b = self._find(x)["n"]
         return (b + 1) / (a + b + 2)
 
-    def learn_one(self, x: np.ndarray, y: int) -> None:
-        x = np.nan_to_num(x)
+    def _learn(self, x: np.ndarray, y: int, w: float) -> None:
+        if w <= 0:
+            return
         leaf = self._find(x)
-        leaf["n"][y] += 1
+        leaf["n"][y] += w
         d = x - leaf["mean"][y]
-        leaf["mean"][y] += d / leaf["n"][y]
-        leaf["m2"][y] += d * (x - leaf["mean"][y])
+        leaf["mean"][y] += w * d / leaf["n"][y]
+        leaf["m2"][y] += w * d * (x - leaf["mean"][y])
         leaf["lo"], leaf["hi"] = np.minimum(leaf["lo"], x), np.maximum(leaf["hi"], x)
-        leaf["since"] += 1
-        if leaf["since"] >= self.grace and min(leaf["n"]) > 0 and self.size < self.leaves:
-            leaf["since"] = 0
+        leaf["since"] += w
+        if leaf["since"] >= self.grace and min(leaf["n"]) > 0 and (self.leaves is None or self.size < self.leaves):
+            leaf["since"] = 0.0
             self._split(leaf)
 
-    def learn_many(self, xs: np.ndarray, ys: np.ndarray) -> None:
-        for x, y in zip(xs, ys, strict=True):
-            self.learn_one(x, int(y))
+    @staticmethod
+    def _below(leaf: dict, c: int, i: int, cut: float) -> float:
+        """Share of a class below a cut."""
+        sd = math.sqrt(max(leaf["m2"][c][i], 0.0) / max(leaf["n"][c], 1e-9)) + 1e-9
+        return 0.5 * math.erfc((leaf["mean"][c][i] - cut) / (sd * math.sqrt(2)))
 
     def _split(self, leaf: dict) -> None:
         total = sum(leaf["n"])
         entropy = lambda c: -sum(v / sum(c) * math.log2(v / sum(c)) for v in c if v > 0) if sum(c) > 0 else 0.0
         gains = []
-        for i in range(self.n):
+        for i in leaf["seen"]:
             best = (0.0, 0.0)
             for cut in np.linspace(leaf["lo"][i], leaf["hi"][i], 12)[1:-1]:
-                below = []
-                for c in (0, 1):
-                    sd = math.sqrt(leaf["m2"][c][i] / max(leaf["n"][c], 1)) + 1e-9
-                    below.append(leaf["n"][c] * 0.5 * math.erfc((leaf["mean"][c][i] - cut) / (sd * math.sqrt(2))))
+                below = [leaf["n"][c] * self._below(leaf, c, i, cut) for c in (0, 1)]
                 above = [leaf["n"][c] - below[c] for c in (0, 1)]
                 gain = entropy(leaf["n"]) - sum(below) / total * entropy(below) - sum(above) / total * entropy(above)
                 best = max(best, (gain, float(cut)))
-            gains.append((*best, i))
+            gains.append((*best, int(i)))
         gains.sort(reverse=True)
         bound = math.sqrt(math.log(1 / self.confidence) / (2 * total))
         second = gains[1][0] if len(gains) > 1 else 0.0
@@ -102,9 +174,8 @@ class HoeffdingTree:
             _, cut, i = gains[0]
             left, right = self._leaf(), self._leaf()
             for c in (0, 1):
-                share = 0.5 * math.erfc((leaf["mean"][c][i] - cut) / ((math.sqrt(leaf["m2"][c][i] / max(leaf["n"][c], 1)) + 1e-9) * math.sqrt(2)))
-                left["n"][c] = round(leaf["n"][c] * share)
-                right["n"][c] = leaf["n"][c] - left["n"][c]
+                share = self._below(leaf, c, i, cut)
+                left["n"][c], right["n"][c] = leaf["n"][c] * share, leaf["n"][c] * (1 - share)
                 left["mean"][c], right["mean"][c] = leaf["mean"][c].copy(), leaf["mean"][c].copy()
                 left["m2"][c], right["m2"][c] = leaf["m2"][c] * share, leaf["m2"][c] * (1 - share)
             leaf.clear()
@@ -112,47 +183,155 @@ class HoeffdingTree:
             self.size += 1
 
 
-class SoftVote:
-    """Members weighted by the inverse of their fading loss, no less than `floor`."""
-
-    def __init__(self, n: int, members: tuple[str, ...] = ("logistic", "tree"), decay: float = 0.99, floor: float = 0.01):
-        self.n, self.names, self.decay, self.floor = n, members, decay, floor
-        self.reset()
-
-    def reset(self) -> None:
-        self.members = [make_learner(m, self.n) for m in self.names]
-        self.loss = np.full(len(self.members), 0.25)
+class AdaptiveTree(Learner):
+    """A Hoeffding tree watched by ADWIN: when its error rises, a new tree grows beside it and takes over once it errs
+    less."""
+
+    supports_weights = True
+
+    def __init__(self, n: int | None = None, delta: float = 0.002, patience: int = 300, **kw):
+        self.delta, self.patience = delta, patience
+        self.tree = {k: kw.pop(k) for k in ("grace", "confidence", "tie", "leaves", "subset", "seed") if k in kw}
+        super().__init__(n, **kw)
+
+    def _build(self) -> None:
+        self.main, self.spare = HoeffdingTree(self.n, **self.tree), None
+        self.watch, self.errors, self.level = Adwin(self.delta), [0.0, 0.0, 0], 0.0
+
+    def _predict(self, x: np.ndarray) -> float:
+        return self.main._predict(x)
+
+    def _learn(self, x: np.ndarray, y: int, w: float) -> None:
+        wrong = float((self.main._predict(x) >= 0.5) != y)
+        before = self.watch.total / self.watch.width if self.watch.width else 0.0
+        if self.watch.update(wrong) and self.spare is None and self.watch.total / max(self.watch.width, 1) > before:
+            self.spare, self.errors = HoeffdingTree(self.n, **self.tree), [0.0, 0.0, 0]
+        self.main._learn(x, y, w)
+        if self.spare is not None:
+            self.errors = [self.errors[0] + wrong, self.errors[1] + float((self.spare._predict(x) >= 0.5) != y), self.errors[2] + 1]
+            self.spare._learn(x, y, w)
+            if self.errors[2] >= self.patience:
+                if self.errors[1] <= self.errors[0]:
+                    self.main, self.watch = self.spare, Adwin(self.delta)
+                self.spare = None
+
+
+class AdaptiveForest(Learner):
+    """Trees on random features and Poisson(rate) copies of each row; a tree whose error drifts upwards starts anew."""
+
+    supports_weights = True
+
+    def __init__(self, n: int | None = None, n_models: int = 10, rate: float = 6.0, delta: float = 0.001, seed: int = SEED, **kw):
+        self.n_models, self.poisson, self.delta, self.seed = n_models, rate, delta, seed
+        super().__init__(n, **kw)
+
+    def _tree(self, i: int) -> HoeffdingTree:
+        return HoeffdingTree(self.n, grace=50, confidence=0.01, subset=max(1, round(math.sqrt(self.n)) if self.n > 3 else self.n), seed=self.seed + i)
+
+    def _build(self) -> None:
+        self.rng, self.made = np.random.default_rng(self.seed), self.n_models
+        self.trees = [self._tree(i) for i in range(self.n_models)]
+        self.watch = [Adwin(self.delta) for _ in self.trees]
+
+    def _predict(self, x: np.ndarray) -> float:
+        return float(np.mean([t._predict(x) for t in self.trees]))
+
+    def _learn(self, x: np.ndarray, y: int, w: float) -> None:
+        for i, (tree, copies) in enumerate(zip(self.trees, self.rng.poisson(self.poisson, self.n_models), strict=True)):
+            d = self.watch[i]
+            before = d.total / d.width if d.width else 0.0
+            if d.update(float((tree._predict(x) >= 0.5) != y)) and d.total / max(d.width, 1) > before:
+                tree = self.trees[i] = self._tree(self.made)
+                self.watch[i], self.made = Adwin(self.delta), self.made + 1
+            if copies:
+                tree._learn(x, y, w * copies)
+
+
+class OnlineBoosting(Learner):
+    """Members in a row; each sees a row as often as the members before it have got such rows wrong, and votes by its
+    own error."""
+
+    supports_weights = True
+
+    def __init__(self, n: int | None = None, n_models: int = 10, seed: int = SEED, **kw):
+        self.n_models, self.seed = n_models, seed
+        super().__init__(n, **kw)
+
+    def _build(self) -> None:
+        self.rng = np.random.default_rng(self.seed)
+        self.trees = [HoeffdingTree(self.n, grace=50, seed=self.seed + i) for i in range(self.n_models)]
+        self.right, self.wrong = np.full(self.n_models, 1e-9), np.full(self.n_models, 1e-9)
+
+    def _predict(self, x: np.ndarray) -> float:
+        error = np.clip(self.wrong / (self.right + self.wrong), 1e-3, 1 - 1e-3)
+        votes = np.maximum(np.log((1 - error) / error), 0.0) * (self.right + self.wrong > 1e-6)
+        p = np.array([t._predict(x) for t in self.trees])
+        return float((votes * p).sum() / votes.sum()) if votes.sum() > 0 else 0.5
+
+    def _learn(self, x: np.ndarray, y: int, w: float) -> None:
+        weight = w
+        for i, tree in enumerate(self.trees):
+            copies = self.rng.poisson(min(weight, 50.0))
+            if copies:
+                tree._learn(x, y, float(copies))
+            if (tree._predict(x) >= 0.5) == y:
+                self.right[i] += weight
+                weight *= (self.right[i] + self.wrong[i]) / (2 * self.right[i])
+            else:
+                self.wrong[i] += weight
+                weight *= (self.right[i] + self.wrong[i]) / (2 * self.wrong[i])
+
+
+class SoftVote(Learner):
+    """Mean of the members' scores: equal weights, or with dynamic ones the greater of 1 - fading loss and `floor`. A
+    member's loss is |label - score| before it sees the label."""
+
+    supports_weights = True
+
+    def __init__(self, n: int | None = None, members=("logistic", "tree"), decay: float = 0.99, floor: float = 0.01, dynamic: bool = True, **kw):
+        if not members:
+            raise ValueError("a vote needs a member")
+        if not 0 < decay < 1:
+            raise ValueError("decay in (0, 1)")
+        self.given, self.decay, self.floor, self.dynamic = members, decay, floor, dynamic
+        super().__init__(n, **kw)
+
+    def _build(self) -> None:
+        self.members = [make_learner(m, self.n, features=self.features, class_weights=self.class_weights) if isinstance(m, str) else m for m in self.given]
+        for m in self.members:
+            m.reset()
+        self.loss = np.zeros(len(self.members))
 
     @property
     def weights(self) -> np.ndarray:
-        w = np.maximum(1 / (self.loss + 1e-6), self.floor)
-        return np.maximum(w / w.sum(), self.floor)
+        w = np.maximum(1 - self.loss, self.floor) if self.dynamic and self.n_learned else np.ones(len(self.members))
+        return w / w.sum()
 
-    def predict_one(self, x: np.ndarray) -> float:
-        w = self.weights
-        return float(sum(a * m.predict_one(x) for a, m in zip(w, self.members, strict=True)) / w.sum())
+    def _predict(self, x: np.ndarray) -> float:
+        return float(sum(a * m.predict_one(x) for a, m in zip(self.weights, self.members, strict=True)))
 
-    def learn_one(self, x: np.ndarray, y: int) -> None:
-        losses = np.array([(m.predict_one(x) - y) ** 2 for m in self.members])
+    def learn_one(self, x, y: int, w: float = 1.0) -> SoftVote:
+        a, y = self._array(x), int(y)
+        losses = np.array([abs(y - m.predict_one(a)) for m in self.members])
         self.loss = self.decay * self.loss + (1 - self.decay) * losses
         for m in self.members:
-            m.learn_one(x, y)
-
-    def learn_many(self, xs: np.ndarray, ys: np.ndarray) -> None:
-        for x, y in zip(xs, ys, strict=True):
-            self.learn_one(x, int(y))
+            m.learn_one(a, y, w)
+        self.n_learned += 1
+        return self
 
 
-LEARNERS = {"logistic": LogisticSgd, "tree": HoeffdingTree, "vote": SoftVote}
+LEARNERS = {"logistic": LogisticSgd, "tree": HoeffdingTree, "adaptive_tree": AdaptiveTree, "adaptive_forest": AdaptiveForest, "boosting": OnlineBoosting, "vote": SoftVote}
 
 
-def make_learner(name: str, n: int, **kw):
+def make_learner(name: str, n: int | None = None, **kw):
     if name not in LEARNERS:
-        raise ValueError(f"unknown learner {name!r}")
+        raise ValueError(f"unknown online learner {name!r}")
     return LEARNERS[name](n, **kw)
 
 
 def balanced_weights(labels) -> dict[int, float]:
-    """n / (classes x n of the class)"""
+    """n / (classes x n of the class); with one class both count 1."""
     c = Counter(int(y) for y in labels)
+    if len(c) < 2:
+        return {0: 1.0, 1: 1.0}
     return {k: sum(c.values()) / (len(c) * v) for k, v in c.items()}

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import pickle
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import Any
 
 import pandas as pd
@@ -13,40 +13,84 @@ from pyspark.sql import functions as F
 from tracelens.streaming.detectors import make_detector
 from tracelens.streaming.online import make_learner
 
+_DRIFT = "key string, idx long"
 
-def _drifts(key: str, found: list[int]) -> pd.DataFrame:
+
+def _in_order(df: DataFrame, key: str, columns: dict, order: list[str]) -> DataFrame:
+    """Rows of a key together, in order, streamed through tasks: no key's history is held at once."""
+    n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    rows = df.select(F.col(key).cast("string").alias("__key"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], *[c.alias(name) for name, c in columns.items()])
+    return rows.repartition(n, "__key").sortWithinPartitions("__key", *[f"__o{i}" for i in range(len(order))])
+
+
+def _per_key(start: Callable, step: Callable, end: Callable):
+    """A function of frames: start() gives a key's state, step(state, frame) rows out of the next of its rows,
+    end(state) its last rows. A null key is one too."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        key, state = None, None
+        for f in frames:
+            if f.empty:
+                continue
+            at = f["__key"]
+            cuts = (at.fillna("\0") != at.fillna("\0").shift()).cumsum()
+            for _, part in f.groupby(cuts, sort=False):
+                here = (part["__key"].iloc[0],)
+                here = (None,) if pd.isna(here[0]) else here
+                if state is None or here != key:
+                    if state is not None:
+                        yield end(key[0], state)
+                    key, state = here, start()
+                yield step(key[0], state, part)
+        if state is not None:
+            yield end(key[0], state)
+
+    return run
+
+
+def _drifts(key: str | None, found: list[int]) -> pd.DataFrame:
     return pd.DataFrame({"key": pd.Series([key] * len(found), dtype="object"), "idx": pd.Series(found, dtype="int64")})
 
 
-def replay_detector(df: DataFrame, key: str, order: str, value: str, detector: str, **kw) -> DataFrame:
-    """Drifts of each key's values in order (rows of one key are one sequence): key, idx (from 0), value."""
+def replay_detector(df: DataFrame, key: str, order: str | list[str], value: str, detector: str, **kw) -> DataFrame:
+    """Drifts of each key's values in order (rows of one key are one sequence; ties by the further columns of order, then
+    by value): key, idx (from 0)."""
+    make_detector(detector, **kw)  # raises here if it can't
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        d, pdf = make_detector(detector, **kw), pdf.sort_values("o")
-        for x in pdf["v"]:
-            d.update(x)
-        return _drifts(str(pdf["k"].iloc[0]), d.drift_indices)
+    def step(key, d, rows: pd.DataFrame) -> pd.DataFrame:
+        n = len(d.drift_indices)
+        for x in rows["__v"]:
+            d.update(float("nan") if x is None else x)
+        return _drifts(key, d.drift_indices[n:])
 
-    rows = df.select(F.col(key).cast("string").alias("k"), F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
-    return rows.groupBy("k").applyInPandas(run, "key string, idx long")
+    order = [order] if isinstance(order, str) else order
+    rows = _in_order(df, key, {"__v": F.col(value).cast("double")}, [*order, value])
+    return rows.mapInPandas(_per_key(lambda: make_detector(detector, **kw), step, lambda key, d: _drifts(key, [])), _DRIFT)
 
 
 def stream_detector(df: DataFrame, key: str, order: str, value: str, detector: str, **kw) -> DataFrame:
-    """The same over a streaming frame; the detector is the key's state, so a restarted query goes on exactly."""
+    """The same over a streaming frame; the detector is the key's state, so a restarted query goes on exactly.
+
+    Rows of a micro-batch are put in order. A row that comes late, with an order below one already seen of its key, is
+    left out: the detector has moved on."""
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: Any) -> Iterator[pd.DataFrame]:
-        d = pickle.loads(state.get[0]) if state.exists else make_detector(detector, **kw)
+        d, last = pickle.loads(state.get[0]) if state.exists else (make_detector(detector, **kw), None)
         found = []
         # a micro-batch may bring a key in several frames
-        rows = pd.concat(list(frames)).sort_values("o")
+        rows = pd.concat(list(frames)).sort_values(["o", "v"], kind="stable")
+        if last is not None:
+            rows = rows[rows["o"] >= last]
         for x in rows["v"]:
             if d.update(x):
                 found.append(d.drift_indices[-1])
-        state.update((pickle.dumps(d),))
+        if len(rows):
+            last = rows["o"].iloc[-1]
+        state.update((pickle.dumps((d, last)),))
         yield _drifts(k[0], found)
 
     rows = df.select(F.col(key).cast("string").alias("k"), F.col(order).alias("o"), F.col(value).cast("double").alias("v"))
-    return rows.groupBy("k").applyInPandasWithState(run, "key string, idx long", "state binary", "append", "NoTimeout")
+    return rows.groupBy("k").applyInPandasWithState(run, _DRIFT, "state binary", "append", "NoTimeout")
 
 
 def tumbling_counts(df: DataFrame, time: str, size: str, late: str) -> DataFrame:
@@ -54,18 +98,82 @@ def tumbling_counts(df: DataFrame, time: str, size: str, late: str) -> DataFrame
     return df.withWatermark(time, late).groupBy(F.window(time, size), "event_type").agg(F.count("*").alias("n"))
 
 
-def prequential(df: DataFrame, key: str, period: str, order: str, features: list[str], label: str, learner: str, **kw) -> DataFrame:
-    """Each key's rows in order: score first, learn after. A row per period with the confusion at 0.5."""
-
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        m, rows = make_learner(learner, len(features), **kw), []
-        pdf = pdf.sort_values([period, order])
-        for p, part in pdf.groupby(period, sort=True):
-            n = [0, 0, 0, 0]
-            for x, y in zip(part[features].to_numpy(float), part[label].astype(int), strict=True):
-                n[2 * y + int(m.predict_one(x) >= 0.5)] += 1
-                m.learn_one(x, y)
-            rows.append((str(pdf[key].iloc[0]), str(p), *n))
-        return pd.DataFrame(rows, columns=["key", "period", "tn", "fp", "fn", "tp"])
-
-    return df.groupBy(key).applyInPandas(run, "key string, period string, tn long, fp long, fn long, tp long")
+def prequential(df: DataFrame, key: str, period: str, order: str | list[str], features: list[str], label: str, learner: str, detector: str | None = None, **kw) -> DataFrame:
+    """Each key's rows by period and order: score first, then the detector sees the loss, then the learner learns. A row
+    per period with the confusion at 0.5 and the drifts found."""
+    make_learner(learner, len(features), **kw)
+
+    def start() -> dict:
+        return {"model": make_learner(learner, len(features), **kw), "detector": make_detector(detector) if detector else None, "period": None, "n": [0, 0, 0, 0, 0]}
+
+    def row(key, s: dict) -> tuple:
+        return (key, s["period"], *s["n"])
+
+    names = ["key", "period", "tn", "fp", "fn", "tp", "drifts"]
+
+    def step(key, s: dict, rows: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        for p, x, y in zip(rows["__p"], rows[[f"__x{i}" for i in range(len(features))]].to_numpy(float), rows["__y"].astype(int), strict=True):
+            if p != s["period"]:
+                if s["period"] is not None:
+                    out.append(row(key, s))
+                s["period"], s["n"] = p, [0, 0, 0, 0, 0]
+            hit = int(s["model"].predict_one(x) >= 0.5)
+            s["n"][2 * y + hit] += 1
+            if s["detector"] is not None:
+                s["n"][4] += s["detector"].update(float(hit != y))
+            s["model"].learn_one(x, y)
+        return pd.DataFrame(out, columns=names)
+
+    order = [order] if isinstance(order, str) else order
+    columns = {"__p": F.col(period).cast("string"), "__y": F.col(label).cast("int"), **{f"__x{i}": F.col(c).cast("double") for i, c in enumerate(features)}}
+    rows = _in_order(df, key, columns, [period, *order])
+    run = _per_key(start, step, lambda key, s: pd.DataFrame([row(key, s)], columns=names))
+    return rows.mapInPandas(run, "key string, period string, tn long, fp long, fn long, tp long, drifts long")
+
+
+def covariate_scan(df: DataFrame, feature_columns: list[str], time: str, reference_until, detector: str = "ks", key: str | None = None, onset=None, **kw) -> DataFrame:
+    """Per feature: the first time its values drift from those up to reference_until, how many drifts there are, and the
+    days from an onset to the first one. The features are streams of their own, spread over tasks."""
+    kind = df.schema[time].dataType
+    long = df.select(F.col(time).alias("t"), F.explode(F.array(*[F.struct(F.lit(c).alias("feature"), F.col(c).cast("double").alias("v")) for c in feature_columns])).alias("x"), *([F.col(key).alias("id")] if key else [F.lit(0).alias("id")]))
+    rows = _in_order(long.select("t", "x.*", "id"), "feature", {"__t": F.col("t"), "__v": F.col("v"), "__ref": F.col("t") <= F.lit(reference_until)}, ["t", "id", "v"])
+
+    def start() -> dict:
+        return {"ref": [], "d": None, "first": None, "n": 0}
+
+    def step(key, s: dict, part: pd.DataFrame) -> pd.DataFrame:
+        for t, v, ref in zip(part["__t"], part["__v"], part["__ref"], strict=True):
+            if ref:
+                s["ref"].append(v)
+                continue
+            if s["d"] is None:
+                s["d"] = make_detector(detector, **kw)
+                if sum(pd.notna(s["ref"])) >= 2:
+                    s["d"].set_reference([x for x in s["ref"] if pd.notna(x)])
+                s["ref"] = []
+            if s["d"].update(float("nan") if v is None else v):
+                s["n"] += 1
+                s["first"] = t if s["first"] is None else s["first"]
+        return pd.DataFrame({"feature": [], "n_drifts": [], "first_drift": []})
+
+    def end(key, s: dict) -> pd.DataFrame:
+        return pd.DataFrame({"feature": [key], "n_drifts": [s["n"]], "first_drift": pd.Series([s["first"]], dtype="object")})
+
+    out = rows.mapInPandas(_per_key(start, step, end), f"feature string, n_drifts long, first_drift {kind.simpleString()}")
+    return out.withColumn("latency_days", F.datediff("first_drift", F.lit(onset)) if onset is not None else F.lit(None).cast("int"))
+
+
+def events_by_month(events: DataFrame, detector: str, time: str) -> DataFrame:
+    """Drift events by detector and month."""
+    return events.groupBy(detector, F.date_format(time, "yyyy-MM").alias("month")).agg(F.count("*").alias("n"))
+
+
+def availability(df: DataFrame, time: str, columns: list[str], least: float = 0.5) -> DataFrame:
+    """Per column: the first month in which less than `least` of the rows have a value, and that month's share; nulls
+    where there is none."""
+    m = F.date_format(time, "yyyy-MM").alias("month")
+    shares = df.groupBy(m).agg(*[F.avg(F.col(c).isNotNull().cast("double")).alias(c) for c in columns])
+    long = shares.select(F.explode(F.array(*[F.struct(F.lit(c).alias("column"), "month", F.col(c).alias("share")) for c in columns])).alias("x")).select("x.*")
+    low = F.when(F.col("share") < least, F.struct("month", "share"))
+    return long.groupBy("column").agg(F.min(low).alias("first")).select("column", F.col("first.month").alias("month"), F.col("first.share").alias("share"))
