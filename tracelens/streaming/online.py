@@ -157,7 +157,7 @@ class HoeffdingTree(Learner):
 
     def _split(self, leaf: dict) -> None:
         total = sum(leaf["n"])
-        entropy = lambda c: -sum(v / sum(c) * math.log2(v / sum(c)) for v in c if v > 0) if sum(c) > 0 else 0.0
+        entropy = lambda c: -sum(v / sum(c) * math.log2(v / sum(c)) for v in c if v > 1e-12 * sum(c)) if sum(c) > 0 else 0.0
         gains = []
         for i in leaf["seen"]:
             best = (0.0, 0.0)
