@@ -16,9 +16,9 @@ def test_query_equals_sql(name, spark, sf_dir, con):
     assert rows(got) == rows(want)
 
 
-@pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"mod_02_forest", "str_05_prequential"}))
-def test_other_queries_run(name, spark, sf_dir):
-    assert QUERIES[name](spark, sf_dir).count() >= 0
+def test_queries_without_sql_are_known():
+    """They are held against plain versions in test_plain.py."""
+    assert set(QUERIES) - set(ORACLES) == {"mod_02_forest", "mod_15_calibrated", "str_05_prequential", "str_06_adwin_replay", "str_12_covariate_scan"}
 
 
 def test_entry(spark):

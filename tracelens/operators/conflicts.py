@@ -6,10 +6,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tracelens.operators.lifecycle import KEYS
+from tracelens.operators.sampling import bucket_sample
 from tracelens.operators.temporal import asof_forward, bins, counts_before, next_window
 from tracelens.schema import EVICT, FAILURE, FINISH, INVERSION_US, MAX_RESIDENCY_WINDOWS, MONITORING_LOW, SCHEDULE, SUBMIT, TERMINAL, WINDOW_US
 
-ENVELOPE = ["conflict_id", "group_key", "conflict_type", "machine_id", "start_time", "end_time"]
+#: Columns that all conflicts share, whatever their kind.
+ENVELOPE = ["conflict_id", "group_key", "conflict_type", "machine_id", "start_time", "end_time", "resolution_outcome"]
 
 
 def _priors(events: DataFrame, queries: DataFrame, by: list[str]) -> DataFrame:
@@ -17,7 +19,8 @@ def _priors(events: DataFrame, queries: DataFrame, by: list[str]) -> DataFrame:
     return counts_before(events, queries, by, "time", {"prior_fail": t.isin(*FAILURE), "prior_resub": t == SUBMIT})
 
 
-def _instances(events: DataFrame) -> DataFrame:
+def instance_flags(events: DataFrame) -> DataFrame:
+    """One row per instance: requests, first priority, and whether it ever failed, ended, finished."""
     order, t = F.struct("time", "event_id"), F.col("type")
     return events.groupBy(*KEYS).agg(
         F.max("cpu_request").alias("cpu_request"), F.max("memory_request").alias("memory_request"), F.min_by("priority", order).alias("submit_priority"),
@@ -29,20 +32,21 @@ def resource_contention(usage: DataFrame, events: DataFrame, machines: DataFrame
     """Machine windows whose residents ask for more than the machine has; outcome 1 if none of them fails."""
     capacity = machines.groupBy("machine_id").agg(F.max("capacity_cpus").alias("capacity_cpus"), F.max("capacity_memory").alias("capacity_memory"))
     stay = usage.where("machine_id is not null").groupBy(*KEYS, "machine_id").agg(F.min("start_time").alias("lo"), F.max("end_time").alias("hi"))
-    resident = bins(stay.join(_instances(events), KEYS), "lo", "hi", window, most).withColumn("time", F.col("window") * window)
+    resident = bins(stay.join(instance_flags(events), KEYS), "lo", "hi", window, most).withColumn("time", F.col("window") * window)
     resident = resident.join(_priors(events, resident, KEYS), [*KEYS, "time"], "left").na.fill(0, ["prior_fail", "prior_resub"])
     g = resident.groupBy("machine_id", "window").agg(
         F.count("*").alias("n_concurrent"), F.sum("cpu_request").alias("sum_cpu_request"), F.sum("memory_request").alias("sum_memory_request"),
-        F.max("cpu_request").alias("max_cpu_request"), F.avg("submit_priority").alias("mean_priority"), F.max("submit_priority").alias("max_priority"),
-        F.avg((F.col("submit_priority") >= MONITORING_LOW).cast("int")).alias("frac_monitoring"), F.sum("prior_fail").alias("prior_fail_total"),
-        F.max("prior_fail").alias("prior_fail_max"), F.avg("prior_resub").alias("prior_resub_mean"), F.sum("failed").alias("n_failed"), F.sum("has_terminal").alias("n_terminal"),
+        F.max("cpu_request").alias("max_cpu_request"), F.max("memory_request").alias("max_memory_request"), F.avg("submit_priority").alias("mean_priority"), F.max("submit_priority").alias("max_priority"),
+        F.avg((F.col("submit_priority") >= MONITORING_LOW).cast("int")).alias("frac_production"), F.sum("prior_fail").alias("prior_fail_total"),
+        F.max("prior_fail").alias("prior_fail_max"), F.avg((F.col("prior_fail") > 0).cast("int")).alias("frac_with_prior_fail"), F.avg("prior_resub").alias("prior_resub_mean"), F.sum("failed").alias("n_failed"), F.sum("has_terminal").alias("n_terminal"),
     ).join(capacity, "machine_id")
     g = g.withColumns({"cpu_oversub_ratio": F.try_divide("sum_cpu_request", "capacity_cpus"), "memory_oversub_ratio": F.try_divide("sum_memory_request", "capacity_memory")})
     g = g.where((F.col("n_concurrent") >= 2) & (F.col("n_terminal") >= 1) & ((F.col("cpu_oversub_ratio") > ratio) | (F.col("memory_oversub_ratio") > ratio)))
     return g.select(
         F.concat_ws("_", F.lit("rc"), "machine_id", "window").alias("conflict_id"), F.concat_ws("_", F.lit("m"), "machine_id").alias("group_key"),
         F.lit("resource_contention").alias("conflict_type"), "machine_id", (F.col("window") * window).alias("start_time"), ((F.col("window") + 1) * window).alias("end_time"),
-        "n_concurrent", "cpu_oversub_ratio", "memory_oversub_ratio", "max_priority", "prior_fail_total", "prior_fail_max", (F.col("n_failed") == 0).cast("int").alias("resolution_outcome"),
+        "n_concurrent", "sum_cpu_request", "sum_memory_request", "max_cpu_request", "max_memory_request", "cpu_oversub_ratio", "memory_oversub_ratio", "capacity_cpus", "capacity_memory",
+        "mean_priority", "max_priority", "frac_production", "prior_fail_total", "prior_fail_max", "frac_with_prior_fail", "prior_resub_mean", (F.col("n_failed") == 0).cast("int").alias("resolution_outcome"),
     )
 
 
@@ -52,11 +56,12 @@ def priority_inversion(events: DataFrame, within: int = INVERSION_US) -> DataFra
     evicted = on.where(F.col("type") == EVICT).select("machine_id", "time", *KEYS, F.col("priority").alias("evicted_priority"), F.col("scheduling_class").alias("evicted_scheduling_class"))
     placed = on.where(F.col("type") == SCHEDULE).select("machine_id", "time", F.col("priority").alias("replacing_priority"))
     m = asof_forward(evicted, placed, ["machine_id"], "time", ["replacing_priority"], within).where("evicted_priority > replacing_priority")
-    m = m.join(_instances(events).select(*KEYS, "failed"), KEYS, "left").join(_priors(events, m, KEYS), [*KEYS, "time"], "left")
+    m = m.join(instance_flags(events).select(*KEYS, "failed"), KEYS, "left").join(_priors(events, m, KEYS), [*KEYS, "time"], "left")
     return m.select(
         F.concat_ws("_", F.lit("pi"), "machine_id", *KEYS, "time").alias("conflict_id"), F.concat_ws("_", F.lit("i"), *KEYS).alias("group_key"),
         F.lit("priority_inversion").alias("conflict_type"), "machine_id", F.col("time").alias("start_time"), (F.col("time") + within).alias("end_time"),
         "evicted_priority", "replacing_priority", (F.col("evicted_priority") - F.col("replacing_priority")).alias("priority_gap"),
+        "evicted_scheduling_class", (F.col("evicted_priority") >= MONITORING_LOW).cast("int").alias("evicted_is_production"), (F.coalesce("prior_fail", F.lit(0)) > 0).cast("int").alias("evicted_has_prior_fail"),
         F.coalesce("prior_fail", F.lit(0)).alias("evicted_prior_fail"), F.coalesce("prior_resub", F.lit(0)).alias("evicted_prior_resub"),
         (F.coalesce("failed", F.lit(0)) == 0).cast("int").alias("resolution_outcome"),
     )
@@ -80,8 +85,22 @@ def scheduling_violations(events: DataFrame, window: int = WINDOW_US, least: int
 
 
 def pooled(*frames: DataFrame) -> DataFrame:
-    """Conflicts of several kinds in one frame; features that a kind lacks are null."""
-    out = frames[0]
+    """Conflicts of several kinds in one frame; features that a kind lacks are null. The common columns come first."""
+    for f in frames:
+        if missing := [c for c in ENVELOPE if c not in f.columns]:
+            raise ValueError(f"not a frame of conflicts: it lacks {missing}")
+    out = frames[0].select(*ENVELOPE, *[c for c in frames[0].columns if c not in ENVELOPE])
     for f in frames[1:]:
         out = out.unionByName(f, allowMissingColumns=True)
     return out
+
+
+def scoped_pulls(events: DataFrame, usage: DataFrame, machines: DataFrame, buckets: int, keep: int) -> dict[str, DataFrame]:
+    """What the labelers need of a hash sample of the machines: their events, the residency of instances on them, all
+    events of the collections that reside there, and their capacity."""
+    of = lambda d: bucket_sample(d.where("machine_id is not null"), F.col("machine_id"), buckets, keep)
+    residency = of(usage).groupBy(*KEYS, "machine_id").agg(F.min("start_time").alias("lo"), F.max("end_time").alias("hi"))
+    return {
+        "machine_events": of(events), "residency": residency, "collection_events": events.join(residency.select("collection_id").distinct(), "collection_id", "left_semi"),
+        "capacity": of(machines).groupBy("machine_id").agg(F.max("capacity_cpus").alias("capacity_cpus"), F.max("capacity_memory").alias("capacity_memory")),
+    }

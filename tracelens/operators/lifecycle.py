@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tracelens.functions.exprs import safe_divide, slope, windowed
+from tracelens.functions.exprs import failure_label, priority_band, safe_divide, slope, windowed
 from tracelens.operators.temporal import in_intervals
 from tracelens.schema import EVICT, FAILURE, FINISH, KILL, MICROS, MONITORING_LOW, PRODUCTION_LOW, SCHEDULE, SLOPE_S, SUBMIT, TERMINAL, TIME_AFTER, TIME_BEFORE
 
@@ -96,3 +96,60 @@ def utilization_windows(usage: DataFrame, keys: list[str], horizons: tuple[int,
     """Mean, maximum and deviation of cpu and memory over the first seconds of each key."""
     sec = F.col("sec")
     return usage.groupBy(*keys).agg(*windowed("avg_cpu", sec, horizons, "cpu"), *windowed("avg_memory", sec, horizons, "memory"))
+
+
+# Features known at each point of an attempt's life, by name or beginning (*); each point knows the
+# earlier ones' too.
+SUBMISSION = ("cpu_request", "memory_request", "request_ratio", "priority_tier_*", "scheduling_class", "submit_*", "prior_fail_count", "has_prior_fail", "resubmission_count", "prior_evict_count", "first_resubmission")
+SCHEDULING = ("queue_time", "platform_*")
+RUNTIME = ("cpu_slope_*", "memory_slope_*", "initial_cpu_ramp", "initial_memory_ramp", "first_interval_util_ratio", "cpi_value", "mapi_value", "has_hardware_counters")
+POINTS = {"at_submission": SUBMISSION, "at_scheduling": SUBMISSION + SCHEDULING, "early_runtime": SUBMISSION + SCHEDULING + RUNTIME}
+
+
+def feature_columns(columns: list[str], point: str) -> list[str]:
+    """Those of the columns that are known at a prediction point; an unknown point raises KeyError."""
+    found = []
+    for name in POINTS[point]:
+        found += sorted(c for c in columns if (c.startswith(name[:-1]) if name.endswith("*") else c == name) and c not in found)
+    return found
+
+
+def point_features(df: DataFrame, point: str, keep: list[str]) -> DataFrame:
+    """df with the columns to keep and the features known at a prediction point."""
+    return df.select(*keep, *[c for c in feature_columns(df.columns, point) if c not in keep])
+
+
+def null_indicators(df: DataFrame, columns: list[str], keep: list[str] = ()) -> DataFrame:
+    """Only whether each column is null: missingness as the sole signal."""
+    return df.select(*keep, *[F.col(c).isNull().cast("int").alias(f"{c}__isnull") for c in columns])
+
+
+def submission_features(events: DataFrame) -> DataFrame:
+    """One row per attempt with what is known when it is submitted and scheduled, and its outcome's label."""
+    eps = with_history(episodes(events))
+    t, order = F.col("type"), F.struct("time", "event_id")
+    first = events.groupBy(*KEYS).agg(F.max("cpu_request").alias("cpu_request"), F.max("memory_request").alias("memory_request"), F.min_by("scheduling_class", order).alias("scheduling_class"), F.min_by("priority", order).alias("__priority"))
+    out = eps.join(first, KEYS)
+    hour = F.floor(F.col("attempt_submit_time") / (3600 * MICROS))
+    return out.select(
+        *KEYS, "sched_seq", "cpu_request", "memory_request", safe_divide(F.col("cpu_request"), F.when(F.col("memory_request") != 0, F.col("memory_request"))).alias("request_ratio"), "scheduling_class",
+        *[(priority_band(F.col("__priority")) == b).cast("int").alias(f"priority_tier_{b}") for b in ("free", "best_effort", "mid", "production", "monitoring")],
+        (hour % 24).alias("submit_hour"), (F.floor(hour / 24) % 7).alias("submit_day"), "prior_fail_count", (F.col("prior_fail_count") > 0).cast("int").alias("has_prior_fail"),
+        F.col("prior_episode_count").alias("resubmission_count"), "prior_evict_count", safe_divide(F.col("schedule_time") - F.col("attempt_submit_time"), F.lit(MICROS)).alias("queue_time"),
+        failure_label(F.col("terminal_type")).alias("failure_label"),
+    )
+
+
+def attempt_audits(eps: DataFrame) -> dict[str, DataFrame]:
+    """Five audits of attempts: by number of attempts, outcomes by ordinal, first against later ones, gaps in the
+    ordinals, and attempts with several or no ends."""
+    t = F.col("terminal_type")
+    failed = F.count_if(t.isin(*FAILURE))
+    per = eps.groupBy(*KEYS).agg(F.count("*").alias("attempts"), failed.alias("failures"), F.max("sched_seq").alias("last"))
+    return {
+        "by_attempts": per.groupBy("attempts").agg(F.count("*").alias("instances"), F.sum("failures").alias("failures")),
+        "by_ordinal": eps.groupBy("sched_seq").agg(F.count("*").alias("n"), failed.alias("failures"), F.count_if(t == FINISH).alias("finishes"), F.count_if(t == EVICT).alias("evictions")),
+        "first_and_later": eps.groupBy((F.col("sched_seq") == 1).cast("int").alias("first")).agg(F.count("*").alias("n"), failed.alias("failures")),
+        "gaps": per.groupBy((F.col("last") != F.col("attempts")).cast("int").alias("gap")).agg(F.count("*").alias("instances")),
+        "ends": eps.groupBy(F.least("n_terminal_events", F.lit(2)).alias("ends")).agg(F.count("*").alias("n")),
+    }

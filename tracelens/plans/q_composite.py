@@ -11,6 +11,7 @@ from tracelens.sources.tables import drive_days, instance_events, instance_usage
 
 K = ["collection_id", "instance_index"]
 HOUR = 3_600_000_000
+DAY_US = 24 * HOUR
 EPISODES = """ev AS (SELECT *, sum(CASE WHEN type = 3 THEN 1 ELSE 0 END) OVER w AS sched_seq, max(CASE WHEN type = 0 THEN time END) OVER w AS running_last_submit FROM ie
     WINDOW w AS (PARTITION BY collection_id, instance_index ORDER BY time, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)),
 ep AS (SELECT collection_id, instance_index, CAST(sched_seq AS BIGINT) AS sched_seq, min(CASE WHEN type = 3 THEN time END) AS schedule_time, min(CASE WHEN type = 3 THEN machine_id END) AS scheduled_machine_id,
@@ -133,26 +134,6 @@ def joi_19_next_window(spark, sf_dir):
 _INST = "inst AS (SELECT collection_id, instance_index, max(cpu_request) AS cpu_request, max(memory_request) AS memory_request, arg_min(priority, time) AS submit_priority, max(CASE WHEN type IN (5, 8) THEN 1 ELSE 0 END) AS failed, max(CASE WHEN type IN (4, 5, 6, 7, 8) THEN 1 ELSE 0 END) AS has_terminal FROM ie GROUP BY 1, 2)"
 
 
-@query(f"""WITH {_INST}, stay AS (SELECT collection_id, instance_index, machine_id, CAST(floor(min(start_time) / {24 * HOUR}) AS BIGINT) AS lo, CAST(floor(max(end_time) / {24 * HOUR}) AS BIGINT) AS hi FROM us GROUP BY 1, 2, 3),
- r AS (SELECT s.*, unnest(range(lo, least(hi, lo + 288) + 1)) AS w FROM stay s),
- q AS (SELECT r.*, (SELECT count(*) FROM ie h WHERE h.collection_id = r.collection_id AND h.instance_index = r.instance_index AND h.time < r.w * {24 * HOUR} AND h.type IN (5, 8)) AS pf FROM r),
- g AS (SELECT machine_id, w, count(*) AS n_concurrent, sum(cpu_request) AS sc, sum(memory_request) AS sm, max(submit_priority) AS max_priority, CAST(sum(pf) AS BIGINT) AS prior_fail_total, max(pf) AS prior_fail_max, sum(failed) AS nf, sum(has_terminal) AS nt FROM q JOIN inst USING (collection_id, instance_index) GROUP BY 1, 2),
- c AS (SELECT machine_id, max(capacity_cpus) AS cc, max(capacity_memory) AS cm FROM me GROUP BY 1)
-SELECT 'rc_' || machine_id || '_' || w AS conflict_id, machine_id, w * {24 * HOUR} AS start_time, n_concurrent, round(sc / cc, 6) AS cpu_oversub_ratio, round(sm / cm, 6) AS memory_oversub_ratio, max_priority, prior_fail_total, prior_fail_max, CAST(nf = 0 AS INTEGER) AS resolution_outcome
-FROM g JOIN c USING (machine_id) WHERE n_concurrent >= 2 AND nt >= 1 AND (sc / cc > 1 OR sm / cm > 1)""")
-def lbl_01_resource_contention(spark, sf_dir):
-    r = conflicts.resource_contention(instance_usage(spark, sf_dir), instance_events(spark, sf_dir), machine_events(spark, sf_dir), window=24 * HOUR)
-    return rounded(r, "cpu_oversub_ratio", "memory_oversub_ratio").select("conflict_id", "machine_id", "start_time", "n_concurrent", "cpu_oversub_ratio", "memory_oversub_ratio", "max_priority", "prior_fail_total", "prior_fail_max", "resolution_outcome")
-
-
-@query(f"""WITH {_INST}, m AS (SELECT e.*, CASE WHEN r.time - e.time <= {HOUR} THEN r.priority END AS rp FROM (SELECT * FROM ie WHERE type = 4) e ASOF LEFT JOIN (SELECT * FROM ie WHERE type = 3) r ON e.machine_id = r.machine_id AND e.time <= r.time)
-SELECT 'pi_' || machine_id || '_' || collection_id || '_' || instance_index || '_' || time AS conflict_id, priority AS evicted_priority, rp AS replacing_priority, priority - rp AS priority_gap,
- (SELECT count(*) FROM ie h WHERE h.collection_id = m.collection_id AND h.instance_index = m.instance_index AND h.time < m.time AND h.type IN (5, 8)) AS evicted_prior_fail, CAST(failed = 0 AS INTEGER) AS resolution_outcome
-FROM m JOIN inst USING (collection_id, instance_index) WHERE priority > rp""")
-def lbl_02_priority_inversion(spark, sf_dir):
-    return conflicts.priority_inversion(instance_events(spark, sf_dir), HOUR).select("conflict_id", "evicted_priority", "replacing_priority", "priority_gap", "evicted_prior_fail", "resolution_outcome")
-
-
 _SV = f"""g AS (SELECT collection_id, CAST(floor(time / {6 * HOUR}) AS BIGINT) AS w, count(*) FILTER (WHERE type = 3) AS n_schedule, count(*) FILTER (WHERE type = 4) AS n_evict, count(*) FILTER (WHERE type IN (5, 8)) AS n_fail FROM ie GROUP BY 1, 2),
  x AS (SELECT *, n_evict / greatest(n_schedule, 1) AS er, n_fail / greatest(n_schedule, 1) AS fr FROM g)"""
 
@@ -166,17 +147,6 @@ def lbl_03_scheduling_violation(spark, sf_dir):
     return rounded(v, "evict_ratio", "fail_ratio").select("conflict_id", "n_schedule", "n_evict", "n_fail", "evict_ratio", "fail_ratio", "coll_prior_fail", "resolution_outcome")
 
 
-@query()
-def lbl_04_pooled(spark, sf_dir):
-    ev = instance_events(spark, sf_dir)
-    return conflicts.pooled(conflicts.resource_contention(instance_usage(spark, sf_dir), ev, machine_events(spark, sf_dir), 24 * HOUR), conflicts.priority_inversion(ev, HOUR), conflicts.scheduling_violations(ev, 6 * HOUR, 2))
-
-
-@query("SELECT event_id, machine_id FROM ie WHERE machine_id IN (SELECT DISTINCT machine_id FROM ie WHERE CAST(('0x' || substr(md5(CAST(machine_id AS VARCHAR)), 1, 8)) AS BIGINT) % 10 < 3)")
-def lbl_05_scoped_pull(spark, sf_dir):
-    return sampling.bucket_sample(instance_events(spark, sf_dir), F.col("machine_id"), 10, 3).select("event_id", "machine_id")
-
-
 _MD5 = "CAST(('0x' || substr(md5({}), 1, 8)) AS BIGINT)"
 
 
@@ -211,12 +181,6 @@ def smp_06_working_set(spark, sf_dir):
     return sampling.working_set(g, "k", ["stratum"], "n", "failed", 0.4)
 
 
-@query()
-def smp_07_thin_healthy(spark, sf_dir):
-    dd = drive_days(spark, sf_dir)
-    return sampling.thin_healthy(dd, "failure", F.concat_ws("_", F.col("serial_number").cast("string"), F.col("date").cast("string")), 10.0).select("serial_number", "date", "failure")
-
-
 @query("WITH b AS (SELECT min(time) AS lo, max(time) AS hi FROM ie) SELECT event_id, CAST(floor(floor((time - lo) / 86400000000) * 5 / (floor((hi - lo) / 86400000000) + 1)) AS BIGINT) AS fold FROM ie CROSS JOIN b")
 def smp_15_day_folds(spark, sf_dir):
     return sampling.day_folds(instance_events(spark, sf_dir), "time", 24 * HOUR, 5).select("event_id", "fold")
@@ -281,14 +245,7 @@ def met_11_calibration(spark, sf_dir):
     return rounded(metrics.calibration(predictions(spark, sf_dir), "y_true", "y_score"), "mean_score", "rate")
 
 
-@query("""WITH t AS (SELECT unnest(range(1, 20)) / 20 AS threshold), c AS (SELECT threshold, sum(CASE WHEN y_score >= threshold AND y_true = 1 THEN 1 ELSE 0 END)::DOUBLE AS tp, sum(CASE WHEN y_score >= threshold AND y_true = 0 THEN 1 ELSE 0 END)::DOUBLE AS fp,
- sum(CASE WHEN y_score < threshold AND y_true = 1 THEN 1 ELSE 0 END)::DOUBLE AS fn, sum(CASE WHEN y_score < threshold AND y_true = 0 THEN 1 ELSE 0 END)::DOUBLE AS tn FROM t CROSS JOIN pr GROUP BY 1)
-SELECT threshold, round(mcc, 6) AS mcc FROM (SELECT threshold, coalesce((tp * tn - fp * fn) / nullif(sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 0), 0) AS mcc FROM c) ORDER BY mcc DESC, threshold LIMIT 1""")
-def mod_16_threshold(spark, sf_dir):
-    return rounded(metrics.best_threshold(predictions(spark, sf_dir), "y_true", "y_score", [i / 20 for i in range(1, 20)]), "mcc")
-
-
-_P = "SELECT s_suppkey AS id, (s_suppkey * 37 % 101 + 1) / 2000 AS p FROM supplier WHERE s_suppkey < 30"
+_P = "SELECT s_suppkey AS id, (s_suppkey * 37 % 101 + 1) / 2000 AS p FROM supplier"
 
 
 def _family(spark, sf_dir):
@@ -367,41 +324,6 @@ def agg_48_rollup(spark, sf_dir):
     return r.groupBy("entity").agg(F.max("y_score").alias("top"), F.round(F.avg("y_score"), 6).alias("mean"), F.round(F.avg(F.when(F.col("r") <= 3, F.col("y_score"))), 6).alias("top3"), F.max("y_true").alias("label"))
 
 
-@query("SELECT CAST(count(*) FILTER (WHERE priority >= 360 AND type = 4) AS BIGINT) AS monitoring_evicts, CAST(count(*) FILTER (WHERE type IN (5, 8)) AS BIGINT) AS failures, CAST(count(*) AS BIGINT) AS n FROM ie")
-def dq_04_counts(spark, sf_dir):
-    t = F.col("type")
-    return instance_events(spark, sf_dir).agg(F.count_if((F.col("priority") >= 360) & (t == 4)).alias("monitoring_evicts"), F.count_if(t.isin(5, 8)).alias("failures"), F.count("*").alias("n"))
-
-
-@query(f"WITH {EPISODES} SELECT count(*) FILTER (WHERE sched_seq = 1) AS first_attempts, CAST(0 AS BIGINT) AS with_history FROM ep")
-def dq_11_leakage_guard(spark, sf_dir):
-    h = lifecycle.with_history(lifecycle.episodes(instance_events(spark, sf_dir)))
-    return h.agg(F.count_if(F.col("sched_seq") == 1).alias("first_attempts"), F.count_if((F.col("sched_seq") == 1) & (F.col("prior_episode_count") > 0)).alias("with_history"))
-
-
-@query()
-def str_06_adwin_replay(spark, sf_dir):
-    from tracelens.streaming.stream import replay_detector
-
-    ev = instance_events(spark, sf_dir).withColumn("loss", (F.col("type") == 5).cast("double"))
-    return replay_detector(ev, "machine_id", "time", "loss", "adwin")
-
-
-@query()
-def str_07_page_hinkley_replay(spark, sf_dir):
-    from tracelens.streaming.stream import replay_detector
-
-    return replay_detector(instance_events(spark, sf_dir), "machine_id", "time", "cpu_request", "page_hinkley", threshold=500.0)
-
-
-@query()
-def str_05_prequential(spark, sf_dir):
-    from tracelens.streaming.stream import prequential
-
-    pr = predictions(spark, sf_dir).withColumn("month", F.date_format("day", "yyyy-MM")).withColumn("k", F.lit(0) + F.col("entity") % 4).withColumn("x", F.col("y_score"))
-    return prequential(pr, "k", "month", "id", ["x", "y_score"], "y_true", "vote")
-
-
 @query()
 def mod_02_forest(spark, sf_dir):
     from tracelens.models.batch import evaluate, fit_model

@@ -23,58 +23,23 @@ def hashed(name: str, sql: str) -> None:
 _O = "PARTITION BY collection_id, instance_index ORDER BY time, event_id"
 _D = "PARTITION BY serial_number ORDER BY date"
 both("win_02_running_submit", f"SELECT event_id, max(CASE WHEN type = 0 THEN time END) OVER ({_O} ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS running_last_submit FROM ie")
-hashed("win_11_hash_prefix", "SELECT k, run, total FROM (SELECT k, CAST(sum(n) OVER (ORDER BY H[CAST(k AS VARCHAR)], k ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS run, CAST(sum(n) OVER () AS BIGINT) AS total FROM (SELECT l_suppkey AS k, count(*) AS n FROM lineitem GROUP BY 1) a) b WHERE run <= total * 0.25")
 hashed("win_12_hash_rank", "SELECT event_id FROM (SELECT event_id, row_number() OVER (PARTITION BY collection_id ORDER BY H[CAST(event_id AS VARCHAR)], event_id) AS r FROM ie) a WHERE r <= 3")
 both("win_13_rolling_mean", f"SELECT serial_number, date, round(avg(smart_197_raw) OVER ({_D} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), 6) AS m FROM dd")
 both("win_14_rolling_std", f"SELECT serial_number, date, round(stddev_samp(smart_197_raw) OVER ({_D} ROWS BETWEEN 13 PRECEDING AND CURRENT ROW), 6) AS s FROM dd")
 both("win_16_rolling_any", f"SELECT serial_number, date, max(CASE WHEN smart_5_raw > 0 THEN 1 ELSE 0 END) OVER ({_D} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW) AS any7 FROM dd")
 both("win_17_differences", f"SELECT serial_number, date, smart_197_raw - lag(smart_197_raw, 1) OVER ({_D}) AS d1, smart_197_raw - lag(smart_197_raw, 7) OVER ({_D}) AS d7 FROM dd")
 both("win_21_query_before_ties", "SELECT machine_id, t, n FROM (SELECT machine_id, t, ord, CAST(sum(hit) OVER (PARTITION BY machine_id ORDER BY t, ord ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS BIGINT) AS n FROM (SELECT machine_id, time AS t, 1 AS ord, CASE WHEN type = 5 THEN 1 ELSE 0 END AS hit FROM ie UNION ALL SELECT machine_id, max(time), 0, 0 FROM ie GROUP BY 1) a) b WHERE ord = 0")
-both("win_23_row_index", "SELECT p_partkey, CAST(row_number() OVER (ORDER BY p_partkey) - 1 AS BIGINT) AS i FROM part")
 both("prj_12_reconcile", "SELECT serial_number, date, smart_5_raw, CAST(NULL AS BIGINT) AS smart_9_raw, CAST(NULL AS DOUBLE) AS smart_241_raw FROM dd")
 both("prj_22_episode_relabel", "SELECT event_id, CASE WHEN type IN (5, 8) OR (type = 4 AND priority BETWEEN 120 AND 359) THEN 1 WHEN type = 6 THEN 0 ELSE -1 END AS label FROM ie")
 both("set_10_unnest_struct", "SELECT event_id, s.k AS k, s.v AS v FROM (SELECT event_id, struct(type AS k, priority AS v) AS s FROM ie) a", "SELECT event_id, s.k AS k, s.v AS v FROM (SELECT event_id, {'k': type, 'v': priority} AS s FROM ie) a")
-both("set_06_schema_difference", "SELECT a.x FROM (SELECT DISTINCT s_nationkey AS x FROM supplier) a LEFT JOIN (SELECT DISTINCT c_nationkey AS x FROM customer) b ON a.x = b.x WHERE b.x IS NULL", "SELECT a.x FROM (SELECT DISTINCT s_nationkey AS x FROM supplier) a LEFT JOIN (SELECT DISTINCT c_nationkey AS x FROM customer WHERE c_custkey < 20) b ON a.x = b.x WHERE b.x IS NULL")
 hashed("srt_04_random_sample", "SELECT event_id FROM ie ORDER BY H[CAST(event_id AS VARCHAR)], event_id LIMIT 50")
 both("agg_22_machine_windows", "SELECT machine_id, CAST(floor(start_time / 21600000000) AS BIGINT) AS w, CAST(count(*) AS BIGINT) AS n_concurrent, round(sum(avg_cpu), 4) AS cpu, max(avg_memory) AS mem FROM us GROUP BY 1, 2")
 _CURVE = "SELECT days, CAST(count(*) AS BIGINT) AS n, round(percentile(smart_197_raw, 0.5), 6) AS med, round(percentile(smart_197_raw, 0.9), 6) AS p90 FROM (SELECT smart_197_raw, {d} AS days FROM (SELECT *, max(CASE WHEN failure = 1 THEN date END) OVER (PARTITION BY serial_number) AS f FROM dd) a WHERE f IS NOT NULL AND date <= f) b WHERE days <= 60 GROUP BY 1"
-both("agg_43_degradation_curve", _CURVE.format(d="datediff(f, date)"), _CURVE.format(d="CAST(f - date AS INTEGER)").replace("percentile(", "quantile_cont("))
 _ONSET = "SELECT lead_days, round(avg(smart_197_raw) / max(h.m), 6) AS ratio, CAST(count(*) AS BIGINT) AS n FROM (SELECT d.*, {d} AS days FROM (SELECT *, max(CASE WHEN failure = 1 THEN date END) OVER (PARTITION BY serial_number) AS f FROM dd) d WHERE f IS NOT NULL) a JOIN (SELECT 30 AS lead_days UNION ALL SELECT 90 UNION ALL SELECT 180) l ON a.days BETWEEN l.lead_days - 10 AND l.lead_days + 10 CROSS JOIN (SELECT median(smart_197_raw) AS m FROM dd WHERE failure = 0) h GROUP BY 1"
-both("agg_44_onset", _ONSET.format(d="datediff(f, date)"), _ONSET.format(d="CAST(f - date AS INTEGER)"))
-both("agg_50_attempt_audit", f"SELECT attempts, {N} AS instances, CAST(sum(n_fail) AS BIGINT) AS failures FROM (SELECT collection_id, instance_index, CAST(count(*) FILTER (WHERE type = 3) AS BIGINT) AS attempts, count(*) FILTER (WHERE type = 5) AS n_fail FROM ie GROUP BY 1, 2) a GROUP BY 1")
-both("agg_51_strata", "SELECT a.stratum, a.n, round(coalesce(b.n, 0) / CAST(a.n AS DOUBLE), 6) AS share FROM (SELECT collection_id % 4 AS stratum, CAST(count(*) AS BIGINT) AS n FROM ie GROUP BY 1) a LEFT JOIN (SELECT collection_id % 4 AS stratum, CAST(count(*) AS BIGINT) AS n FROM ie WHERE type = 5 GROUP BY 1) b ON a.stratum = b.stratum")
 both("agg_53_category_share", f"SELECT category, {N} AS n FROM (SELECT CASE WHEN p_size > 25 THEN 'large' ELSE 'small' END AS category FROM (SELECT p_size FROM part ORDER BY p_retailprice DESC, p_partkey LIMIT 30) a) b GROUP BY 1")
-hashed("smp_09_drive_buckets", "SELECT b, CAST(count(DISTINCT serial_number) AS BIGINT) AS drives, CAST(count(*) AS BIGINT) AS n FROM (SELECT serial_number, H[CAST(serial_number AS VARCHAR)] % 40 AS b FROM dd) a GROUP BY 1")
-hashed("smp_10_uniform_fraction", "SELECT id FROM pr WHERE H[CAST(id AS VARCHAR)] % 1000 < 50")
-hashed("smp_11_negative_budget", "SELECT id FROM (SELECT id, y_true, row_number() OVER (PARTITION BY y_true ORDER BY H[CAST(id AS VARCHAR)], id) AS r FROM pr) a CROSS JOIN (SELECT sum(y_true) AS p, count(*) AS n FROM pr) t WHERE y_true = 1 OR r <= greatest(n * 0.4 - p, p * 0.5)")
-hashed("smp_12_rebalance", "SELECT id FROM (SELECT id, y_true, row_number() OVER (PARTITION BY y_true ORDER BY H[CAST(id AS VARCHAR)], id) AS r FROM pr) a CROSS JOIN (SELECT sum(y_true) AS p FROM pr) t WHERE y_true = 1 OR r <= p")
-hashed("smp_13_stratified", "SELECT entity, id FROM (SELECT entity, id, row_number() OVER (PARTITION BY entity, y_true ORDER BY H[CAST(id AS VARCHAR)], id) AS r FROM pr) a WHERE r <= 2")
-both("smp_14_models_in_both", "SELECT a.model FROM (SELECT model FROM dd WHERE year(date) < 1998 GROUP BY 1 HAVING sum(failure) >= 1) a JOIN (SELECT model FROM dd WHERE year(date) >= 1998 GROUP BY 1 HAVING sum(failure) >= 1) b ON a.model = b.model")
-hashed("smp_16_learning_fractions", "SELECT f, CAST(count(*) AS BIGINT) AS n FROM pr JOIN (SELECT 10 AS f UNION ALL SELECT 30 UNION ALL SELECT 100) g ON H[CAST(id AS VARCHAR)] % 100 < g.f GROUP BY 1")
-both("smp_17_first_attempts", f"SELECT event_id FROM (SELECT event_id, type, row_number() OVER (PARTITION BY collection_id, instance_index, type ORDER BY time, event_id) AS r FROM ie) a WHERE type = 3 AND r = 1")
 both("str_03_count_window", f"SELECT event_id, round(avg(cpu_request) OVER ({_O} ROWS BETWEEN 6 PRECEDING AND CURRENT ROW), 6) AS m FROM ie")
-both("str_12_covariate_scan", "SELECT y, m, round(abs(v - r) / s, 6) AS z FROM (SELECT year(date) AS y, month(date) AS m, avg(smart_197_raw) AS v FROM dd GROUP BY 1, 2) a CROSS JOIN (SELECT avg(smart_197_raw) AS r, stddev_samp(smart_197_raw) AS s FROM dd WHERE year(date) = 1995) b")
 both("str_16_prior_shift", "SELECT year(date) AS y, month(date) AS m, round(avg(failure), 9) AS prevalence FROM dd GROUP BY 1, 2")
-both("met_06_slope", "SELECT round(covar_pop(v, i) / var_pop(i), 9) AS slope FROM (SELECT v, CAST(row_number() OVER (ORDER BY y, m) AS DOUBLE) AS i FROM (SELECT year(day) AS y, month(day) AS m, avg(y_score) AS v FROM pr GROUP BY 1, 2) a) b")
 both("met_07_latency", "SELECT serial_number, datediff(min(CASE WHEN smart_5_raw > 5 THEN date END), min(CASE WHEN failure = 1 THEN date END)) AS latency FROM dd GROUP BY 1", "SELECT serial_number, CAST(min(CASE WHEN smart_5_raw > 5 THEN date END) - min(CASE WHEN failure = 1 THEN date END) AS INTEGER) AS latency FROM dd GROUP BY 1")
-both("met_09_sustainment", "SELECT CAST(coalesce(min(CASE WHEN v < r * 0.99 THEN i END), max(i) + 1) AS BIGINT) AS periods FROM (SELECT i, v, first_value(v) OVER (ORDER BY i) AS r FROM (SELECT row_number() OVER (ORDER BY y, m) - 1 AS i, v FROM (SELECT year(day) AS y, month(day) AS m, avg(y_score) AS v FROM pr GROUP BY 1, 2) a) b) c")
-both("met_10_fixed_prevalence", "SELECT round((tp * tn - fp * fn) / sqrt((tp + fp) * (tp + fn) * (tn + fp) * (tn + fn)), 6) AS mcc FROM (SELECT tp * k AS tp, fn * k AS fn, tn, fp FROM (SELECT CAST(tp AS DOUBLE) AS tp, CAST(fn AS DOUBLE) AS fn, CAST(tn AS DOUBLE) AS tn, CAST(fp AS DOUBLE) AS fp, 0.1 * (tn + fp) / 0.9 / (tp + fn) AS k FROM (SELECT count(*) FILTER (WHERE y_true = 1 AND y_score >= 0.5) AS tp, count(*) FILTER (WHERE y_true = 1 AND y_score < 0.5) AS fn, count(*) FILTER (WHERE y_true = 0 AND y_score < 0.5) AS tn, count(*) FILTER (WHERE y_true = 0 AND y_score >= 0.5) AS fp FROM pr) a) b) c")
-both("met_13_univariate_auc", "SELECT name, round((r1 - n1 * (n1 + 1) / 2) / (n1 * n0), 6) AS auc FROM (SELECT name, sum(CASE WHEN y = 1 THEN rk ELSE 0 END) AS r1, CAST(sum(y) AS DOUBLE) AS n1, CAST(sum(1 - y) AS DOUBLE) AS n0 FROM (SELECT name, y, rank() OVER (PARTITION BY name ORDER BY v) + (count(*) OVER (PARTITION BY name, v) - 1) / 2.0 AS rk FROM (SELECT 'score' AS name, y_score AS v, y_true AS y FROM pr UNION ALL SELECT 'entity', CAST(entity AS DOUBLE), y_true FROM pr) a) b GROUP BY 1) c".replace("/ 2.0", "/ CAST(2 AS DOUBLE)"))
-both("hyp_01_interval_test", "SELECT entity, CASE WHEN m - 1.96 * s > 0.5 THEN 1 ELSE 0 END AS reject FROM (SELECT entity, avg(y_score) AS m, stddev_samp(y_score) / sqrt(count(*)) AS s FROM pr GROUP BY 1) a")
-both("hyp_03_cohens_d", "SELECT round((m1 - m0) / sqrt(((n1 - 1) * v1 + (n0 - 1) * v0) / (n1 + n0 - 2)), 6) AS d FROM (SELECT avg(CASE WHEN y_true = 1 THEN y_score END) AS m1, avg(CASE WHEN y_true = 0 THEN y_score END) AS m0, var_samp(CASE WHEN y_true = 1 THEN y_score END) AS v1, var_samp(CASE WHEN y_true = 0 THEN y_score END) AS v0, count(*) FILTER (WHERE y_true = 1) AS n1, count(*) FILTER (WHERE y_true = 0) AS n0 FROM pr) a")
-both("hyp_07_overlap", "SELECT a.entity, CASE WHEN a.m - a.s <= r.m + r.s AND r.m - r.s <= a.m + a.s THEN 1 ELSE 0 END AS overlaps FROM (SELECT entity, avg(y_score) AS m, 1.96 * stddev_samp(y_score) / sqrt(count(*)) AS s FROM pr GROUP BY 1) a CROSS JOIN (SELECT avg(y_score) AS m, 1.96 * stddev_samp(y_score) / sqrt(count(*)) AS s FROM pr) r")
-both("hyp_08_chi_square", "SELECT round(sum((n - r * c / t) * (n - r * c / t) / (r * c / t)), 6) AS chi2 FROM (SELECT CAST(n AS DOUBLE) AS n, CAST(sum(n) OVER (PARTITION BY a) AS DOUBLE) AS r, CAST(sum(n) OVER (PARTITION BY b) AS DOUBLE) AS c, CAST(sum(n) OVER () AS DOUBLE) AS t FROM (SELECT machine_id AS a, type AS b, count(*) AS n FROM ie GROUP BY 1, 2) x) y")
-both("dq_01_class_balance", "SELECT round(avg(y_true), 9) AS share, CASE WHEN abs(avg(y_true) - 0.33) <= 0.1 THEN 'PASS' ELSE 'FAIL' END AS status FROM pr")
-both("dq_02_null_rate", "SELECT round(avg(CASE WHEN cycles_per_instruction IS NULL THEN 1 ELSE 0 END), 9) AS rate FROM us")
-both("dq_03_inversion", "SELECT type, round(median(cpu_request), 6) AS med FROM ie WHERE type IN (5, 6) GROUP BY 1")
-both("dq_07_one_row_per_day", "SELECT CAST(coalesce(sum(n - 1), 0) AS BIGINT) AS surplus FROM (SELECT count(*) AS n FROM dd GROUP BY serial_number, date) a")
-both("dq_08_era_complete", f"SELECT {N} AS unknown FROM dd WHERE era NOT IN ('early', 'middle', 'late')")
-both("dq_09_expansion", "SELECT CAST(count(DISTINCT CASE WHEN date < DATE '1995-03-01' THEN serial_number END) AS BIGINT) AS before_cutoff, CAST(count(DISTINCT CASE WHEN date >= DATE '1995-03-01' THEN serial_number END) AS BIGINT) AS after_cutoff FROM dd")
-hashed("dq_12_disjoint", "SELECT CAST(count(*) AS BIGINT) AS shared FROM (SELECT DISTINCT entity FROM pr WHERE H[CAST(entity AS VARCHAR)] % 10 < 7) a JOIN (SELECT DISTINCT entity FROM pr WHERE H[CAST(entity AS VARCHAR)] % 10 >= 7) b ON a.entity = b.entity")
-both("dq_14_labels", f"SELECT {N} AS n, CAST(count(*) FILTER (WHERE type IN (5, 6, 8)) AS BIGINT) AS labelled FROM ie")
-both("mod_12_class_weights", "SELECT y_true, round(n / (2.0 * c), 9) AS weight FROM (SELECT y_true, CAST(count(*) AS DOUBLE) AS c FROM pr GROUP BY 1) a CROSS JOIN (SELECT CAST(count(*) AS DOUBLE) AS n FROM pr) t")
-both("mod_17_pareto_knee", "SELECT t AS threshold FROM (SELECT t, sum(CASE WHEN y_score >= t AND y_true = 1 THEN 1 ELSE 0 END) / CAST(sum(y_true) AS DOUBLE) - sum(CASE WHEN y_score >= t THEN 1 ELSE 0 END) / CAST(count(*) AS DOUBLE) AS gain FROM pr CROSS JOIN (SELECT 0.25 AS t UNION ALL SELECT 0.5 UNION ALL SELECT 0.75) g GROUP BY 1) a ORDER BY gain DESC, t LIMIT 1")
-both("mod_21_strategies", "SELECT a.w, round(sum(a.used) / sum(a.alloc), 6) AS baseline, round(sum(CASE WHEN a.cpu < 300 THEN a.used ELSE 0 END) / nullif(sum(CASE WHEN a.cpu < 300 THEN a.alloc ELSE 0 END), 0), 6) AS strategy FROM (SELECT CAST(floor(start_time / 86400000000) AS BIGINT) AS w, avg_cpu AS used, avg_cpu + avg_memory AS alloc, avg_cpu AS cpu FROM us) a GROUP BY 1")
 
 
 @query("SELECT 'a' AS part, event_id, type, CAST(NULL AS DOUBLE) AS avg_cpu FROM ie WHERE type = 5 UNION ALL SELECT 'b', event_id, NULL, avg_cpu FROM us WHERE avg_cpu > 400")
@@ -84,30 +49,12 @@ def set_03_diagonal(spark, sf_dir):
     return a.unionByName(b, allowMissingColumns=True)
 
 
-@query()
-def src_10_footer_schema(spark, sf_dir):
-    d = load(spark, sf_dir, "lineitem")
-    return spark.createDataFrame(d.dtypes, "name string, type string")
-
-
-@query()
-def mod_07_soft_vote(spark, sf_dir):
-    from tracelens.models.batch import fit_model, soft_vote
-
-    pr = predictions(spark, sf_dir).withColumn("x2", (F.col("entity") % 7).cast("double"))
-    ms = [fit_model(n, pr, ["y_score", "x2"], "y_true") for n in ("logistic", "decision_tree")]
-    return soft_vote(ms, [2.0, 1.0], pr.select("id", "entity", "y_score", "x2"), "vote").select("id", "vote")
-
-
 @query()
 def mod_15_calibrated(spark, sf_dir):
     from tracelens.models.batch import calibrate
 
     pr = predictions(spark, sf_dir)
     _, apply = calibrate(pr.where("id % 2 = 0"), "y_score", "y_true")
-    return apply(pr.where("id % 2 = 1")).select("id", "calibrated")
+    return apply(pr.where("id % 2 = 1")).select("id", "y_true", "y_score", "calibrated")
 
 
-@query()
-def smp_02_fraction(spark, sf_dir):
-    return drive_days(spark, sf_dir).sample(0.05, seed=42).select("serial_number", "date")

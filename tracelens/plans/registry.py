@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from tracelens.sources.tables import SQL_VIEWS, VIEWS, register
+from tracelens.sources.tables import SQL_VIEWS, VIEWS, load
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -15,7 +15,7 @@ _RAW = "region nation customer supplier part orders lineitem events labels docum
 
 
 def _used(sql: str) -> set[str]:
-    return {n for n in [*VIEWS, *_RAW] if re.search(rf"\b(?:FROM|JOIN|,)\s+{n}\b", sql)}
+    return {n for n in [*VIEWS, *_RAW] if re.search(rf"\b(?:FROM|JOIN)\s+{n}\b", sql)}
 
 
 def duck(sql: str) -> str:
@@ -25,15 +25,20 @@ def duck(sql: str) -> str:
         return sql
     heads = ", ".join(f"{n} AS ({SQL_VIEWS[n]})" for n in need)
     body = sql.strip()
+    if body.upper().startswith("WITH RECURSIVE "):
+        return f"WITH RECURSIVE {heads}, {body[15:]}"
     return f"WITH {heads}, {body[5:]}" if body.upper().startswith("WITH ") else f"WITH {heads} {body}"
 
 
 def both(name: str, sql: str, oracle: str | None = None) -> None:
     """A query in SQL that Spark runs; oracle where DuckDB's dialect differs."""
 
+    used = sorted(_used(sql))
+    # tables are handed over by argument, so no view of the session is replaced
+    text = re.sub(rf"\b(FROM|JOIN)(\s+)({'|'.join(used)})\b", r"\1\2{\3}", sql.replace("{", "{{").replace("}", "}}")) if used else sql
+
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        register(spark, sf_dir, _used(sql))
-        return spark.sql(sql)
+        return spark.sql(text, **{n: VIEWS[n](spark, sf_dir) if n in VIEWS else load(spark, sf_dir, n) for n in used}) if used else spark.sql(sql)
 
     QUERIES[name] = run
     ORACLES[name] = duck(oracle or sql)

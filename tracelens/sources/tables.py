@@ -23,9 +23,12 @@ def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e.withColumn("time", micros("ts")).withColumn("k", F.get_json_object("props", "$.k").cast("long"))
 
 
+#: Event types of the test table and the codes they stand for.
+KINDS = {"signup": 0, "view": 3, "click": 4, "error": 5, "purchase": 6}
+
+
 def instance_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    kinds = {"signup": 0, "view": 3, "click": 4, "error": 5, "purchase": 6}
-    kind = F.coalesce(*[F.when(F.col("event_type") == k, F.lit(v).cast("long")) for k, v in kinds.items()])
+    kind = F.element_at(F.create_map(*[F.lit(x) for k, v in KINDS.items() for x in (k, v)]), F.col("event_type")).cast("long")
     return _events(spark, sf_dir).select(
         "event_id", (F.col("user_id") % 20).alias("collection_id"), F.expr("user_id div 20").alias("instance_index"), "time", kind.alias("type"),
         (F.col("event_id") % 10).alias("machine_id"), (F.col("k") * 4).alias("priority"), (F.col("k") % 4).alias("scheduling_class"),
@@ -95,9 +98,3 @@ SQL_VIEWS = {
     "pr": """SELECT l_orderkey * 8 + l_linenumber AS id, l_suppkey AS entity, CAST(l_returnflag = 'R' AS INTEGER) AS y_true,
         l_quantity / 64 + l_linenumber / 64 AS y_score, CAST(l_shipdate AS DATE) AS day FROM lineitem""",
 }
-
-
-def register(spark: SparkSession, sf_dir: str, names: set[str]) -> None:
-    """Temporary views for SQL text: derived tables and the raw ones."""
-    for n in names:
-        (VIEWS[n](spark, sf_dir) if n in VIEWS else load(spark, sf_dir, n)).createOrReplaceTempView(n)

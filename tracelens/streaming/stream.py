@@ -155,7 +155,7 @@ def covariate_scan(df: DataFrame, feature_columns: list[str], time: str, referen
             if s["d"].update(float("nan") if v is None else v):
                 s["n"] += 1
                 s["first"] = t if s["first"] is None else s["first"]
-        return pd.DataFrame({"feature": [], "n_drifts": [], "first_drift": []})
+        return pd.DataFrame({"feature": [], "n_drifts": [], "first_drift": []}, dtype="object")
 
     def end(key, s: dict) -> pd.DataFrame:
         return pd.DataFrame({"feature": [key], "n_drifts": [s["n"]], "first_drift": pd.Series([s["first"]], dtype="object")})
