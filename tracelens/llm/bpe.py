@@ -79,17 +79,23 @@ class WordTrieBpe:
         n = len(self.end)
         self.final = {t[: len(t) - n]: i for t, i in self.vocab.items() if n and t.endswith(self.end)} or self.vocab
         self.inner = {t: i for t, i in self.vocab.items() if not (n and t.endswith(self.end))} if n else self.vocab
-        #: lengths of the tokens that end with two symbols, longest first
+        #: lengths of the tokens that end with three symbols (or are two or one of them), longest first
         self.lengths, self.final_lengths = self._lengths(self.inner), self._lengths(self.final)
         self._fits: dict[tuple[int, int], bool] = {}
         self._lib: Any = None
 
     @staticmethod
     def _lengths(tokens: dict[str, int]) -> dict[str, tuple[int, ...]]:
+        """By the last three symbols, or two where there are no more or no token ends with the three."""
         found: dict[str, set[int]] = {}
         for t in tokens:
-            if len(t) > 1:
-                found.setdefault(t[-2:], {1}).add(len(t))
+            if len(t) > 2:
+                found.setdefault(t[-3:], {1}).add(len(t))
+            elif len(t) == 2:
+                found[t] = {2, 1}
+        for end, sizes in found.items():
+            if len(end) == 3 and end[1:] in tokens:
+                sizes.add(2)
         return {k: tuple(sorted(v, reverse=True)) for k, v in found.items()}
 
     def fits(self, a: int, b: int) -> bool:
@@ -135,7 +141,7 @@ class WordTrieBpe:
 
         def state(k: int) -> int:
             """Last token of the path's first k symbols. Exactly one token can end a prefix."""
-            for n in lengths.get(symbols[k - 2 : k], one) if k > 1 else one:
+            for n in lengths.get(symbols[k - 3 : k]) or lengths.get(symbols[k - 2 : k], one) if k > 2 else lengths.get(symbols[:k], one):
                 i = k - n
                 if i < 0:
                     continue
@@ -175,7 +181,7 @@ class WordTrieBpe:
             if n > 200:  # long words front to back, so that state() isn't nested
                 for k in range(depth + 1, n):
                     state(k)
-            for m in final_lengths.get(symbols[n - 2 :], one) if n > 1 else one:
+            for m in final_lengths.get(symbols[-3:]) or final_lengths.get(symbols[-2:], one):
                 i = n - m
                 if i < 0:
                     continue
