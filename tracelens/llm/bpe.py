@@ -293,6 +293,14 @@ def caches(*key) -> list[dict]:
     return _caches.setdefault(key, [{}, {}])
 
 
+def forget() -> bool:
+    """Drop the tokenisers and dictionaries of this worker; whether there were any."""
+    had = bool(_open or _caches)
+    _open.clear()
+    _caches.clear()
+    return had
+
+
 def _digests(path: str):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         t, (ids_of, text_of) = tokenizer(path), caches("digests", path)

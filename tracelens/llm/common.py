@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
 import os
+import sys
 import tempfile
 import uuid
 import zipfile
@@ -31,6 +34,14 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
+def lean() -> None:
+    """Drop what the tokenisers have kept in this Python worker; for tasks of other operators, as Spark reuses workers."""
+    bpe = sys.modules.get("tracelens.llm.bpe")
+    if bpe is not None and bpe.forget():
+        with contextlib.suppress(OSError, AttributeError):
+            ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tracelens.llm.common import discard, saved
+from tracelens.llm.common import discard, lean, saved
 from tracelens.llm.words import U, chunks, mix, shingle_set
 
 WORDS, COORDINATES = 5, 128
@@ -82,6 +82,7 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lean()
     empty = np.zeros(0, np.int32)
     for batch in batches:
         n, h1, h2, sigs = [], [], [], []
@@ -95,6 +96,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    lean()
     for batch in batches:
         sets = [s.view(np.int64) for s in _sets(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(sets, pa.int64())], ["doc_id", "shingles"])
@@ -126,6 +128,7 @@ def _verify(num: int, den: int):
     """Rows of one star stand together, its centre's set first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         star, centre = None, []
         for batch in batches:
             a, salt, role, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "salt", "role", "b"))
@@ -244,6 +247,7 @@ def _block_links(num: int, den: int):
     Within a task a text isn't compared with a text that is known to be connected with one it is linked with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lean()
         task, left, index = None, [], None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("cluster", "i", "j", "side", "doc_id", "component")], axis=1)
