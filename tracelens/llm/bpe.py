@@ -26,8 +26,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Words a Python worker remembers before it starts anew: about 300 MB.
-CACHE_WORDS = 1_000_000
+from tracelens.llm.common import lean
+
+#: Words a Python worker remembers before it starts anew: about 200 MB.
+CACHE_WORDS = 700_000
 #: Texts worked on at once.
 BLOCK = 1024
 
@@ -280,6 +282,7 @@ _open: dict[str, WordTrieBpe] = {}
 
 def tokenizer(path: str) -> WordTrieBpe:
     """One per Python worker."""
+    lean("bpe")
     if path not in _open:
         _open[path] = WordTrieBpe(path)
     return _open[path]
@@ -293,12 +296,10 @@ def caches(*key) -> list[dict]:
     return _caches.setdefault(key, [{}, {}])
 
 
-def forget() -> bool:
-    """Drop the tokenisers and dictionaries of this worker; whether there were any."""
-    had = bool(_open or _caches)
+def forget() -> None:
+    """Drop the tokenisers and dictionaries of this worker."""
     _open.clear()
     _caches.clear()
-    return had
 
 
 def _digests(path: str):

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import contextlib
 import ctypes
+import gc
 import os
 import sys
 import tempfile
@@ -34,12 +35,22 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(sc.applicationId)
 
 
-def lean() -> None:
-    """Drop what the tokenisers have kept in this Python worker; for tasks of other operators, as Spark reuses workers."""
-    bpe = sys.modules.get("tracelens.llm.bpe")
-    if bpe is not None and bpe.forget():
-        with contextlib.suppress(OSError, AttributeError):
-            ctypes.CDLL("libc.so.6").malloc_trim(0)
+_user = [""]
+
+
+def lean(user: str) -> None:
+    """For the start of a Python task: where this worker last ran another operator, what that one has kept goes (tables,
+    dictionaries of tokens), and freed memory goes back to the system. Spark reuses workers for all operators."""
+    if _user[0] == user:
+        return
+    _user[0] = user
+    for name in ("bpe", "near_dup", "words"):
+        module = sys.modules.get(f"tracelens.llm.{name}")
+        if module is not None and name != user:
+            module.forget()
+    gc.collect()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

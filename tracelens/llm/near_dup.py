@@ -58,6 +58,11 @@ def ring() -> np.ndarray:
     return _ring[0]
 
 
+def forget() -> None:
+    """Drop this worker's ring."""
+    _ring.clear()
+
+
 def signature(shingles: np.ndarray) -> np.ndarray:
     """The circulant MinHash signature of a non-empty set."""
     places = (mix(shingles) >> U(64 - RING_BITS)).astype(np.int64)
@@ -82,7 +87,7 @@ def _sets(column: pa.Array) -> Iterator[np.ndarray]:
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lean()
+    lean("near_dup")
     empty = np.zeros(0, np.int32)
     for batch in batches:
         n, h1, h2, sigs = [], [], [], []
@@ -96,7 +101,7 @@ def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _shingles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lean()
+    lean("near_dup")
     for batch in batches:
         sets = [s.view(np.int64) for s in _sets(batch.column("text"))]
         yield pa.RecordBatch.from_arrays([batch.column("doc_id"), _lists(sets, pa.int64())], ["doc_id", "shingles"])
@@ -128,7 +133,7 @@ def _verify(num: int, den: int):
     """Rows of one star stand together, its centre's set first."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
+        lean("near_dup")
         star, centre = None, []
         for batch in batches:
             a, salt, role, b = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("a", "salt", "role", "b"))
@@ -247,7 +252,7 @@ def _block_links(num: int, den: int):
     Within a task a text isn't compared with a text that is known to be connected with one it is linked with."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
+        lean("near_dup")
         task, left, index = None, [], None
         for batch in batches:
             keys = np.stack([batch.column(c).to_numpy().astype(np.int64) for c in ("cluster", "i", "j", "side", "doc_id", "component")], axis=1)

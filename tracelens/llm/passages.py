@@ -87,7 +87,7 @@ def _longs(x) -> pa.Array:
 
 def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Suffixes of a batch; of equal ones (k-gram and surroundings) all but the first are settled here."""
-    lean()
+    lean("passages")
     for batch in batches:
         docs, marks = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("doc_id", "text_hash"))
         parts = []
@@ -114,7 +114,7 @@ def _suffixes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """In the order of (kind, gram, around, doc_id, text_hash, pos): COVERED for what is settled already or comes after
     an equal suffix, FIRST for the first of a class."""
-    lean()
+    lean("passages")
     last = None  # the place (gram, around, doc_id, text_hash, pos) that opened the current class
     for batch in batches:
         gram, around, doc, mark, pos, kind = (batch.column(c).to_numpy() for c in ("gram", "around", "doc_id", "text_hash", "pos", "kind"))
@@ -144,7 +144,7 @@ def _neighbours(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The windows over the suffixes to extend; of equal ones of a text the later are marked by a negative lo."""
-    lean()
+    lean("passages")
     for batch in batches:
         docs, marks, at = batch.column("doc_id"), batch.column("text_hash"), batch.column("at")
         parts = []
@@ -198,7 +198,7 @@ def _merged(spans: list[dict], n: int) -> list[tuple[int, int]]:
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lean()
+    lean("passages")
     for batch in batches:
         texts, spans = batch.column("text"), batch.column("spans")
         clean, before, removed = [], [], []

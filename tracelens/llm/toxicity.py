@@ -225,7 +225,7 @@ def held_out(doc_id: Column) -> Column:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    lean()
+    lean("toxicity")
     for batch in batches:
         toxic: Counter = Counter()
         clean: Counter = Counter()
@@ -254,7 +254,7 @@ def mined_units(texts: DataFrame, toxic: int, clean: int) -> tuple[list[str], fr
 
 def _kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The rows with COPY_HASHES least shingle hashes of each text: near copies share one of them almost surely."""
-    lean()
+    lean("toxicity")
     for batch in batches:
         out = []
         for _, w in chunks(batch.column("text")):
@@ -324,7 +324,7 @@ def fit(docs: DataFrame, labels: DataFrame, rows: int = TRAIN_ROWS) -> Model:
 
 def _voted(texts: DataFrame, model: Model) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
+        lean("toxicity")
         for batch in batches:
             votes = pa.array([model.votes(t) for t in batch.column("text").to_pylist()], pa.list_(pa.float64()))
             yield pa.RecordBatch.from_arrays([batch.column("toxic"), votes], ["toxic", "votes"])
@@ -338,7 +338,7 @@ def score(docs: DataFrame, model: Model, text_col: str = "text", out_col: str =
     rows = docs.select(given.alias("rest"), F.col(f"`{text_col}`").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lean()
+        lean("toxicity")
         for batch in batches:
             scores = [model.score(t) for t in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("rest"), batch.column("text"), pa.array(scores, pa.float64())], ["rest", "text", "score"])

@@ -37,7 +37,15 @@ _SPACE[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 _CODE = mix((_LOWER.astype(U) + U(1)) * U(0xA0761D6478BD642F))
-_powers = {"p": powers(_BASE, 1 << 16), "inverse": powers(U(pow(int(_BASE), -1, 1 << 64)), 1 << 16)}
+_powers: dict[str, np.ndarray] = {}
+
+
+def forget() -> None:
+    """Powers for short texts only."""
+    _powers.update(p=powers(_BASE, 1 << 16), inverse=powers(U(pow(int(_BASE), -1, 1 << 64)), 1 << 16))
+
+
+forget()
 
 
 def _upto(n: int) -> tuple[np.ndarray, np.ndarray]:
