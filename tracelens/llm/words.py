@@ -12,6 +12,8 @@ import pyarrow as pa
 
 #: Bytes of text worked on at once (a longer text is worked on whole).
 CHUNK = 1 << 21
+#: Bytes of a text hashed at once.
+SEGMENT = 1 << 20
 
 U = np.uint64
 _BASE, _WORD_BASE = U(0x9E3779B97F4A7C15), U(0xD1342543DE82EF95)
@@ -82,14 +84,30 @@ class Words:
         after[:-1] = word[1:]
         ends = word & (~after | edge[1:])
         self.start, self.end = np.flatnonzero(begins), np.flatnonzero(ends) + 1
-        p, inverse = _upto(n + 1)
-        total = np.zeros(n + 1, U)
-        np.cumsum(_CODE[raw] * p[:n], out=total[1:])
-        self.hash = mix((total[self.end] - total[self.start]) * inverse[self.start] + (self.end - self.start).astype(U))
+        self.hash = self._hashes(raw, space)
         self.first = np.searchsorted(self.start, offsets)  # word index of each text, and the end
         self.offsets = offsets
 
 
+    def _hashes(self, raw: np.ndarray, space: np.ndarray) -> np.ndarray:
+        """Hash of each word, from about SEGMENT bytes at once, so a long text needs little beside itself."""
+        start, end = self.start, self.end
+        out, size = np.zeros(len(start), U), end - start
+        lo = 0
+        while lo < len(start):
+            hi = max(lo + 1, int(np.searchsorted(end, start[lo] + SEGMENT, "right")))
+            a, b = start[lo], end[hi - 1]
+            code = _CODE[raw[a:b]]
+            code[space[a:b]] = 0
+            spans = np.diff(np.append(start[lo:hi], b))  # a word and the white space behind it
+            most = int(size[lo:hi].max())
+            place = np.minimum(np.arange(b - a) - np.repeat(start[lo:hi] - a, spans), most - 1)
+            code *= _upto(most)[0][place]
+            out[lo:hi] = np.add.reduceat(code, start[lo:hi] - a)
+            lo = hi
+        return mix(out + size.astype(U))
+
+
 def chunks(column: pa.Array) -> Iterator[tuple[int, Words]]:
     """(first row, words) of runs of rows of about CHUNK bytes."""
     raw, offsets = text_bytes(column)
