@@ -31,7 +31,7 @@ def test_set_queries_read_all_rows(spark, tmp_path):
     ids.selectExpr("id + 50 AS s_suppkey", "CAST(id % 25 AS INT) AS s_nationkey", "0.5D AS s_acctbal").write.parquet(f"{tmp_path}/supplier.parquet")
     ids.selectExpr("id AS c_custkey", "CAST(id % 24 AS INT) AS c_nationkey", "CAST(id AS DOUBLE) AS c_acctbal").write.parquet(f"{tmp_path}/customer.parquet")
     run = lambda name: sorted(tuple(r) for r in QUERIES[name](spark, str(tmp_path)).collect())
-    assert run("set_06_schema_difference") == [(24,)]
+    assert run("set_06_key_difference") == [(24,)]
     assert run("set_07_upsert") == [(i, float(i) if i <= 100 else 0.5) for i in range(1, 151)]
     assert run("set_09_explode_range") == [(p, i) for p in range(1, 101) for i in range(1, p % 4 + 2)]
 

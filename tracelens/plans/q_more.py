@@ -58,3 +58,6 @@ def mod_15_calibrated(spark, sf_dir):
     return apply(pr.where("id % 2 = 1")).select("id", "y_true", "y_score", "calibrated")
 
 
+
+
+both("set_06_key_difference", "SELECT a.x FROM (SELECT DISTINCT s_nationkey AS x FROM supplier) a LEFT JOIN (SELECT DISTINCT c_nationkey AS x FROM customer) b ON a.x = b.x WHERE b.x IS NULL")
