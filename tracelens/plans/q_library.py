@@ -124,39 +124,11 @@ def src_12_csv(spark, sf_dir):
 
 
 def _archives(spark, sf_dir) -> dict[str, str]:
-    """Archives of drive days by year with a CSV file a month, written by one task a year."""
-    path = scratch(spark, "archives")
-    d = drive_days(spark, sf_dir).groupBy(F.year("date").alias("y"), F.date_format("date", "yyyy-MM").alias("m"))
-    rows = d.agg(F.array_join(F.sort_array(F.collect_list(F.concat_ws(",", F.col("date").cast("string"), "serial_number", "failure", "smart_5_raw"))), "\n").alias("body"))
-    body = rows.groupBy("y").agg(F.sort_array(F.collect_list(F.struct("m", "body"))).alias("months"))
-
-    def zipped(frames):
-        import io
-        import zipfile
-
-        import pandas as pd
-
-        for f in frames:
-            out = []
-            for months in f["months"]:
-                data = io.BytesIO()
-                with zipfile.ZipFile(data, "w") as z:
-                    for x in months:
-                        z.writestr(f"{x['m']}.csv", "date,serial_number,failure,smart_5_raw\n" + x["body"] + "\n")
-                out.append(data.getvalue())
-            yield pd.DataFrame({"y": f["y"], "content": out})
-
-    made = body.mapInPandas(zipped, "y int, content binary")
-    # binary files can't be written by a DataFrame writer: the few archives of this fixture go through Hadoop's file system
-    found, jvm = {}, spark.sparkContext._jvm
-    for r in made.collect():
-        target = f"{path}/{r['y']}.zip"
-        hadoop = jvm.org.apache.hadoop.fs.Path(target)
-        stream = hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(hadoop)
-        stream.write(bytearray(r["content"]))
-        stream.close()
-        found[str(r["y"])] = target
-    return found
+    """Archives of drive days by year with a CSV file a month, each written by a task."""
+    cells = [F.coalesce(F.col(c).cast("string"), F.lit("")) for c in ("date", "serial_number", "failure", "smart_5_raw")]
+    month = F.concat(F.coalesce(F.date_format("date", "yyyy-MM"), F.lit("none")), F.lit(".csv"))
+    rows = drive_days(spark, sf_dir).select(F.year("date").alias("y"), month.alias("m"), F.concat_ws(",", *cells).alias("row"))
+    return files.zip_files(rows, "y", "m", "row", "date,serial_number,failure,smart_5_raw", scratch(spark, "archives"))
 
 
 _INGESTED = "SELECT CAST(year(date) AS VARCHAR) AS quarter, date, CAST(serial_number AS VARCHAR) AS serial_number, failure, smart_5_raw FROM dd"

@@ -16,6 +16,8 @@ from pyspark.sql import types as T
 
 # What stands for a missing cell.
 NULLS = ("", "NA", "na")
+# The name of a null partition.
+NO_ARCHIVE = "__HIVE_DEFAULT_PARTITION__"
 
 
 def flatten(df: DataFrame, at: str = "") -> list[Column]:
@@ -177,8 +179,66 @@ def sane_headers(spark: SparkSession, path: str, expected: int) -> DataFrame:
     return first.select("path", n.alias("columns"), ((n == expected) & ~head.contains("\r") & (F.col("f.n") < 65536)).alias("sane"))
 
 
-def unzip_days(spark: SparkSession, path: str) -> DataFrame:
-    """file, line, row: the lines of all CSV files in the archives at path, header first, read by the executors."""
+class _Written:
+    """Bytes written to an archive and not given away yet."""
+
+    def __init__(self) -> None:
+        self.data = bytearray()
+
+    def write(self, x) -> int:
+        self.data += x
+        return len(x)
+
+    def flush(self) -> None:
+        pass
+
+
+def zip_files(df: DataFrame, archive: str, file: str, row: str, header: str, path: str) -> dict[str, str]:
+    """Archives of CSV files below path: archive -> path. df has a row's archive (null: Hive's name for null), file and
+    text; a task writes an archive as it reads its rows, so no archive is held whole and none passes the driver.
+
+    Archives are binary, and only the text writer puts plain bytes on any file system: it ends each of its rows with a
+    line feed, so the bytes are cut at the line feeds they have, and an archive's own last byte is one (its comment)."""
+    spark = df.sparkSession
+    name = F.coalesce(F.col(archive).cast("string"), F.lit(NO_ARCHIVE))
+    names = sorted(r["a"] for r in df.select(name.alias("a")).distinct().collect())  # one row per archive
+    if not names:
+        return {}
+    at = F.array_position(F.lit(names), name).cast("int") - 1
+    rows = df.select(at.alias("at"), F.col(file).cast("string").alias("file"), F.col(row).alias("row"))
+    rows = rows.repartitionById(len(names), F.col("at")).sortWithinPartitions("file", "row").select("file", "row")
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        out, current, member = _Written(), None, None
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED, compresslevel=1) as z:
+            z.comment = b"\n"
+            for f in frames:
+                for x, part in f.groupby("file", sort=False):
+                    if x != current:
+                        if member is not None:
+                            member.close()
+                        current, member = x, z.open(x, "w", force_zip64=True)
+                        member.write(f"{header}\n".encode())
+                    member.write(("\n".join(part["row"]) + "\n").encode())
+                cut = out.data.rfind(b"\n")
+                if cut > 1 << 20:
+                    yield pd.DataFrame({"content": [bytes(out.data[:cut])]})
+                    del out.data[: cut + 1]
+            if member is not None:
+                member.close()
+        if member is not None:
+            yield pd.DataFrame({"content": [bytes(out.data[:-1])]})
+
+    rows.mapInPandas(run, "content binary").select(F.col("content").cast("string")).write.mode("overwrite").option("compression", "none").text(path)
+    folder, hadoop = _hadoop(spark, path)
+    written = [str(f.getPath().toString()) for f in hadoop.listStatus(folder)]
+    parts = {int(m.group(1)): p for p in written if (m := re.search(r"/part-(\d+)-[^/]*$", p))}
+    return {a: parts[i] for i, a in enumerate(names)}
+
+
+def unzip_days(spark: SparkSession, path: str, headers: bool = False) -> DataFrame:
+    """file, line, row: the lines of all CSV files in the archives at path, header first, read by the executors. headers:
+    the first lines only, without unpacking the rest."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
@@ -188,16 +248,21 @@ def unzip_days(spark: SparkSession, path: str) -> DataFrame:
                         at = 0
                         with z.open(name) as lines:
                             text = io.TextIOWrapper(lines, "utf-8", errors="replace", newline="")
-                            while part := text.readlines(1 << 20):
+                            while part := [text.readline()] if headers else text.readlines(1 << 20):
+                                if not part[0]:
+                                    break
                                 yield pd.DataFrame({"file": name, "line": range(at, at + len(part)), "row": [x.rstrip("\r\n") for x in part]})
                                 at += len(part)
+                                if headers:
+                                    break
 
     return spark.read.format("binaryFile").load(path).select("content").mapInPandas(run, "file string, line long, row string")
 
 
-def typed_days(lines: DataFrame, columns: list[str], strict: bool = False) -> DataFrame:
-    """file and typed columns of the lines of unzip_days, each file's columns found by the names in its own header."""
-    headers = lines.where("line = 0").select("file", F.split("row", ",").alias("__names"))
+def typed_days(lines: DataFrame, columns: list[str], strict: bool = False, headers: DataFrame | None = None) -> DataFrame:
+    """file and typed columns of the lines of unzip_days, each file's columns found by the names in its own header
+    (headers: these lines, where they are known)."""
+    headers = F.broadcast((lines if headers is None else headers).where("line = 0").select("file", F.split("row", ",").alias("__names")))
     cells = lines.where("line > 0 and row <> ''").join(headers, "file").withColumn("__cells", F.split("row", ",", -1))
     at = lambda c: F.array_position("__names", c)
     raw = cells.select("file", *[F.when(at(c) > 0, F.get("__cells", F.greatest(at(c) - 1, F.lit(0)).cast("int"))).alias(c) for c in columns])
@@ -225,13 +290,14 @@ def ingest_quarters(spark: SparkSession, archives: dict[str, str], out: str, log
     for q in left:
         try:
             lines = unzip_days(spark, archives[q])
+            heads = sorted(unzip_days(spark, archives[q], headers=True).collect(), key=lambda r: r["file"])  # one row per day
             names = columns
             if names is None:
-                first = lines.where("line = 0").orderBy("file").first()
-                if first is None:
+                if not heads:
                     raise ValueError(f"no CSV file in {archives[q]}")
-                names = [c.strip() for c in first["row"].split(",")]
-            export_parquet(typed_days(lines, names).drop("file"), f"{out}/quarter={q}")
+                names = [c.strip() for c in heads[0]["row"].split(",")]
+            headers = spark.createDataFrame(heads, lines.schema)
+            export_parquet(typed_days(lines, names, headers=headers).drop("file"), f"{out}/quarter={q}")
             done[q] = spark.read.parquet(f"{out}/quarter={q}").count()
             log_done(spark, log, q, "completed", done[q])
         except Exception:
