@@ -1,5 +1,7 @@
 """Queries over the whole of their tables, on inputs where a subset would show."""
 
+import hashlib
+
 import pytest
 
 from tracelens.plans.catalog import QUERIES
@@ -43,3 +45,14 @@ def test_forest_has_the_librarys_trees(spark, sf_dir, monkeypatch):
     monkeypatch.setattr(batch, "evaluate", lambda model, df, label: kept.append(model) or df)
     QUERIES["mod_02_forest"](spark, sf_dir)
     assert kept[0].pipeline.stages[-1].getNumTrees == 300
+
+
+def test_scoped_pull_sums_above_a_long(spark, tmp_path):
+    base, codes = 2**62, {m for m in range(10) if int(hashlib.md5(str(m).encode()).hexdigest()[:8], 16) % 10 < 3}
+    spark.range(100).selectExpr(f"id + {base} AS event_id", "TIMESTAMP_NTZ '2024-01-01 00:00:00' AS ts", "1L AS user_id", "'view' AS event_type", "1D AS value", "'{\"k\": 1}' AS props").write.parquet(f"{tmp_path}/events.parquet")
+    spark.range(10).selectExpr("id AS s_suppkey", "1 AS s_nationkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    got = {r["pull"]: (r["n"], r["s"]) for r in QUERIES["lbl_05_scoped_pull"](spark, str(tmp_path)).collect()}
+    ids = [base + i for i in range(100)]
+    assert codes and got["collection_events"] == (100, sum(ids))
+    assert got["machine_events"] == (10 * len(codes), sum(i for i in ids if i % 10 in codes))
+    assert got["residency"][0] == len(codes) and got["capacity"] == (len(codes), sum(codes))

@@ -464,9 +464,13 @@ def lbl_05_scoped_pull(spark, sf_dir):
     pulls = conflicts.scoped_pulls(instance_events(spark, sf_dir), instance_usage(spark, sf_dir), machine_events(spark, sf_dir), 10, 3)
     key, out = {"machine_events": "event_id", "residency": "lo", "collection_events": "event_id", "capacity": "machine_id"}, None
     for name, d in pulls.items():
-        one = d.agg(F.count("*").alias("n"), F.sum(key[name]).alias("s")).select(F.lit(name).alias("pull"), "n", "s")
+        one = d.agg(F.count("*").alias("n"), F.sum(F.col(key[name]).cast("decimal(19,0)")).cast("decimal(38,0)").alias("s")).select(F.lit(name).alias("pull"), "n", "s")
         out = one if out is None else out.union(one)
-    return out
+    rows = [(r["pull"], r["n"], r["s"]) for r in out.collect()]  # one row per pull
+    # sums are longs, as in the SQL; the SQL has no result where one of them doesn't fit, and there they are decimals
+    if any(s is not None and abs(s) >= 2**63 for _, _, s in rows):
+        return spark.createDataFrame(rows, out.schema)
+    return spark.createDataFrame([(p, n, None if s is None else int(s)) for p, n, s in rows], "pull string, n long, s long")
 
 
 # metrics and tests
