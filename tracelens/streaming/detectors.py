@@ -35,6 +35,10 @@ class Detector:
             self.drift_indices.append(i)
         return self.drift_detected
 
+    def update_many(self, values: np.ndarray) -> list[int]:
+        """update() for each of the values; the places of those that gave a drift."""
+        return [i for i, x in enumerate(values.tolist()) if self.update(x)]
+
     def _step(self, x: float) -> tuple[bool, bool]:
         raise NotImplementedError
 
@@ -145,12 +149,18 @@ class Windowed(Detector):
         self.window: deque = deque(maxlen=self.window_size)
         self.statistic = math.nan
 
-    def set_reference(self, values) -> None:
-        """Fix the reference: the finite ones of these values, two at least."""
-        found = sorted(float(x) for x in values if math.isfinite(x))
-        if len(found) < 2:
+    def set_reference(self, values, counts=None) -> None:
+        """Fix the reference: the finite ones of these values, two at least. counts: how often each of them occurs."""
+        a = np.asarray(values, float)
+        n = np.ones(len(a), int) if counts is None else np.asarray(counts)
+        a, n = a[np.isfinite(a)], n[np.isfinite(a)]
+        if n.sum() < 2:
             raise ValueError("a reference needs two finite values")
-        self.reference, self.has_reference = found, True
+        self._fix(a, n)
+        self.has_reference = True
+
+    def _fix(self, values: np.ndarray, counts: np.ndarray) -> None:
+        self.reference = np.sort(np.repeat(values, counts))
 
     def _step(self, x: float) -> tuple[bool, bool]:
         if not self.has_reference:
@@ -176,12 +186,44 @@ class Ks(Windowed):
     def _start(self) -> None:
         super()._start()
         self.p_value = math.nan
+        self.shares, self.size = None, 0  # of the distinct values of a fixed reference: shares below, and all its values
+
+    def _fix(self, values: np.ndarray, counts: np.ndarray) -> None:
+        """The reference is kept as its distinct values: it may be a long history."""
+        self.reference, at = np.unique(values, return_inverse=True)
+        below = np.concatenate([[0], np.cumsum(np.bincount(at, counts).astype(np.int64))])
+        self.size = int(below[-1])
+        self.shares = below / self.size
+
+    def update_many(self, values: np.ndarray) -> list[int]:
+        if not self.has_reference or len(values) < 2:
+            return super().update_many(values)
+        # only the tests look at the window; the last value goes the usual way and leaves the usual state
+        places = np.flatnonzero(np.isfinite(values[:-1]))
+        kept = np.concatenate([np.array(self.window, float), values[places]])
+        before, start, found = len(self.window), self.n_updates, []
+        due = np.flatnonzero(((start + places) % self.test_every == 0) & (before + np.arange(1, len(places) + 1) >= self.window_size))
+        for i in due.tolist():
+            end = before + i + 1
+            if self._compare(kept[end - self.window_size : end])[0]:
+                found.append(int(places[i]))
+        self.n_updates += len(values) - 1
+        self.drift_indices += [start + i for i in found]
+        self.window = deque(kept[-self.window_size :].tolist(), maxlen=self.window_size)
+        return found + ([len(values) - 1] if self.update(float(values[-1])) else [])
 
     def _test(self) -> tuple[bool, bool]:
-        a, b = np.array(self.reference), np.sort(np.array(self.window))
-        points = np.concatenate([a, b])
-        self.statistic = float(np.abs(np.searchsorted(a, points, "right") / len(a) - np.searchsorted(b, points, "right") / len(b)).max())
-        self.p_value = kolmogorov_p(self.statistic, len(a), len(b))
+        return self._compare(np.array(self.window))
+
+    def _compare(self, window: np.ndarray) -> tuple[bool, bool]:
+        if self.shares is None:
+            self._fix(np.array(self.reference), np.ones(len(self.reference), int))
+        # between two values of the window its share is constant, so the greatest gap is at one of them or just below it
+        a, b = self.reference, np.sort(window)
+        at = np.abs(self.shares[np.searchsorted(a, b, "right")] - np.searchsorted(b, b, "right") / len(b))
+        below = np.abs(self.shares[np.searchsorted(a, b, "left")] - np.searchsorted(b, b, "left") / len(b))
+        self.statistic = float(max(at.max(), below.max()))
+        self.p_value = kolmogorov_p(self.statistic, self.size, len(b))
         return self.p_value < self.alpha, self.p_value < min(1.0, 10 * self.alpha)
 
 

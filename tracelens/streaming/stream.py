@@ -6,7 +6,9 @@ import pickle
 from collections.abc import Callable, Iterator
 from typing import Any
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -20,52 +22,60 @@ def _in_order(df: DataFrame, key: str, columns: dict, order: list[str]) -> DataF
     """Rows of a key together, in order, streamed through tasks: no key's history is held at once."""
     n = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     rows = df.select(F.col(key).cast("string").alias("__key"), *[F.col(c).alias(f"__o{i}") for i, c in enumerate(order)], *[c.alias(name) for name, c in columns.items()])
-    return rows.repartition(n, "__key").sortWithinPartitions("__key", *[f"__o{i}" for i in range(len(order))])
+    return rows.repartition(n, "__key").sortWithinPartitions("__key", *[f"__o{i}" for i in range(len(order))]).select("__key", *columns)
 
 
 def _per_key(start: Callable, step: Callable, end: Callable):
-    """A function of frames: start() gives a key's state, step(state, frame) rows out of the next of its rows,
-    end(state) its last rows. A null key is one too."""
+    """A function of Arrow batches: start() gives a key's state, step(key, state, batch) rows out of the next of its rows,
+    end(key, state) its last rows. A null key is one too."""
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         key, state = None, None
-        for f in frames:
-            if f.empty:
+        for b in batches:
+            if not b.num_rows:
                 continue
-            at = f["__key"]
-            cuts = (at.fillna("\0") != at.fillna("\0").shift()).cumsum()
-            for _, part in f.groupby(cuts, sort=False):
-                here = (part["__key"].iloc[0],)
-                here = (None,) if pd.isna(here[0]) else here
+            keys = b.column("__key")
+            codes = keys.dictionary_encode().indices.fill_null(-1).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(np.diff(codes)) + 1).tolist(), len(codes)]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                here = (keys[lo].as_py(),)
                 if state is None or here != key:
                     if state is not None:
                         yield end(key[0], state)
                     key, state = here, start()
-                yield step(key[0], state, part)
+                yield step(key[0], state, b.slice(lo, hi - lo))
         if state is not None:
             yield end(key[0], state)
 
     return run
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    """Doubles of a column, null as NaN."""
+    return column.to_numpy(zero_copy_only=False).astype(float)
+
+
 def _drifts(key: str | None, found: list[int]) -> pd.DataFrame:
     return pd.DataFrame({"key": pd.Series([key] * len(found), dtype="object"), "idx": pd.Series(found, dtype="int64")})
 
 
+def _found(key: str | None, found: list[int]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pydict({"key": pa.array([key] * len(found), pa.string()), "idx": pa.array(found, pa.int64())})
+
+
 def replay_detector(df: DataFrame, key: str, order: str | list[str], value: str, detector: str, **kw) -> DataFrame:
     """Drifts of each key's values in order (rows of one key are one sequence; ties by the further columns of order, then
     by value): key, idx (from 0)."""
     make_detector(detector, **kw)  # raises here if it can't
 
-    def step(key, d, rows: pd.DataFrame) -> pd.DataFrame:
+    def step(key, d, rows: pa.RecordBatch) -> pa.RecordBatch:
         n = len(d.drift_indices)
-        for x in rows["__v"]:
-            d.update(float("nan") if x is None else x)
-        return _drifts(key, d.drift_indices[n:])
+        d.update_many(_numbers(rows.column("__v")))
+        return _found(key, d.drift_indices[n:])
 
     order = [order] if isinstance(order, str) else order
     rows = _in_order(df, key, {"__v": F.col(value).cast("double")}, [*order, value])
-    return rows.mapInPandas(_per_key(lambda: make_detector(detector, **kw), step, lambda key, d: _drifts(key, [])), _DRIFT)
+    return rows.mapInArrow(_per_key(lambda: make_detector(detector, **kw), step, lambda key, d: _found(key, [])), _DRIFT)
 
 
 def stream_detector(df: DataFrame, key: str, order: str, value: str, detector: str, **kw) -> DataFrame:
@@ -110,26 +120,34 @@ def prequential(df: DataFrame, key: str, period: str, order: str | list[str], fe
         return (key, s["period"], *s["n"])
 
     names = ["key", "period", "tn", "fp", "fn", "tp", "drifts"]
+    kinds = [pa.string()] * 2 + [pa.int64()] * 5
 
-    def step(key, s: dict, rows: pd.DataFrame) -> pd.DataFrame:
+    def table(rows: list[tuple]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names)
+
+    def step(key, s: dict, rows: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        for p, x, y in zip(rows["__p"], rows[[f"__x{i}" for i in range(len(features))]].to_numpy(float), rows["__y"].astype(int), strict=True):
+        watch, n = s["detector"].update if s["detector"] is not None else None, s["n"]
+        xs = zip(*[_numbers(rows.column(f"__x{i}")).tolist() for i in range(len(features))], strict=True)
+        for p, x, y in zip(rows.column("__p").to_pylist(), xs, rows.column("__y").to_pylist(), strict=True):
             if p != s["period"]:
                 if s["period"] is not None:
                     out.append(row(key, s))
-                s["period"], s["n"] = p, [0, 0, 0, 0, 0]
-            hit = int(s["model"].predict_one(x) >= 0.5)
-            s["n"][2 * y + hit] += 1
-            if s["detector"] is not None:
-                s["n"][4] += s["detector"].update(float(hit != y))
+                n = [0, 0, 0, 0, 0]
+                s["period"], s["n"] = p, n
+            y = int(y)
+            hit = 1 if s["model"].predict_one(x) >= 0.5 else 0
             s["model"].learn_one(x, y)
-        return pd.DataFrame(out, columns=names)
+            n[2 * y + hit] += 1
+            if watch is not None:
+                n[4] += watch(float(hit != y))
+        return table(out)
 
     order = [order] if isinstance(order, str) else order
     columns = {"__p": F.col(period).cast("string"), "__y": F.col(label).cast("int"), **{f"__x{i}": F.col(c).cast("double") for i, c in enumerate(features)}}
     rows = _in_order(df, key, columns, [period, *order])
-    run = _per_key(start, step, lambda key, s: pd.DataFrame([row(key, s)], columns=names))
-    return rows.mapInPandas(run, "key string, period string, tn long, fp long, fn long, tp long, drifts long")
+    run = _per_key(start, step, lambda key, s: table([row(key, s)]))
+    return rows.mapInArrow(run, "key string, period string, tn long, fp long, fn long, tp long, drifts long")
 
 
 def covariate_scan(df: DataFrame, feature_columns: list[str], time: str, reference_until, detector: str = "ks", key: str | None = None, onset=None, **kw) -> DataFrame:
@@ -140,27 +158,45 @@ def covariate_scan(df: DataFrame, feature_columns: list[str], time: str, referen
     rows = _in_order(long.select("t", "x.*", "id"), "feature", {"__t": F.col("t"), "__v": F.col("v"), "__ref": F.col("t") <= F.lit(reference_until)}, ["t", "id", "v"])
 
     def start() -> dict:
-        return {"ref": [], "d": None, "first": None, "n": 0}
-
-    def step(key, s: dict, part: pd.DataFrame) -> pd.DataFrame:
-        for t, v, ref in zip(part["__t"], part["__v"], part["__ref"], strict=True):
-            if ref:
-                s["ref"].append(v)
-                continue
+        return {"ref": [], "held": 0, "d": None, "first": None, "n": 0}
+
+    def distinct(parts: list[tuple]) -> tuple[np.ndarray, np.ndarray]:
+        values, at = np.unique(np.concatenate([v for v, _ in parts]), return_inverse=True)
+        return values, np.bincount(at, np.concatenate([c for _, c in parts])).astype(np.int64)
+
+    def step(key, s: dict, part: pa.RecordBatch) -> pa.RecordBatch:
+        v, ref = _numbers(part.column("__v")), part.column("__ref").fill_null(False).to_numpy(zero_copy_only=False)
+        late = np.flatnonzero(~ref)
+        if s["d"] is None:
+            # the reference is held as its distinct values and their counts
+            known = v[: late[0]] if len(late) else v
+            known = known[~np.isnan(known)]
+            s["ref"].append(np.unique(known, return_counts=True))
+            s["held"] += len(s["ref"][-1][0])
+            if s["held"] > 500_000 and len(s["ref"]) > 50:
+                s["ref"] = [distinct(s["ref"])]
+                s["held"] = 0
+        if len(late):
             if s["d"] is None:
                 s["d"] = make_detector(detector, **kw)
-                if sum(pd.notna(s["ref"])) >= 2:
-                    s["d"].set_reference([x for x in s["ref"] if pd.notna(x)])
+                values, counts = distinct(s["ref"])
+                if counts.sum() >= 2:
+                    s["d"].set_reference(values, counts)
                 s["ref"] = []
-            if s["d"].update(float("nan") if v is None else v):
-                s["n"] += 1
-                s["first"] = t if s["first"] is None else s["first"]
-        return pd.DataFrame({"feature": [], "n_drifts": [], "first_drift": []}, dtype="object")
+            hits = s["d"].update_many(v[late])
+            s["n"] += len(hits)
+            if hits and s["first"] is None:
+                s["first"] = part.column("__t")[int(late[hits[0]])].as_py()
+        s["kind"] = part.column("__t").type
+        return table([], [], [], s)
+
+    def table(feature: list, n: list, first: list, s: dict) -> pa.RecordBatch:
+        return pa.RecordBatch.from_pydict({"feature": pa.array(feature, pa.string()), "n_drifts": pa.array(n, pa.int64()), "first_drift": pa.array(first, s["kind"])})
 
-    def end(key, s: dict) -> pd.DataFrame:
-        return pd.DataFrame({"feature": [key], "n_drifts": [s["n"]], "first_drift": pd.Series([s["first"]], dtype="object")})
+    def end(key, s: dict) -> pa.RecordBatch:
+        return table([key], [s["n"]], [s["first"]], s)
 
-    out = rows.mapInPandas(_per_key(start, step, end), f"feature string, n_drifts long, first_drift {kind.simpleString()}")
+    out = rows.mapInArrow(_per_key(start, step, end), f"feature string, n_drifts long, first_drift {kind.simpleString()}")
     return out.withColumn("latency_days", F.datediff("first_drift", F.lit(onset)) if onset is not None else F.lit(None).cast("int"))
 
 
