@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import math
 import pickle
+import sys
 from collections import Counter
 
 import numpy as np
@@ -26,6 +27,9 @@ def rows_of(data, features: list[str], drop_nulls: bool = False) -> list[dict]:
     return [{f: math.nan if null(r.get(f)) else float(r[f]) for f in features if not (drop_nulls and null(r.get(f)))} for r in data]
 
 
+_MOST = sys.float_info.max
+
+
 class Learner:
     #: Whether class weights reach the learner.
     supports_weights = False
@@ -41,10 +45,11 @@ class Learner:
         self.n_learned = 0
         self._build()
 
-    def _array(self, x) -> np.ndarray:
+    def _array(self, x) -> list[float]:
+        """The row as floats, NaN as 0 and infinite ones as the greatest float. Rows are short, so lists are faster."""
         if isinstance(x, dict):
             x = [x.get(f, math.nan) for f in self.features] if self.features else list(x.values())
-        return np.nan_to_num(np.asarray(x, float))
+        return [v if -_MOST <= v <= _MOST else 0.0 if v != v else math.copysign(_MOST, v) for v in [0.0 if v is None else float(v) for v in x]]
 
     def predict_one(self, x) -> float:
         return self._predict(self._array(x))
@@ -55,11 +60,23 @@ class Learner:
         return np.array([self.predict_one(x) for x in (rows_of(xs, self.features) if hasattr(xs, "columns") else xs)], float)
 
     def learn_one(self, x, y: int, w: float = 1.0) -> Learner:
-        y = int(y)
-        self._learn(self._array(x), y, w * self.class_weights.get(y, 1.0) if self.supports_weights else 1.0)
-        self.n_learned += 1
+        self._take(self._array(x), int(y), w)
         return self
 
+    def _take(self, x: list[float], y: int, w: float) -> None:
+        if not self.supports_weights:
+            w = 1.0
+        elif self.class_weights:
+            w *= self.class_weights.get(y, 1.0)
+        self._learn(x, y, w)
+        self.n_learned += 1
+
+    def score_and_learn(self, x, y: int) -> float:
+        """predict_one(), then learn_one(): the score from before the label was seen."""
+        p = self.predict_one(x)
+        self.learn_one(x, y)
+        return p
+
     def learn_many(self, xs, ys) -> Learner:
         xs = rows_of(xs, self.features) if hasattr(xs, "columns") else xs
         if len(xs) != len(ys):
@@ -86,23 +103,31 @@ class LogisticSgd(Learner):
         super().__init__(n, **kw)
 
     def _build(self) -> None:
-        self.w, self.b, self.seen = np.zeros(self.n), 0.0, 0
-        self.mean, self.m2 = np.zeros(self.n), np.zeros(self.n)
+        self.w, self.b, self.seen = [0.0] * self.n, 0.0, 0
+        self.mean, self.m2, self.sd = [0.0] * self.n, [0.0] * self.n, [1.0] * self.n
 
-    def _scaled(self, x: np.ndarray) -> np.ndarray:
-        return (x - self.mean) / (np.sqrt(self.m2 / max(self.seen, 1)) + 1e-9) if self.seen > 1 else np.zeros(self.n)
+    def _scaled(self, x: list[float]) -> list[float]:
+        return [(a - m) / d for a, m, d in zip(x, self.mean, self.sd)] if self.seen > 1 else [0.0] * self.n  # noqa: B905
 
-    def _predict(self, x: np.ndarray) -> float:
-        z = float(self._scaled(x) @ self.w) + self.b
-        return 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
+    def _sigmoid(self, scaled: list[float]) -> float:
+        z = self.b + sum([a * b for a, b in zip(scaled, self.w)])  # noqa: B905
+        return 1 / (1 + math.exp(-z)) if -30.0 < z < 30.0 else 1 / (1 + math.exp(-max(-30.0, min(30.0, z))))
 
-    def _learn(self, x: np.ndarray, y: int, w: float) -> None:
+    def _predict(self, x: list[float]) -> float:
+        return self._sigmoid(self._scaled(x))
+
+    def _learn(self, x: list[float], y: int, w: float) -> None:
         self.seen += 1
-        d = x - self.mean
-        self.mean += d / self.seen
-        self.m2 += d * (x - self.mean)
-        g = (self._predict(x) - y) * w * (self.positive_weight if y else 1.0)
-        self.w -= self.rate * (g * self._scaled(x) + self.decay * self.w)
+        n, mean, m2, sd = self.seen, self.mean, self.m2, self.sd
+        for i, a in enumerate(x):
+            d = a - mean[i]
+            mean[i] += d / n
+            m2[i] += d * (a - mean[i])
+            sd[i] = math.sqrt(max(m2[i], 0.0) / n) + 1e-9
+        scaled = self._scaled(x)
+        g = (self._sigmoid(scaled) - y) * w * (self.positive_weight if y else 1.0)
+        rate, decay = self.rate, self.decay
+        self.w = [b - rate * (g * a + decay * b) for a, b in zip(scaled, self.w)]  # noqa: B905
         self.b -= self.rate * g
 
 
@@ -120,53 +145,63 @@ class HoeffdingTree(Learner):
     def _build(self) -> None:
         self.rng = np.random.default_rng(self.seed)
         self.root, self.size = self._leaf(), 1
+        self.last: tuple = (None, None)  # the last row and its leaf: it is scored, then learned
 
     def _leaf(self) -> dict:
         seen = np.arange(self.n) if self.subset is None or self.subset >= self.n else np.sort(self.rng.choice(self.n, self.subset, replace=False))
-        return {"n": [0.0, 0.0], "mean": np.zeros((2, self.n)), "m2": np.zeros((2, self.n)), "lo": np.full(self.n, np.inf), "hi": np.full(self.n, -np.inf), "since": 0.0, "seen": seen}
+        none = lambda: [[0.0] * self.n, [0.0] * self.n]
+        return {"n": [0.0, 0.0], "mean": none(), "m2": none(), "lo": [math.inf] * self.n, "hi": [-math.inf] * self.n, "since": 0.0, "seen": seen.tolist()}
 
-    def _find(self, x: np.ndarray) -> dict:
-        node = self.root
+    def _find(self, x: list[float]) -> dict:
+        node = self.last[1] if x is self.last[0] else self.root
         while "at" in node:
             node = node["left"] if x[node["at"]] <= node["cut"] else node["right"]
+        self.last = (x, node)
         return node
 
-    def _predict(self, x: np.ndarray) -> float:
+    def _predict(self, x: list[float]) -> float:
         a, b = self._find(x)["n"]
         return (b + 1) / (a + b + 2)
 
-    def _learn(self, x: np.ndarray, y: int, w: float) -> None:
+    def _learn(self, x: list[float], y: int, w: float) -> None:
         if w <= 0:
             return
         leaf = self._find(x)
         leaf["n"][y] += w
-        d = x - leaf["mean"][y]
-        leaf["mean"][y] += w * d / leaf["n"][y]
-        leaf["m2"][y] += w * d * (x - leaf["mean"][y])
-        leaf["lo"], leaf["hi"] = np.minimum(leaf["lo"], x), np.maximum(leaf["hi"], x)
+        n, mean, m2, lo, hi = leaf["n"][y], leaf["mean"][y], leaf["m2"][y], leaf["lo"], leaf["hi"]
+        for i, a in enumerate(x):
+            d = a - mean[i]
+            mean[i] += w * d / n
+            m2[i] += w * d * (a - mean[i])
+            if a < lo[i]:
+                lo[i] = a
+            if a > hi[i]:
+                hi[i] = a
         leaf["since"] += w
         if leaf["since"] >= self.grace and min(leaf["n"]) > 0 and (self.leaves is None or self.size < self.leaves):
             leaf["since"] = 0.0
             self._split(leaf)
 
     @staticmethod
-    def _below(leaf: dict, c: int, i: int, cut: float) -> float:
+    def _spread(leaf: dict, c: int, i: int) -> float:
+        return (math.sqrt(max(leaf["m2"][c][i], 0.0) / max(leaf["n"][c], 1e-9)) + 1e-9) * math.sqrt(2)
+
+    def _below(self, leaf: dict, c: int, i: int, cut: float) -> float:
         """Share of a class below a cut."""
-        sd = math.sqrt(max(leaf["m2"][c][i], 0.0) / max(leaf["n"][c], 1e-9)) + 1e-9
-        return 0.5 * math.erfc((leaf["mean"][c][i] - cut) / (sd * math.sqrt(2)))
+        return 0.5 * math.erfc((leaf["mean"][c][i] - cut) / self._spread(leaf, c, i))
 
     def _split(self, leaf: dict) -> None:
         total = sum(leaf["n"])
         entropy = lambda c: -sum(v / sum(c) * math.log2(v / sum(c)) for v in c if v > 1e-12 * sum(c)) if sum(c) > 0 else 0.0
-        gains = []
+        gains, whole = [], entropy(leaf["n"])
         for i in leaf["seen"]:
-            best = (0.0, 0.0)
-            for cut in np.linspace(leaf["lo"][i], leaf["hi"][i], 12)[1:-1]:
-                below = [leaf["n"][c] * self._below(leaf, c, i, cut) for c in (0, 1)]
+            best, spread = (0.0, 0.0), [self._spread(leaf, c, i) for c in (0, 1)]
+            for cut in np.linspace(leaf["lo"][i], leaf["hi"][i], 12)[1:-1].tolist():
+                below = [leaf["n"][c] * (0.5 * math.erfc((leaf["mean"][c][i] - cut) / spread[c])) for c in (0, 1)]
                 above = [leaf["n"][c] - below[c] for c in (0, 1)]
-                gain = entropy(leaf["n"]) - sum(below) / total * entropy(below) - sum(above) / total * entropy(above)
-                best = max(best, (gain, float(cut)))
-            gains.append((*best, int(i)))
+                gain = whole - sum(below) / total * entropy(below) - sum(above) / total * entropy(above)
+                best = max(best, (gain, cut))
+            gains.append((*best, i))
         gains.sort(reverse=True)
         bound = math.sqrt(math.log(1 / self.confidence) / (2 * total))
         second = gains[1][0] if len(gains) > 1 else 0.0
@@ -177,7 +212,7 @@ class HoeffdingTree(Learner):
                 share = self._below(leaf, c, i, cut)
                 left["n"][c], right["n"][c] = leaf["n"][c] * share, leaf["n"][c] * (1 - share)
                 left["mean"][c], right["mean"][c] = leaf["mean"][c].copy(), leaf["mean"][c].copy()
-                left["m2"][c], right["m2"][c] = leaf["m2"][c] * share, leaf["m2"][c] * (1 - share)
+                left["m2"][c], right["m2"][c] = [v * share for v in leaf["m2"][c]], [v * (1 - share) for v in leaf["m2"][c]]
             leaf.clear()
             leaf.update({"at": i, "cut": cut, "left": left, "right": right})
             self.size += 1
@@ -198,10 +233,10 @@ class AdaptiveTree(Learner):
         self.main, self.spare = HoeffdingTree(self.n, **self.tree), None
         self.watch, self.errors, self.level = Adwin(self.delta), [0.0, 0.0, 0], 0.0
 
-    def _predict(self, x: np.ndarray) -> float:
+    def _predict(self, x: list[float]) -> float:
         return self.main._predict(x)
 
-    def _learn(self, x: np.ndarray, y: int, w: float) -> None:
+    def _learn(self, x: list[float], y: int, w: float) -> None:
         wrong = float((self.main._predict(x) >= 0.5) != y)
         before = self.watch.total / self.watch.width if self.watch.width else 0.0
         if self.watch.update(wrong) and self.spare is None and self.watch.total / max(self.watch.width, 1) > before:
@@ -233,10 +268,10 @@ class AdaptiveForest(Learner):
         self.trees = [self._tree(i) for i in range(self.n_models)]
         self.watch = [Adwin(self.delta) for _ in self.trees]
 
-    def _predict(self, x: np.ndarray) -> float:
+    def _predict(self, x: list[float]) -> float:
         return float(np.mean([t._predict(x) for t in self.trees]))
 
-    def _learn(self, x: np.ndarray, y: int, w: float) -> None:
+    def _learn(self, x: list[float], y: int, w: float) -> None:
         for i, (tree, copies) in enumerate(zip(self.trees, self.rng.poisson(self.poisson, self.n_models), strict=True)):
             d = self.watch[i]
             before = d.total / d.width if d.width else 0.0
@@ -262,13 +297,13 @@ class OnlineBoosting(Learner):
         self.trees = [HoeffdingTree(self.n, grace=50, seed=self.seed + i) for i in range(self.n_models)]
         self.right, self.wrong = np.full(self.n_models, 1e-9), np.full(self.n_models, 1e-9)
 
-    def _predict(self, x: np.ndarray) -> float:
+    def _predict(self, x: list[float]) -> float:
         error = np.clip(self.wrong / (self.right + self.wrong), 1e-3, 1 - 1e-3)
         votes = np.maximum(np.log((1 - error) / error), 0.0) * (self.right + self.wrong > 1e-6)
         p = np.array([t._predict(x) for t in self.trees])
         return float((votes * p).sum() / votes.sum()) if votes.sum() > 0 else 0.5
 
-    def _learn(self, x: np.ndarray, y: int, w: float) -> None:
+    def _learn(self, x: list[float], y: int, w: float) -> None:
         weight = w
         for i, tree in enumerate(self.trees):
             copies = self.rng.poisson(min(weight, 50.0))
@@ -300,24 +335,38 @@ class SoftVote(Learner):
         self.members = [make_learner(m, self.n, features=self.features, class_weights=self.class_weights) if isinstance(m, str) else m for m in self.given]
         for m in self.members:
             m.reset()
-        self.loss = np.zeros(len(self.members))
+        self.loss = [0.0] * len(self.members)
 
     @property
     def weights(self) -> np.ndarray:
-        w = np.maximum(1 - self.loss, self.floor) if self.dynamic and self.n_learned else np.ones(len(self.members))
-        return w / w.sum()
+        return np.array(self._shares())
+
+    def _shares(self) -> list[float]:
+        w = [max(1 - v, self.floor) for v in self.loss] if self.dynamic and self.n_learned else [1.0] * len(self.members)
+        total = sum(w)
+        return [v / total for v in w]
 
-    def _predict(self, x: np.ndarray) -> float:
-        return float(sum(a * m.predict_one(x) for a, m in zip(self.weights, self.members, strict=True)))
+    def _vote(self, scores: list[float]) -> float:
+        return float(sum([a * p for a, p in zip(self._shares(), scores, strict=True)]))
 
-    def learn_one(self, x, y: int, w: float = 1.0) -> SoftVote:
-        a, y = self._array(x), int(y)
-        losses = np.array([abs(y - m.predict_one(a)) for m in self.members])
-        self.loss = self.decay * self.loss + (1 - self.decay) * losses
+    def _predict(self, x: list[float]) -> float:
+        return self._vote([m._predict(x) for m in self.members])
+
+    def _take(self, x: list[float], y: int, w: float, scores: list[float] | None = None) -> None:
+        if scores is None:
+            scores = [m._predict(x) for m in self.members]
+        old, new = self.decay, 1 - self.decay
+        self.loss = [old * v + new * abs(y - p) for v, p in zip(self.loss, scores, strict=True)]
         for m in self.members:
-            m.learn_one(a, y, w)
+            m._take(x, y, w)
         self.n_learned += 1
-        return self
+
+    def score_and_learn(self, x, y: int) -> float:
+        a = self._array(x)
+        scores = [m._predict(a) for m in self.members]
+        p = self._vote(scores)
+        self._take(a, int(y), 1.0, scores)
+        return p
 
 
 LEARNERS = {"logistic": LogisticSgd, "tree": HoeffdingTree, "adaptive_tree": AdaptiveTree, "adaptive_forest": AdaptiveForest, "boosting": OnlineBoosting, "vote": SoftVote}

@@ -127,7 +127,7 @@ def prequential(df: DataFrame, key: str, period: str, order: str | list[str], fe
 
     def step(key, s: dict, rows: pa.RecordBatch) -> pa.RecordBatch:
         out = []
-        watch, n = s["detector"].update if s["detector"] is not None else None, s["n"]
+        learn, watch, n = s["model"].score_and_learn, s["detector"].update if s["detector"] is not None else None, s["n"]
         xs = zip(*[_numbers(rows.column(f"__x{i}")).tolist() for i in range(len(features))], strict=True)
         for p, x, y in zip(rows.column("__p").to_pylist(), xs, rows.column("__y").to_pylist(), strict=True):
             if p != s["period"]:
@@ -136,8 +136,7 @@ def prequential(df: DataFrame, key: str, period: str, order: str | list[str], fe
                 n = [0, 0, 0, 0, 0]
                 s["period"], s["n"] = p, n
             y = int(y)
-            hit = 1 if s["model"].predict_one(x) >= 0.5 else 0
-            s["model"].learn_one(x, y)
+            hit = 1 if learn(x, y) >= 0.5 else 0
             n[2 * y + hit] += 1
             if watch is not None:
                 n[4] += watch(float(hit != y))
