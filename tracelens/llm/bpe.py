@@ -277,15 +277,31 @@ class WordTrieBpe:
         return " ".join(self.tokens[i] for i in ids if i in self.tokens)
 
 
-_open: dict[str, WordTrieBpe] = {}
+class LibraryBpe(WordTrieBpe):
+    """The same with words encoded by the library's BPE model, in less than half the trie's time: for operators that need
+    the ids and not this module's method."""
+
+    def __init__(self, path: str):
+        super().__init__(path)
+        #: with a token for each byte, within words and at their ends, no word has an unknown symbol
+        self.whole = all(c in self.inner and c in self.final for c in self._bytes)
+
+    def encode_words(self, words: Iterable[str]) -> dict[str, list[int]]:
+        if not self.whole:
+            return super().encode_words(words)
+        table, tokenize = self._spelling, self._library().model.tokenize
+        return {w: [t.id for t in tokenize(w if w.isascii() and w.isprintable() and " " not in w else w.encode().decode("latin-1").translate(table))] for w in words}
+
+
+_open: dict[tuple[str, type], WordTrieBpe] = {}
 
 
-def tokenizer(path: str) -> WordTrieBpe:
-    """One per Python worker."""
+def tokenizer(path: str, kind: type[WordTrieBpe] = WordTrieBpe) -> WordTrieBpe:
+    """One per Python worker and kind."""
     lean("bpe")
-    if path not in _open:
-        _open[path] = WordTrieBpe(path)
-    return _open[path]
+    if (path, kind) not in _open:
+        _open[path, kind] = kind(path)
+    return _open[path, kind]
 
 
 _caches: dict[tuple, list[dict]] = {}

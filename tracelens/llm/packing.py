@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tracelens.llm.bpe import caches, tokenizer
+from tracelens.llm.bpe import LibraryBpe, caches, tokenizer
 from tracelens.llm.common import saved
 
 CAPACITY, END_ID = 4096, 1
@@ -47,7 +47,7 @@ def _pieces(path: str, capacity: int, end_id: int):
     end = pack_ids("<I", end_id)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t, (known, _) = tokenizer(path), caches("bytes", path)
+        t, (known, _) = tokenizer(path, LibraryBpe), caches("bytes", path)
         for batch in batches:
             ids = batch.column("doc_id").to_pylist()
             out: tuple[list, ...] = ([], [], [], [], [])
